@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from treeline.llm import q_decontamination, q_sharding
+from treeline.llm import q_decontamination, q_sharding, q_url_filter
 
-_ALL = (q_sharding, q_decontamination)
+_ALL = (q_sharding, q_url_filter, q_decontamination)
 QUERIES = {m.NAME: m.query for m in _ALL}
 ORACLES = {m.NAME: m.ORACLE for m in _ALL if m.ORACLE}
