@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,3 +101,23 @@ def distributed_rank(df: DataFrame, keys: list[str], cell: Column, order: list[C
         .withColumn(rank, (F.col("_before") + within - 1).cast("long"))
         .drop("_cell", "_kcell", "_before", *(f"_k{i}" for i in range(len(keys))))
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once a session: their Python workers import it by name."""
+    sc = spark.sparkContext
+    if getattr(sc, "_treeline_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="treeline-src-")) / "treeline_src.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(target))
+    sc._treeline_shipped = True
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with the package shipped to the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)

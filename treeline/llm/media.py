@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.llm.common import map_arrow
+
 FRAME, HOP, RATE = 256, 128, 8000
 #: A peak is the largest of (2 * NEAR_FRAMES + 1) x (2 * NEAR_BINS + 1) values; each is paired with the FAN next peaks.
 NEAR_FRAMES, NEAR_BINS, FAN = 2, 8, 2
@@ -133,7 +135,7 @@ def store_and_fingerprint(docs: DataFrame, *, key: str = "doc_id", text: str = "
     repeated rows stay; an empty table gives no rows; other columns are left out. Sounds without a peak above
     silence have empty arrays.
     """
-    done = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(lambda it: _encode(it, keep_media), _DDL)
+    done = map_arrow(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), lambda it: _encode(it, keep_media), _DDL)
     return done.select(F.col("key").alias(key), *(c for c in done.columns if c not in ("key", "media")), *(["media"] if keep_media else []))
 
 

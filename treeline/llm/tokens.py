@@ -54,3 +54,10 @@ class PieceEncoder:
 def encoder(path: str) -> PieceEncoder:
     """One encoder a file and worker."""
     return PieceEncoder(path)
+
+
+def vocabulary(name: str) -> str:
+    """Where the public vocabulary file ``name`` lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
