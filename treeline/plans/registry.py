@@ -5,6 +5,671 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from treeline.functions import paths
+from treeline.operators import evidence as ev
+from treeline.operators import gates, graph, planning, ranking, structural, synthesis, temporal, view
+from treeline.plans.oracle import oracle, strict
+from treeline.sources import sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+LINKS = 3
+
+
+def query(sql: str | None = None, **own: str) -> Callable:
+    """Register the function under its name, with its oracle."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = oracle(sql, **own)
+        return f
+
+    return add
+
+
+class Inventory:
+    """The sample inventory's derived tables, built on demand."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf = spark, sf_dir
+        self.files = sample.files(spark, sf_dir)
+        self.directories = sample.directories(self.files)
+        self.roles = structural.classify_roles(self.files)
+        self.aggregates = structural.directory_aggregates(self.roles, self.directories)
+        self.projects = structural.projects(self.files)
+        self.features = ranking.directory_features(self.aggregates, self.projects)
+        self.items = view.snapshot_items(self.files, self.directories)
+
+    def current(self) -> DataFrame:
+        return view.current_decisions(sample.decision_events(self.spark, self.sf))
+
+    def content(self) -> DataFrame:
+        """Files of the selection with their documents' bytes; the extra project files have none."""
+        text = sample.table(self.spark, self.sf, "documents").select("doc_id", "text")
+        chosen = self.files.where("doc_id % 3 <> 0 AND name <> 'package.json'")
+        return chosen.join(text, "doc_id").select("relative_path", ev.as_content(F.col("text")).alias("content"))
+
+
+def transition(spark: SparkSession, sf_dir: str, n: int) -> dict[str, DataFrame]:
+    """Changes of snapshot n to n + 1 and what follows from them."""
+    a, b = sample.files(spark, sf_dir, n), sample.files(spark, sf_dir, n + 1)
+    changes = temporal.file_changes(a, b, sample.errors(spark, sf_dir, n), sample.errors(spark, sf_dir, n + 1))
+    dirs = sample.directories(a).unionByName(sample.directories(b)).distinct()
+    pa, pb = structural.projects(a), structural.projects(b)
+    return {"current": b, "changes": changes, "directories": temporal.directory_changes(changes, dirs), "nodes": temporal.project_nodes(pa, pb, changes, b), "projects": pb}
+
+
+def chain(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
+    out = None
+    for n in range(LINKS):
+        df = transition(spark, sf_dir, n)[what].withColumn("ordinal", F.lit(n))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+# Structure.
+
+
+@query("SELECT relative_path, role, confidence, rule_id FROM r")
+def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Inventory(spark, sf_dir).roles.select("relative_path", "role", "confidence", "rule_id")
+
+
+@query("SELECT rule_id, role, count(*) AS files, sum(logical_bytes)::BIGINT AS bytes FROM r GROUP BY ALL")
+def role_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Inventory(spark, sf_dir).roles.groupBy("rule_id", "role").agg(F.count(F.lit(1)).alias("files"), F.sum("logical_bytes").alias("bytes"))
+
+
+@query(
+    """SELECT relative_path, CASE rule_id WHEN 'R310' THEN 'Media appears below an export-named directory.' WHEN 'R320' THEN 'Media extension observed; originality remains uncertain.'
+    ELSE 'Path segment ''' || CASE rule_id WHEN 'R110' THEN '.venv' WHEN 'R120' THEN '.cache' ELSE 'build' END || ''' identifies ' || lower(role) || '.' END AS explanation,
+    CASE WHEN rule_id IN ('R310', 'R320') THEN lower(extension) WHEN rule_id = 'R110' THEN '.venv' WHEN rule_id = 'R120' THEN '.cache' ELSE 'build' END AS evidence FROM r WHERE rule_id IN ('R110', 'R120', 'R130', 'R310', 'R320')"""
+)
+def role_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Inventory(spark, sf_dir).roles.where(F.col("rule_id").isin("R110", "R120", "R130", "R310", "R320"))
+    return rows.select("relative_path", "explanation", F.array_join("evidence", ",").alias("evidence"))
+
+
+@query("SELECT relative_path, recursive_bytes, file_count, directory_count, round(role_coherence, 9) AS role_coherence FROM agg")
+def directory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Inventory(spark, sf_dir).aggregates.select("relative_path", "recursive_bytes", "file_count", "directory_count", F.round("role_coherence", 9).alias("role_coherence"))
+
+
+@query("SELECT relative_path, role, n, bytes::BIGINT AS bytes FROM rc")
+def role_counts_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structural.role_counts(Inventory(spark, sf_dir).roles)
+
+
+@query(
+    "SELECT b.dir AS relative_path, count(*) AS file_count, sum(logical_bytes)::BIGINT AS recursive_bytes FROM (SELECT logical_bytes, " + strict("relative_path") + " AS dir FROM bench) b GROUP BY 1",
+    bench="SELECT substr(CAST(o_orderdate AS STRING), 1, 4) || '/' || substr(CAST(o_orderdate AS STRING), 6, 2) || '/' || o_orderstatus || '/' || o_orderpriority || '/o_' || o_orderkey || '.dat' AS relative_path, CAST(floor(o_totalprice) AS BIGINT) AS logical_bytes FROM orders",
+)
+def bench_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structural.role_counts(sample.bench_files(spark, sf_dir).withColumn("role", F.lit("ANY")))
+    return rows.select("relative_path", F.col("n").alias("file_count"), F.col("bytes").alias("recursive_bytes"))
+
+
+@query(
+    "SELECT relative_path, kind, depth FROM (SELECT relative_path, 'file' AS kind, len(string_split(relative_path, '/'))::BIGINT AS depth FROM u UNION ALL SELECT DISTINCT d, 'directory', len(string_split(d, '/'))::BIGINT FROM (SELECT " + strict("relative_path") + " AS d FROM u) WHERE d <> '')",
+    u="SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/+$', '') AS relative_path FROM pages",
+)
+def url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat rows to a tree: directories are made from the paths of pages."""
+    flat = sample.url_files(spark, sf_dir)
+    dirs = sample.directories(flat).select("relative_path", F.lit("directory").alias("kind"))
+    return flat.select("relative_path", F.lit("file").alias("kind")).unionByName(dirs).withColumn("depth", paths.depth("relative_path").cast("long"))
+
+
+@query("SELECT relative_path, score, marker_count FROM pr")
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Inventory(spark, sf_dir).projects.select("relative_path", "score", F.size("markers").cast("long").alias("marker_count"))
+
+
+@query("SELECT c.relative_path AS project, arg_max(p.relative_path, len(p.relative_path)) AS parent FROM pr c JOIN pr p ON starts_with(c.relative_path, p.relative_path || '/') GROUP BY 1")
+def nested_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inv = Inventory(spark, sf_dir)
+    rows = structural.relationships(inv.projects, inv.aggregates).where("relationship = 'NESTED_PROJECT'")
+    return rows.select(F.col("target").alias("project"), F.col("source").alias("parent"))
+
+
+@query("SELECT pr.relative_path AS project, role, n FROM pr JOIN rc USING (relative_path)")
+def project_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inv = Inventory(spark, sf_dir)
+    rows = structural.relationships(inv.projects, inv.aggregates).where("relationship = 'HAS_ROLE'")
+    return rows.select(F.col("source").alias("project"), F.col("target").alias("role"), "n")
+
+
+# Ranking.
+
+
+@query("SELECT relative_path, cohort, recursive_bytes, file_count, round(preservation_ratio, 9) AS preservation_ratio, round(unknown_ratio, 9) AS unknown_ratio, round(role_coherence, 9) AS role_coherence, is_project FROM feat")
+def directory_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Inventory(spark, sf_dir).features
+    return rows.withColumns({c: F.round(c, 9) for c in ("preservation_ratio", "unknown_ratio", "role_coherence")})
+
+
+@query("SELECT cohort, count(*) AS directories FROM feat GROUP BY cohort")
+def cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Inventory(spark, sf_dir).features.groupBy("cohort").agg(F.count(F.lit(1)).alias("directories"))
+
+
+@query(
+    """SELECT relative_path, objective_name, round(low, 9) + 0.0 AS low, round(point, 9) + 0.0 AS point, round(high, 9) + 0.0 AS high, round(confidence, 9) AS confidence FROM (
+    SELECT relative_path, 'negative_storage_benefit' AS objective_name, s AS low, s AS point, s AS high, 1.0::DOUBLE AS confidence FROM obj
+    UNION ALL SELECT relative_path, 'preservation_risk', greatest(0.0, p - u * 0.2), p, least(1.0, p + u * 0.4), 1 - u FROM obj
+    UNION ALL SELECT relative_path, 'uncertainty', k, u, least(1.0, u + 0.15), 1 - k FROM obj
+    UNION ALL SELECT relative_path, 'incoherence', 1 - c, 1 - c, 1 - c, 0.9 FROM obj)"""
+)
+def objective_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ranking.objective_intervals(Inventory(spark, sf_dir).features)
+    return rows.withColumns({c: F.round(c, 9) + 0.0 for c in ("low", "point", "high", "confidence")})
+
+
+@query("SELECT cohort, winner, loser FROM dom")
+def dominance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.dominance_pairs(Inventory(spark, sf_dir).features)
+
+
+@query("SELECT relative_path, cohort, pareto_rank FROM rank")
+def pareto_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.pareto_ranks(Inventory(spark, sf_dir).features)
+
+
+_REVIEW = "SELECT row_number() OVER (ORDER BY round(priority, 9) DESC, relative_path)::INTEGER AS review_order, relative_path, round(priority, 9) AS priority FROM (SELECT relative_path, ln(1 + recursive_bytes) * (unknown_ratio + 0.1) / (pareto_rank + 1) AS priority FROM feat JOIN rank USING (relative_path)) ORDER BY 1 LIMIT 100"
+
+
+@query(_REVIEW)
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = Inventory(spark, sf_dir).features
+    return ranking.review_queue(features, ranking.pareto_ranks(features), 100).withColumn("priority", F.round("priority", 9))
+
+
+# View.
+
+_FOLD = "translate(relative_path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM = "kind, relative_path, logical_bytes, depth"
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("kind", "relative_path", "logical_bytes", "depth")
+
+
+@query(f"SELECT {_ITEM} FROM items WHERE contains({_FOLD}, 'src1/en') ORDER BY {_FOLD}, kind, relative_path LIMIT 200")
+def search_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(view.search(Inventory(spark, sf_dir).items, " SRC1/en "))
+
+
+@query(f"SELECT {_ITEM} FROM items WHERE contains({_FOLD}, '%') OR contains({_FOLD}, 'c_100') LIMIT 200")
+def search_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = Inventory(spark, sf_dir).items
+    return _shown(view.search(items, "%").unionByName(view.search(items, "c_100")))
+
+
+@query(f"SELECT {_ITEM} FROM items WHERE kind = 'directory' AND contains({_FOLD}, 'final') ORDER BY {_FOLD}, kind, relative_path LIMIT 20 OFFSET 5")
+def search_kind_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(view.search(Inventory(spark, sf_dir).items, "Final", kind="directory", limit=20, offset=5))
+
+
+@query(f"SELECT {_ITEM} FROM items ORDER BY logical_bytes DESC, kind, relative_path LIMIT 200")
+def sort_size_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(view.page(Inventory(spark, sf_dir).items, "SIZE", descending=True))
+
+
+@query(f"SELECT {_ITEM} FROM items ORDER BY coalesce(modified_ns, 0), kind, relative_path LIMIT 200 OFFSET 100")
+def sort_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(view.page(Inventory(spark, sf_dir).items, "MODIFIED", offset=100))
+
+
+@query(f"SELECT {_ITEM} FROM items ORDER BY depth DESC, kind, relative_path LIMIT 200")
+def sort_depth_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(view.page(Inventory(spark, sf_dir).items, "DEPTH", descending=True))
+
+
+@query(f"SELECT {_ITEM} FROM items ORDER BY relative_path, kind LIMIT 200")
+def sort_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(view.page(Inventory(spark, sf_dir).items, "PATH"))
+
+
+@query(f"SELECT {_ITEM} FROM items WHERE relative_path = 'src1/en' ORDER BY kind LIMIT 1")
+def item_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(view.item(Inventory(spark, sf_dir).items, "src1/en"))
+
+
+#: Sessions from users' events: a session a user; a user whose last event is an error has not finished.
+_SESSIONS = "SELECT 'session-' || user_id AS scan_session_id, CASE WHEN max_by(event_type, (ts, event_id)) = 'error' THEN 'STOPPED' ELSE 'COMPLETE' END AS state, CAST(min(ts) AS STRING) AS started_at, CAST(max(ts) AS STRING) AS finished_at, count(*) AS observed_count, count(CASE WHEN event_type = 'error' THEN 1 END) AS error_count FROM {events} GROUP BY user_id"
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_SESSIONS.replace("(ts, event_id)", "struct(ts, event_id)").replace("CAST(min(ts) AS STRING)", "date_format(min(ts), 'yyyy-MM-dd HH:mm:ss')").replace("CAST(max(ts) AS STRING)", "date_format(max(ts), 'yyyy-MM-dd HH:mm:ss')"), events=sample.table(spark, sf_dir, "events"))
+
+
+_SESSIONS_DUCK = _SESSIONS.format(events="events").replace("CAST(min(ts) AS STRING)", "strftime(min(ts), '%Y-%m-%d %H:%M:%S')").replace("CAST(max(ts) AS STRING)", "strftime(max(ts), '%Y-%m-%d %H:%M:%S')")
+
+
+@query("SELECT scan_session_id, state, started_at, finished_at, observed_count, error_count FROM sess", sess=_SESSIONS_DUCK)
+def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view.session_report(_sessions(spark, sf_dir))
+
+
+@query("SELECT scan_session_id, finished_at FROM sess WHERE state = 'COMPLETE' ORDER BY finished_at DESC, scan_session_id DESC LIMIT 1", sess=_SESSIONS_DUCK)
+def latest_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view.latest_complete(_sessions(spark, sf_dir)).select("scan_session_id", "finished_at")
+
+
+@query("SELECT relative_path, decision, revision FROM cur")
+def decisions_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Inventory(spark, sf_dir).current()
+
+
+@query("SELECT relative_path, event_id, decision, row_number() OVER w AS revision, lag(decision) OVER w AS previous_decision FROM dec WINDOW w AS (PARTITION BY relative_path ORDER BY ts, event_id)")
+def decisions_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view.revisions(sample.decision_events(spark, sf_dir))
+    return rows.select("relative_path", "event_id", "decision", "revision", "previous_decision")
+
+
+@query("SELECT relative_path, decision, revision FROM cur WHERE relative_path IN (SELECT relative_path FROM dirs ORDER BY relative_path LIMIT 200)")
+def decision_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inv = Inventory(spark, sf_dir)
+    shown = inv.directories.orderBy("relative_path").limit(200)
+    return inv.current().join(F.broadcast(shown), "relative_path", "left_semi")  # a page: 200 rows
+
+
+# Changes and history.
+
+
+@query("SELECT relative_path, change_type, confidence, x AS before_logical_bytes, y AS after_logical_bytes FROM ch0")
+def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transition(spark, sf_dir, 0)["changes"].select("relative_path", "change_type", "confidence", "before_logical_bytes", "after_logical_bytes")
+
+
+@query("SELECT n, change_type, count(*) AS files FROM (SELECT 0 AS n, * FROM ch0 UNION ALL SELECT 1, * FROM ch1 UNION ALL SELECT 2, * FROM ch2) WHERE confidence = 'AMBIGUOUS_ERROR_REGION' GROUP BY ALL")
+def error_region_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chain(spark, sf_dir, "changes").where(F.col("confidence") == temporal.AMBIGUOUS)
+    return rows.groupBy(F.col("ordinal").alias("n"), "change_type").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("SELECT relative_path, added, removed, changed, unchanged, ambiguous, bytes_delta, round(churn, 9) AS churn FROM dch0")
+def directory_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transition(spark, sf_dir, 0)["directories"].withColumn("churn", F.round("churn", 9))
+
+
+@query("SELECT f.relative_path, max(p.relative_path) FILTER (p.relative_path = m) AS project FROM (SELECT f.relative_path, max(len(p.relative_path)) AS l, arg_max(p.relative_path, len(p.relative_path)) AS m FROM f LEFT JOIN pr p ON starts_with(f.relative_path, p.relative_path || '/') GROUP BY 1) f LEFT JOIN pr p ON p.relative_path = m GROUP BY 1")
+def project_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inv = Inventory(spark, sf_dir)
+    return temporal.assign_projects(inv.files.select("relative_path"), inv.projects, root=True)
+
+
+@query("SELECT project, state, changed, ambiguous, current_files FROM nodes0")
+def project_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transition(spark, sf_dir, 0)["nodes"]
+
+
+_EXT = {
+    "xs": "SELECT DISTINCT project, lower(extension) AS ext FROM (SELECT f.relative_path, any_value(extension) AS extension, string_split(f.relative_path, '/')[1] AS project FROM f WHERE extension <> '' GROUP BY 1)",
+    "xe": "SELECT source, target, shared, shared / (na + nb - shared) AS similarity FROM (SELECT a.project AS source, b.project AS target, count(*) AS shared FROM xs a JOIN xs b ON a.ext = b.ext AND a.project < b.project GROUP BY ALL) JOIN (SELECT project AS source, count(*) AS na FROM xs GROUP BY 1) USING (source) JOIN (SELECT project AS target, count(*) AS nb FROM xs GROUP BY 1) USING (target) WHERE shared / (na + nb - shared) >= 0.9",
+    "xn": "SELECT source AS a, target AS b FROM xe UNION ALL SELECT target, source FROM xe",
+    "xr": "SELECT DISTINCT project AS node, project AS root FROM xs UNION SELECT xn.b, xr.root FROM xr JOIN xn ON xn.a = xr.node",
+}
+
+
+def _top_projects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The top directories taken as projects, and edges of those with nearly the same extensions."""
+    files = sample.files(spark, sf_dir)
+    tops = sample.directories(files).where("relative_path NOT LIKE '%/%'")
+    return tops.select(F.col("relative_path").alias("node")), temporal.shared_extension_edges(files, tops, 0.9)
+
+
+@query("SELECT source, target, shared, round(similarity, 9) AS similarity FROM xe", **_EXT)
+def shared_extension_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top_projects(spark, sf_dir)[1].withColumn("similarity", F.round("similarity", 9))
+
+
+@query("SELECT node, min(root) AS root, (SELECT count(DISTINCT b) FROM xn WHERE a = node) AS degree FROM xr GROUP BY node", **_EXT)
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _top_projects(spark, sf_dir)
+    return graph.components(nodes, edges).join(graph.degrees(nodes, edges), "node")
+
+
+@query(
+    "SELECT node, substr(sha256('[\"' || string_agg(node, '\",\"' ORDER BY node) OVER (PARTITION BY root ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) || '\"]'), 1, 16) AS component_id, count(*) OVER (PARTITION BY root) AS size FROM (SELECT node, min(root) AS root FROM xr GROUP BY node)",
+    **_EXT,
+)
+def component_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _top_projects(spark, sf_dir)
+    return graph.component_ids(graph.components(nodes, edges))
+
+
+_GRID = {
+    "ch": "SELECT 0 AS n, * FROM ch0 UNION ALL SELECT 1, * FROM ch1 UNION ALL SELECT 2, * FROM ch2",
+    "grid": "SELECT p.relative_path, o.n, change_type AS t, coalesce(confidence = 'AMBIGUOUS_ERROR_REGION', false) AS doubt FROM (SELECT DISTINCT relative_path FROM ch) p CROSS JOIN (SELECT unnest(range(3)) AS n) o LEFT JOIN ch ON ch.relative_path = p.relative_path AND ch.n = o.n",
+    "st": "SELECT *, CASE WHEN t = 'ADDED' THEN CASE WHEN doubt THEN 'A' ELSE 'N' END WHEN t IS NULL THEN 'N' ELSE 'O' END AS b, CASE WHEN t = 'REMOVED' THEN CASE WHEN doubt THEN 'A' ELSE 'N' END WHEN t IS NULL THEN 'N' ELSE 'O' END AS a FROM grid",
+    "sq": "SELECT relative_path, i, s FROM (SELECT relative_path, 0 AS i, b AS s FROM st WHERE n = 0 UNION ALL SELECT relative_path, n + 1, CASE WHEN a = 'A' AND nb IS NOT NULL THEN nb ELSE a END FROM (SELECT *, lead(b) OVER (PARTITION BY relative_path ORDER BY n) AS nb FROM st))",
+    "runs": "SELECT relative_path, max(c)::BIGINT AS longest_stable FROM (SELECT relative_path, g, count(*) AS c FROM (SELECT relative_path, n - row_number() OVER (PARTITION BY relative_path ORDER BY n) AS g FROM grid WHERE t = 'METADATA_UNCHANGED') GROUP BY ALL) GROUP BY 1",
+}
+
+
+@query(
+    """SELECT q.relative_path, first_observed, last_observed, observed, appearances, disappearances, changed, unchanged, coalesce(longest_stable, 0)::BIGINT AS longest_stable, round(observed / 4, 9) AS observation_ratio, ambiguous, final_state
+    FROM (SELECT relative_path, min(i) FILTER (s = 'O')::INTEGER AS first_observed, max(i) FILTER (s = 'O')::INTEGER AS last_observed, count(*) FILTER (s = 'O') AS observed, CASE arg_max(s, i) WHEN 'O' THEN 'OBSERVED' WHEN 'N' THEN 'NOT_OBSERVED' ELSE 'AMBIGUOUS_NOT_OBSERVED' END AS final_state FROM sq GROUP BY 1) q
+    JOIN (SELECT relative_path, count(*) FILTER (t = 'ADDED' AND NOT doubt) AS appearances, count(*) FILTER (t = 'REMOVED' AND NOT doubt) AS disappearances, count(*) FILTER (t = 'METADATA_CHANGED') AS changed, count(*) FILTER (t = 'METADATA_UNCHANGED') AS unchanged, count(*) FILTER (doubt) AS ambiguous FROM grid GROUP BY 1) g USING (relative_path) LEFT JOIN runs USING (relative_path)""",
+    **_GRID,
+)
+def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = temporal.file_history(chain(spark, sf_dir, "changes"), LINKS)
+    return rows.withColumn("observation_ratio", F.round("observation_ratio", 9))
+
+
+@query("SELECT relative_path, longest_stable FROM runs", **_GRID)
+def longest_stable_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = temporal.file_history(chain(spark, sf_dir, "changes"), LINKS)
+    return rows.where("longest_stable > 0").select("relative_path", "longest_stable")
+
+
+_DALL = "SELECT * FROM dch0 UNION ALL SELECT * FROM dch1 UNION ALL SELECT * FROM dch2"
+
+
+@query("SELECT relative_path, count(*) AS transitions, sum(added)::BIGINT AS added, sum(removed)::BIGINT AS removed, sum(changed)::BIGINT AS changed, sum(ambiguous)::BIGINT AS ambiguous, sum(bytes_delta)::BIGINT AS bytes_delta, round(avg(churn), 9) AS mean_churn, round(max(churn), 9) AS max_churn FROM da GROUP BY 1", da=_DALL)
+def directory_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = temporal.directory_history(chain(spark, sf_dir, "directories"))
+    return rows.withColumns({"mean_churn": F.round("mean_churn", 9), "max_churn": F.round("max_churn", 9)})
+
+
+_NALL = "SELECT 0 AS n, * FROM nodes0 UNION ALL SELECT 1, * FROM nodes1 UNION ALL SELECT 2, * FROM nodes2"
+
+
+@query("SELECT project, count(*) AS transitions, count(*) FILTER (changed > 0) AS active, count(*) FILTER (state = 'ADDED') AS added, count(*) FILTER (state = 'REMOVED') AS removed, sum(changed)::BIGINT AS changed_files, sum(ambiguous)::BIGINT AS ambiguous_files, round(count(*) FILTER (changed > 0) / count(*), 9) AS activity_ratio, CASE WHEN count(*) FILTER (n = 2 AND state <> 'REMOVED') > 0 THEN 'OBSERVED' ELSE 'NOT_OBSERVED' END AS current_state FROM na GROUP BY project", na=_NALL)
+def project_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.project_history(chain(spark, sf_dir, "nodes"), LINKS).withColumn("activity_ratio", F.round("activity_ratio", 9))
+
+
+@query("SELECT ordinal, baseline, expected FROM (SELECT *, lag(current) OVER (ORDER BY ordinal) AS expected FROM (SELECT CAST(d AS BIGINT) AS ordinal, lo AS baseline, hi AS current FROM (SELECT date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS d, min(user_id) AS lo, max(user_id) AS hi FROM events GROUP BY 1))) WHERE expected <> baseline")
+def chain_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of events as links from their least to their greatest user."""
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long").alias("ordinal")
+    links = sample.table(spark, sf_dir, "events").groupBy(day).agg(F.min("user_id").alias("baseline"), F.max("user_id").alias("current"))
+    return temporal.chain_breaks(links).select("ordinal", "baseline", "expected")
+
+
+# Content evidence.
+
+_SEL = {
+    "sel": "SELECT f.relative_path, sha256(coalesce(text, '')) AS digest, octet_length(encode(coalesce(text, '')))::BIGINT AS logical_bytes FROM f JOIN documents USING (doc_id) WHERE doc_id % 3 <> 0 AND name <> 'package.json'",
+    "grp": "SELECT sha256('[\"D4\",\"SHA-256\",\"' || digest || '\",' || logical_bytes || ']') AS group_id, digest, logical_bytes, count(*) AS member_count FROM sel GROUP BY digest, logical_bytes HAVING count(*) > 1",
+    "mem": "SELECT group_id, relative_path FROM sel JOIN grp USING (digest, logical_bytes)",
+}
+
+
+@query("SELECT relative_path, digest, logical_bytes, logical_bytes AS bytes_read FROM sel", **_SEL)
+def content_hash_d4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.hash_content(Inventory(spark, sf_dir).content(), "D4").select("relative_path", "digest", "logical_bytes", "bytes_read")
+
+
+@query()
+def sampled_hash_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled hashes of framed bytes, with small samples so that they differ from whole files."""
+    return ev.hash_content(Inventory(spark, sf_dir).content(), "D2", sample=256)
+
+
+@query("SELECT group_id, digest, logical_bytes, 'CONFIRMED' AS evidence_status, member_count FROM grp", **_SEL)
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ev.duplicate_groups(ev.hash_content(Inventory(spark, sf_dir).content(), "D4"))
+    return found.select("group_id", "digest", "logical_bytes", "evidence_status", "member_count")
+
+
+@query("SELECT group_id, relative_path FROM mem", **_SEL)
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = ev.hash_content(Inventory(spark, sf_dir).content(), "D4")
+    return ev.duplicate_members(hashed, ev.duplicate_groups(hashed))
+
+
+#: Observed bytes are those of the texts here, so that a selection cannot hold more than its directory.
+_COV = {
+    "fb": "SELECT f.relative_path, CASE WHEN name = 'package.json' THEN 1 ELSE octet_length(encode(coalesce(text, ''))) END::BIGINT AS logical_bytes FROM f JOIN documents USING (doc_id)",
+    "ob": f"SELECT relative_path, count(*) AS observed_files, sum(logical_bytes)::BIGINT AS observed_bytes FROM (SELECT logical_bytes, {strict('relative_path')} AS relative_path FROM fb) GROUP BY 1",
+    "se": f"SELECT relative_path, count(*) AS selected_files, sum(logical_bytes)::BIGINT AS selected_bytes, count(*) FILTER (dup) AS confirmed_files, coalesce(sum(logical_bytes) FILTER (dup), 0)::BIGINT AS confirmed_bytes FROM (SELECT logical_bytes, relative_path IN (SELECT relative_path FROM mem) AS dup, {strict('relative_path')} AS relative_path FROM sel) GROUP BY 1",
+}
+
+
+def _directory_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inv = Inventory(spark, sf_dir)
+    text = sample.table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    sized = inv.roles.join(text, "doc_id").withColumn("logical_bytes", F.when(F.col("name") == "package.json", F.lit(1).cast("long")).otherwise(F.col("n")))
+    hashed = ev.hash_content(inv.content(), "D4")
+    groups = ev.duplicate_groups(hashed)
+    return ev.directory_evidence(structural.directory_aggregates(sized, inv.directories), hashed, groups, ev.duplicate_members(hashed, groups))
+
+
+_EVIDENCE = "SELECT ob.relative_path, observed_files, observed_bytes, coalesce(selected_files, 0)::BIGINT AS selected_files, coalesce(selected_bytes, 0)::BIGINT AS selected_bytes, 0::BIGINT AS candidate_files, 0::BIGINT AS candidate_bytes, coalesce(confirmed_files, 0)::BIGINT AS confirmed_files, coalesce(confirmed_bytes, 0)::BIGINT AS confirmed_bytes, coalesce(selected_files, 0) / observed_files AS coverage, CASE WHEN coalesce(selected_files, 0) = 0 THEN 0.0 ELSE confirmed_files / selected_files END AS confirmed_ratio FROM ob LEFT JOIN se USING (relative_path)"
+
+
+@query(f"SELECT * REPLACE (round(coverage, 9) AS coverage, round(confirmed_ratio, 9) AS confirmed_ratio) FROM ({_EVIDENCE})", **_SEL, **_COV)
+def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _directory_evidence(spark, sf_dir)
+    return rows.withColumns({"coverage": F.round("coverage", 9), "confirmed_ratio": F.round("confirmed_ratio", 9)})
+
+
+# Dependencies.
+
+_DEP = {
+    "ed": "SELECT source, target, confidence FROM (" + sample.EDGES.replace("{", "").replace("}", "") + ")",
+    "nb": "SELECT source AS a, target AS b FROM ed UNION SELECT target, source FROM ed",
+}
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes = sample.table(spark, sf_dir, "nation").select(F.col("n_name").alias("node"))
+    return nodes, sample.dependency_edges(spark, sf_dir).withColumn("relationship_type", F.lit("DEPENDS_ON"))
+
+
+@query(
+    "SELECT n_name AS node, (SELECT count(*) FROM nb WHERE a = n_name) AS relationship_degree, (SELECT count(*) FROM ed WHERE target = n_name) AS in_degree, (SELECT count(*) FROM ed WHERE source = n_name) AS out_degree, round((SELECT coalesce(sum(confidence), 0) FROM ed WHERE target = n_name), 9) AS weighted_in, round((SELECT coalesce(sum(confidence), 0) FROM ed WHERE source = n_name), 9) AS weighted_out FROM nation",
+    **_DEP,
+)
+def dependency_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graph.dependency_degrees(*_nations(spark, sf_dir))
+    return rows.select("node", "relationship_degree", "in_degree", "out_degree", F.round("weighted_in", 9).alias("weighted_in"), F.round("weighted_out", 9).alias("weighted_out"))
+
+
+@query(
+    """SELECT node, round(r, 9) AS pagerank FROM pk WHERE i = 100""",
+    **_DEP,
+    od="SELECT n_name AS node, count(source) AS o FROM nation LEFT JOIN ed ON source = n_name GROUP BY 1",
+    pk="""SELECT 0 AS i, n_name AS node, 1.0::DOUBLE / (SELECT count(*) FROM nation) AS r FROM nation
+      UNION ALL
+      SELECT i, node, r FROM (SELECT c.i + 1 AS i, n.n_name AS node, 0.15 / count(DISTINCT c.node) + 0.85 * sum(CASE WHEN od.o = 0 THEN c.r / 25 WHEN e.target IS NOT NULL THEN c.r / od.o ELSE 0 END) AS r
+        FROM pk c CROSS JOIN nation n JOIN od ON od.node = c.node LEFT JOIN ed e ON e.source = c.node AND e.target = n.n_name WHERE c.i < 100 GROUP BY c.i, n.n_name)""",
+)
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pagerank(*_nations(spark, sf_dir)).withColumn("pagerank", F.round("pagerank", 9))
+
+
+@query(
+    "SELECT n_name AS node, greatest(0, coalesce(w.c, 0) - 1)::BIGINT AS cut_risk FROM nation LEFT JOIN (SELECT v, count(DISTINCT root) AS c FROM (SELECT v, x, min(root) AS root FROM wr WHERE x IN (SELECT x FROM cr WHERE cr.v = wr.v) GROUP BY v, x) GROUP BY v) w ON w.v = n_name",
+    **_DEP,
+    cr="SELECT n_name AS v, n_name AS x FROM nation UNION SELECT cr.v, nb.b FROM cr JOIN nb ON nb.a = cr.x",
+    wr="SELECT v.n_name AS v, x.n_name AS x, x.n_name AS root FROM nation v JOIN nation x ON v.n_name <> x.n_name UNION SELECT wr.v, nb.b, wr.root FROM wr JOIN nb ON nb.a = wr.x WHERE nb.b <> wr.v",
+)
+def cut_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cut_risk(*_nations(spark, sf_dir))
+
+
+@query("SELECT count(*) AS projects, count(*) FILTER (n_regionkey < 3) AS evaluated, round(count(*) FILTER (n_regionkey < 3) / count(*), 9) AS coverage FROM nation")
+def dependency_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = F.count_if(F.col("n_regionkey") < 3)
+    return sample.table(spark, sf_dir, "nation").agg(F.count(F.lit(1)).alias("projects"), done.alias("evaluated"), F.round(done / F.count(F.lit(1)), 9).alias("coverage"))
+
+
+# Synthesis: top directories stand for projects; those with an even number of nations' letters are not needed here.
+
+_SYN = {
+    **_SEL, **_COV, **_EXT, "da": _DALL,
+    "dh": "SELECT relative_path, count(*) AS history_transitions, sum(ambiguous)::BIGINT AS history_ambiguous, avg(churn) AS mean_churn, max(churn) AS max_churn FROM da GROUP BY 1",
+    "evd": _EVIDENCE,
+    "pj": "SELECT relative_path AS project, 1 AS one FROM dirs WHERE relative_path IN ('src1', 'src2', 'src3')",
+    "ce": "SELECT e.relative_path, pj.project, coverage, selected_files, candidate_files, confirmed_files, confirmed_ratio, CASE WHEN pj.project IS NULL THEN 'NO_PROJECT_CONTEXT' WHEN pj.project = 'src3' THEN 'NOT_EVALUATED' ELSE 'EVALUATED' END AS evaluation_state, CASE pj.project WHEN 'src2' THEN 1 ELSE 0 END::BIGINT AS cut_risk, history_transitions, history_ambiguous, mean_churn, max_churn FROM evd e JOIN dh USING (relative_path) LEFT JOIN pj ON pj.project = string_split(e.relative_path, '/')[1] WHERE e.relative_path <> ''",
+}
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _directory_evidence(spark, sf_dir)
+    history = temporal.directory_history(chain(spark, sf_dir, "directories"))
+    candidates = found.select("relative_path").where("relative_path <> ''").join(history, "relative_path", "left_semi")
+    rows = [("src1", "EVALUATED", 0, 1, 1, 0.2, 0), ("src2", "EVALUATED", 1, 0, 1, 0.4, 1), ("src3", "NOT_EVALUATED", 0, 0, 0, 0.2, 0)]
+    dependency = spark.createDataFrame(rows, "node string, evaluation_state string, in_degree long, out_degree long, relationship_degree long, pagerank double, cut_risk long")
+    projects_seen = spark.createDataFrame([(p, 0.5, 0) for p in ("src1", "src2", "src3")], "project string, activity_ratio double, ambiguous_files long")
+    return synthesis.candidate_evidence(candidates, found, dependency, history, projects_seen)
+
+
+@query("SELECT relative_path, project, round(coverage, 9) AS coverage, selected_files, candidate_files, confirmed_files, round(confirmed_ratio, 9) AS confirmed_ratio, evaluation_state, cut_risk, history_transitions, history_ambiguous, round(mean_churn, 9) AS mean_churn, round(max_churn, 9) AS max_churn FROM ce", **_SYN)
+def candidate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _evidence(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("coverage", "confirmed_ratio", "mean_churn", "max_churn")})
+    return rows.select("relative_path", "project", "coverage", "selected_files", "candidate_files", "confirmed_files", "confirmed_ratio", "evaluation_state", "cut_risk", "history_transitions", "history_ambiguous", "mean_churn", "max_churn")
+
+
+@query(
+    "SELECT relative_path, signal FROM (SELECT relative_path, unnest(list_filter([CASE WHEN coverage < 1 THEN 'ENRICHMENT_PARTIAL_COVERAGE' END, CASE WHEN confirmed_files > 0 THEN 'CONFIRMED_DUPLICATE_MEMBERS' END, CASE WHEN project IS NOT NULL AND evaluation_state <> 'EVALUATED' THEN 'DEPENDENCY_NOT_EVALUATED' END, CASE WHEN cut_risk > 0 THEN 'DEPENDENCY_CUT_RISK' END, CASE WHEN history_ambiguous > 0 THEN 'HISTORY_AMBIGUITY' END, CASE WHEN max_churn > 0 THEN 'HISTORY_CHURN_OBSERVED' END], lambda s: s IS NOT NULL)) AS signal FROM ce)",
+    **_SYN,
+)
+def review_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthesis.review_signals(_evidence(spark, sf_dir))
+
+
+# Planning.
+
+_CAND = "SELECT f.relative_path AS candidate_id, (SELECT arg_max(d.relative_path, len(d.relative_path)) FROM dirs d WHERE starts_with(f.relative_path, d.relative_path || '/')) AS parent_id, recursive_bytes, file_count, coalesce(decision = 'ARCHIVE_ELIGIBLE', false)::INTEGER AS eligible, coalesce(decision IN ('KEEP', 'PROTECT', 'NOT_REBUILDABLE'), false)::INTEGER AS protected, preservation_ratio AS preservation_risk, 1 - role_coherence AS incoherence FROM feat f LEFT JOIN cur c ON c.relative_path = f.relative_path"
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inv = Inventory(spark, sf_dir)
+    return planning.candidate_tree(inv.features, ranking.objective_intervals(inv.features), inv.current())
+
+
+@query("SELECT * REPLACE (round(preservation_risk, 9) AS preservation_risk, round(incoherence, 9) AS incoherence) FROM cand", cand=_CAND)
+def candidate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).withColumns({"preservation_risk": F.round("preservation_risk", 9), "incoherence": F.round("incoherence", 9)})
+
+
+def _actions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Twenty plans: plan i archives the eligible candidates whose top directory is src<i>."""
+    candidates = _candidates(spark, sf_dir)
+    plans = spark.range(20).select(F.concat(F.lit("plan"), F.col("id")).alias("plan_id"), F.concat(F.lit("src"), F.col("id")).alias("top"))
+    chosen = F.when((F.col("eligible") == 1) & (paths.top("candidate_id") == F.col("top")), 1).otherwise(0)
+    rows = candidates.join(F.broadcast(plans)).select("plan_id", "candidate_id", chosen.alias("action"))  # twenty rows
+    return rows, candidates
+
+
+_METRICS = {
+    "cand": _CAND,
+    "tot": "SELECT sum(recursive_bytes) AS b, sum(file_count) AS n FROM cand WHERE parent_id IS NULL",
+    "pm": "SELECT plan_id, -coalesce(sum(recursive_bytes) FILTER (x), 0)::DOUBLE + 0.0 AS negative_recoverable_bytes, greatest(0, max(n) - coalesce(sum(file_count) FILTER (x), 0))::DOUBLE AS remaining_loose_files, coalesce(sum(recursive_bytes * preservation_risk) FILTER (x), 0) / greatest(max(b), 1) AS preservation_risk, coalesce(max(recursive_bytes) FILTER (x), 0)::DOUBLE AS peak_temporary_bytes, (count(*) FILTER (x))::DOUBLE AS archive_count, coalesce(sum(recursive_bytes * incoherence) FILTER (x), 0) / greatest(max(b), 1) AS archive_incoherence FROM (SELECT 'plan' || i AS plan_id, cand.*, eligible = 1 AND string_split(candidate_id, '/')[1] = 'src' || i AS x FROM cand CROSS JOIN (SELECT unnest(range(20)) AS i)) CROSS JOIN tot GROUP BY plan_id",
+}
+
+
+@query("SELECT plan_id, negative_recoverable_bytes, remaining_loose_files, round(preservation_risk, 9) AS preservation_risk, peak_temporary_bytes, archive_count, round(archive_incoherence, 9) AS archive_incoherence FROM pm", **_METRICS)
+def plan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = planning.plan_metrics(*_actions(spark, sf_dir))
+    return rows.withColumns({"preservation_risk": F.round("preservation_risk", 9), "archive_incoherence": F.round("archive_incoherence", 9)})
+
+
+_SIX = ("negative_recoverable_bytes", "remaining_loose_files", "preservation_risk", "peak_temporary_bytes", "archive_count", "archive_incoherence")
+
+
+@query(f"SELECT a.plan_id FROM pm a WHERE NOT EXISTS (SELECT 1 FROM pm b WHERE {' AND '.join(f'b.{c} <= a.{c}' for c in _SIX)} AND ({' OR '.join(f'b.{c} < a.{c}' for c in _SIX)}))", **_METRICS)
+def plan_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans that no other dominates: the plans are few, their metrics one row each."""
+    m = planning.plan_metrics(*_actions(spark, sf_dir))
+    other = m.select(*(F.col(c).alias(f"o_{c}") for c in _SIX))
+    at_most, less = F.lit(True), F.lit(False)
+    for c in _SIX:
+        at_most, less = at_most & (F.col(f"o_{c}") <= F.col(c)), less | (F.col(f"o_{c}") < F.col(c))
+    return m.join(F.broadcast(other), at_most & less, "left_anti").select("plan_id")
+
+
+@query()
+def exact_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact frontier of the top directories and the next level, reduced to labelled plans."""
+    rows = _candidates(spark, sf_dir).where("candidate_id IN ('src1', 'src2') OR candidate_id RLIKE '^src[12]/[^/]+$'")
+    tree = planning.tree_of(rows)
+    found = planning.exact_frontier(tree, planning.Policy(1 << 40, 1 << 40))
+    kept = planning.reduce_plans(planning.merge_sources(("EXACT", p) for p in found))
+    return spark.createDataFrame([(p.plan_id, ",".join(labels), len(p.archive_names), *p.metrics) for p, labels in kept], f"plan_id string, labels string, archives long, {', '.join(f'{c} double' for c in _SIX)}")
+
+
+@query("SELECT relative_path, regexp_replace(string_split(relative_path, '/')[-1], '[^A-Za-z0-9._-]+', '-', 'g') AS slug_of, regexp_replace(regexp_replace(string_split(relative_path, '/')[-1], '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')[1:60] || '-' || substr(sha256(relative_path), 1, 12) || '.zip' AS label FROM dirs")
+def archive_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirs = Inventory(spark, sf_dir).directories
+    return dirs.select("relative_path", F.regexp_replace(paths.name("relative_path"), "[^A-Za-z0-9._-]+", "-").alias("slug_of"), planning.archive_label("relative_path").alias("label"))
+
+
+_PROPOSAL = {
+    "elig": "SELECT relative_path FROM cur WHERE decision = 'ARCHIVE_ELIGIBLE'",
+    "prot": "SELECT relative_path FROM cur WHERE decision IN ('KEEP', 'PROTECT', 'NOT_REBUILDABLE')",
+    "pf": "SELECT a.relative_path, recursive_bytes, file_count, EXISTS (SELECT 1 FROM prot p WHERE p.relative_path = a.relative_path OR starts_with(p.relative_path, a.relative_path || '/') OR starts_with(a.relative_path, p.relative_path || '/')) AS shielded, EXISTS (SELECT 1 FROM e0 p WHERE p.relative_path = a.relative_path OR starts_with(p.relative_path, a.relative_path || '/') OR starts_with(a.relative_path, p.relative_path || '/')) AS broken, a.relative_path IN (SELECT relative_path FROM elig) AS eligible, EXISTS (SELECT 1 FROM elig p WHERE starts_with(p.relative_path, a.relative_path || '/')) AS holds FROM agg a WHERE a.relative_path <> ''",
+    "able": "SELECT relative_path FROM pf WHERE eligible AND NOT shielded AND NOT broken AND file_count > 0",
+    "arch": "SELECT relative_path FROM able a WHERE NOT EXISTS (SELECT 1 FROM able b WHERE starts_with(a.relative_path, b.relative_path || '/'))",
+}
+
+
+def _proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inv = Inventory(spark, sf_dir)
+    return planning.proposal(inv.aggregates, inv.current(), sample.errors(spark, sf_dir, 0))
+
+
+@query("SELECT relative_path, CASE WHEN shielded THEN 'PROTECTED' WHEN EXISTS (SELECT 1 FROM arch a WHERE starts_with(pf.relative_path, a.relative_path || '/')) THEN 'KEEP_UNPACKED' WHEN relative_path IN (SELECT relative_path FROM arch) THEN 'ARCHIVE_AS_UNIT' WHEN holds THEN 'DEFER_TO_CHILDREN' ELSE 'KEEP_UNPACKED' END AS action, recursive_bytes, file_count FROM pf", **_PROPOSAL)
+def greedy_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proposal(spark, sf_dir)
+
+
+@query("SELECT arch.relative_path AS root, f.relative_path, f.logical_bytes FROM arch JOIN f ON starts_with(f.relative_path, arch.relative_path || '/')", **_PROPOSAL)
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = _proposal(spark, sf_dir).where("action = 'ARCHIVE_AS_UNIT'").select("relative_path")
+    return planning.archive_members(sample.files(spark, sf_dir), roots)
+
+
+@query("SELECT arch.relative_path AS root, count(*) AS files, sum(f.logical_bytes)::BIGINT AS bytes, true AS reconciled FROM arch JOIN f ON starts_with(f.relative_path, arch.relative_path || '/') GROUP BY 1", **_PROPOSAL)
+def member_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = _proposal(spark, sf_dir).where("action = 'ARCHIVE_AS_UNIT'")
+    members = planning.archive_members(sample.files(spark, sf_dir), roots.select("relative_path"))
+    return planning.reconcile(members, roots.select(F.col("relative_path").alias("root"), "file_count", "recursive_bytes"))
+
+
+@query("SELECT a.relative_path, b.relative_path AS above FROM cur a JOIN cur b ON starts_with(a.relative_path, b.relative_path || '/') UNION ALL SELECT d.relative_path, p.relative_path FROM dirs d JOIN pr p ON starts_with(d.relative_path, p.relative_path || '/')")
+def overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps among decided directories, and of directories with project roots above them."""
+    inv = Inventory(spark, sf_dir)
+    decided = planning.overlapping_roots(inv.current().select("relative_path"))
+    up = inv.directories.select("relative_path", F.explode(paths.ancestors("relative_path", root=False)).alias("above"))
+    return decided.unionByName(up.join(inv.projects.select(F.col("relative_path").alias("above")), "above").select("relative_path", "above"))
+
+
+# Gates and export.
+
+
+@query("SELECT event_type, quantile_disc(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY 1")
+def p95_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.p95(sample.table(spark, sf_dir, "events"), "value", "event_type")
+
+
+@query("SELECT event_type, CASE WHEN n < 100 THEN 'INCOMPLETE' WHEN p > 50 THEN 'FAIL' ELSE 'PASS' END AS status FROM (SELECT event_type, quantile_disc(value, 0.95) AS p, count(*) AS n FROM events GROUP BY 1)")
+def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.latency_gates(sample.table(spark, sf_dir, "events"), "value", "event_type", budget=50.0).select("event_type", "status")
+
+
+@query(
+    "SELECT section, key, line FROM (SELECT 0 AS section, '' AS key, '{\"record_type\":\"session\",\"schema\":2,\"status\":\"COMPLETE\"}' AS line UNION ALL SELECT 1, relative_path, '{\"record_type\":\"directory\",\"relative_path\":\"' || relative_path || '\"}' FROM dirs UNION ALL SELECT 2, relative_path, '{\"logical_bytes\":' || logical_bytes || ',\"record_type\":\"file\",\"relative_path\":\"' || relative_path || '\"}' FROM f UNION ALL SELECT 3, relative_path || chr(0) || operation, '{\"error_type\":\"' || error_type || '\",\"operation\":\"' || operation || '\",\"record_type\":\"error\",\"relative_path\":\"' || relative_path || '\"}' FROM e0)"
+)
+def canonical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treeline.operators import lineage
+
+    inv = Inventory(spark, sf_dir)
+    none = spark.createDataFrame([], "event_id long, event_type string, detail_json string")
+    return lineage.export_lines(inv.directories, inv.files.select("relative_path", "logical_bytes"), sample.errors(spark, sf_dir, 0), none)
+
+
+@query("SELECT kind, relative_path, CASE WHEN contains(relative_path, '/') THEN regexp_replace(relative_path, '/[^/]+$', '') END AS parent_path, regexp_extract(relative_path, '([^/]+)$', 1) AS name, extension, logical_bytes, modified_ns, depth FROM items")
+def snapshot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Inventory(spark, sf_dir).items
+
