@@ -66,7 +66,8 @@ def window_hits(docs: DataFrame, items: DataFrame, n: int = 13, *, key: str = "d
         parts = F.split("gram", " ")
         inner = F.transform(F.sequence(F.lit(1), F.lit(length - block + 1)), lambda s: _gram(parts, s, F.lit(block)))  # noqa: B023
         blocks = own.select(F.explode(inner).alias("g")).select(F.xxhash64("g").alias("h")).distinct()
-        whole = F.sequence(F.lit(0), F.expr(f"size(w) div {block} - 1"))
+        # sequence() would count down where there is no block.
+        whole = F.when(F.size("w") >= length, F.sequence(F.lit(0), F.expr(f"size(w) div {block} - 1"))).otherwise(F.array().cast("array<int>"))
         aligned = F.transform(whole, lambda i: F.xxhash64(_gram(F.col("w"), i * block + 1, F.lit(block))))  # noqa: B023
         hashed = base.where(F.size("w") >= length).select("row_key", "w", aligned.alias("b"))
         if small:
