@@ -5,12 +5,13 @@ value that starts with i; a coordinate keeps its least value. After T random rou
 into coordinate j, so every coordinate fills whatever the set's size. Once all are full, later rounds change nothing.
 
 Bands of R coordinates propose pairs. Equal shingle sets are one node from the start. A bucket of up to SMALL nodes
-proposes all its pairs; a larger one proposes a few pivots with each other node. Proposals whose sketches agree far
-less than linked documents' do are dropped, the others are confirmed on full shingle sets. Larger buckets that still
-lie in several components then have their remaining pairs held against each other exactly, block by block; a block
-gives back only the links that join components.
+proposes two pivots with each other node: its least node and the one that meets most nodes in large buckets, which
+is near the middle of its group. Proposals whose sketches agree far less than linked documents' do are dropped, the
+others are confirmed on full shingle sets. Larger buckets that still lie in several components then have their
+remaining pairs, those outside and across the largest component, held against each other exactly, block by block; a
+block gives back only the links that join components.
 
-The chance that a link of the least similarity, 0.85, is missed is (1 - 0.85^6)^32 < 3e-7 for the bands, and < 1e-10
+The chance that a link of the least similarity, 0.85, is missed is (1 - 0.85^5)^24 < 1e-6 for the bands, and < 1e-10
 for the sketch comparison.
 """
 
@@ -31,14 +32,14 @@ from treeline.llm.common import map_arrow, stash
 from treeline.store import ship
 
 #: Coordinates of a sketch, coordinates of a band, bands.
-T, R = 192, 6
+T, R = 120, 5
 BANDS = T // R
 #: Nodes of a bucket up to which all pairs are proposed; nodes of a block beyond.
 SMALL, BLOCK = 24, 256
-#: Pivots of a large bucket, about.
-PIVOTS = 8
-#: Agreeing coordinates that a pair needs to be confirmed: at 0.85 the mean is 163, the deviation 5.
-AGREE = 120
+#: Nodes up to which the keys of the texts that are needed again are broadcast to the scan, about 64 bytes each; beyond, texts are shuffled.
+BROADCAST_NODES = 1_000_000
+#: Agreeing coordinates that a pair needs to be confirmed: at 0.85 the mean is 102, the deviation 4.
+AGREE = 72
 WORD = re.compile("[^\x20\x09-\x0d]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _MASK = (1 << 64) - 1
@@ -166,7 +167,7 @@ def _confirm(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 
 def _block_links(cell: pd.DataFrame) -> pd.DataFrame:
-    """Links between different components among the pairs of one or two blocks, as few as join what they join."""
+    """Links between different components among the pairs of one block, or across two, as few as join what they join."""
     root = {r: r for r in cell["root"]}
 
     def top(r: bytes) -> bytes:
@@ -176,13 +177,15 @@ def _block_links(cell: pd.DataFrame) -> pd.DataFrame:
         return r
 
     rows = [(n, b, r, np.frombuffer(s, np.uint64)) for n, b, r, s in cell[["node", "block", "root", "s"]].itertuples(index=False)]
-    rows.sort(key=lambda x: len(x[3]))
     one_block, got = cell["i"].iloc[0] == cell["j"].iloc[0], []
-    for k, (a, block, ra, sa) in enumerate(rows):
-        for b, other, rb, sb in rows[k + 1 :]:
-            if 100 * len(sa) < 85 * len(sb):
-                break
-            if (one_block or block != other) and top(ra) != top(rb) and linked(sa, sb):
+    left = [x for x in rows if x[1] == cell["i"].iloc[0]]
+    right = sorted(left if one_block else [x for x in rows if x[1] == cell["j"].iloc[0]], key=lambda x: len(x[3]))
+    sizes = np.array([len(x[3]) for x in right])
+    for a, _, ra, sa in left:
+        # Only sizes that allow a link.
+        for k in range(np.searchsorted(sizes, 0.85 * len(sa) - 1), np.searchsorted(sizes, len(sa) / 0.85 + 1)):
+            b, _, rb, sb = right[k]
+            if a != b and top(ra) != top(rb) and linked(sa, sb):
                 root[top(ra)] = top(rb)
                 got.append((a, b))
     return pd.DataFrame(got, columns=["a", "b"], dtype=object)
@@ -212,7 +215,7 @@ def components(links: DataFrame) -> DataFrame:
             return mapping
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) that full sets confirm. Pairs that hang together are confirmed in one cell, so that each set
     travels once; what hangs together in more than 4 * BLOCK nodes is dealt over cells of two blocks."""
     where = components(pairs)
@@ -220,18 +223,19 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     homes = where.join(sizes, "root").select("node", "root", F.expr(f"pmod(xxhash64(node), ceil(c / {4 * BLOCK}))").alias("h"))
     a = homes.select(F.col("node").alias("a"), F.col("root"), F.col("h").alias("ha"))
     b = homes.select(F.col("node").alias("b"), F.col("h").alias("hb"))
-    celled = stash(pairs.join(a, "a").join(b, "b").select("a", "b", F.struct("root", F.least("ha", "hb").alias("i"), F.greatest("ha", "hb").alias("j")).alias("cell")), "cells")
-    ends = celled.select(F.col("a").alias("node"), "cell").unionByName(celled.select(F.col("b").alias("node"), "cell")).distinct()
-    flat = lambda df, *c: df.select(*c, F.xxhash64("cell").alias("deal"))
-    sets = _with_sets(flat(ends, "node", "cell"), texts, ["deal"], "deal long")
-    left = flat(celled, "a", "b", "cell").select("a", "b", "deal")
-    return left.groupBy("deal").cogroup(sets.groupBy("deal")).applyInPandas(_confirm, "a binary, b binary")
+    deal = F.xxhash64("root", F.least("ha", "hb"), F.greatest("ha", "hb"))
+    celled = stash(pairs.join(a, "a").join(b, "b").select("a", "b", deal.alias("deal")), "cells")
+    ends = celled.select(F.col("a").alias("node"), "deal").unionByName(celled.select(F.col("b").alias("node"), "deal")).distinct()
+    sets = ends.withColumnRenamed("deal", "cell").join(_full_sets(where.select("node"), rows, reps), "node")
+    return celled.groupBy("deal").cogroup(sets.groupBy("cell")).applyInPandas(_confirm, "a binary, b binary")
 
 
-def _with_sets(nodes: DataFrame, texts: DataFrame, columns: list[str], ddl: str) -> DataFrame:
-    """``nodes`` (node, columns...) with ``s``, the full set of the node, from one text that has it."""
-    joined = nodes.join(texts, "node").select("node", *columns, "text")
-    return map_arrow(joined, _sets, f"node binary, {ddl}, s binary")
+def _full_sets(nodes: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, s): the full set of each node, made again from one text that has it."""
+    wanted = stash(nodes.distinct().join(reps, "node").select("node", "id"), "wanted")
+    small = wanted.count() <= BROADCAST_NODES
+    texts = rows.join(F.broadcast(wanted) if small else wanted, "id").select("node", "text")
+    return map_arrow(texts, _sets, "node binary, s binary").dropDuplicates(["node"])
 
 
 def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,9 +261,10 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     lists = found.where(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
     pairs = lists.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
     large = found.where(F.col("c") > SMALL)
-    chosen = (F.col("node") == F.col("least")) | (F.expr("pmod(xxhash64(node), 1000000007)") * F.col("c") < PIVOTS * 1000000007)
-    pivots = large.where(chosen).select("key", F.col("node").alias("pivot"))
-    starred = large.join(pivots, "key").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    met = large.groupBy("node").agg(F.sum("c").alias("met"))
+    middle = large.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("middle"))
+    pivoted = large.join(middle, "key").select("node", F.explode(F.array_distinct(F.array("least", "middle"))).alias("pivot"))
+    starred = pivoted.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     proposed = pairs.unionByName(starred).distinct()
 
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -269,18 +274,24 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     # One text for each node: its representative's.
     reps = nodes.select("node", F.col("rep").alias("id"))
     own = base.select("id", "node")
-    texts = rows.join(reps, "id").select("node", "text")
-    links = stash(_confirmed(likely, texts), "links")
+    links = stash(_confirmed(likely, rows, reps), "links")
     joined = components(links)
     open_buckets = (
         large.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     )
     rest = stash(large.join(open_buckets, "key", "left_semi").join(joined, "node", "left").select("key", "node", "c", F.coalesce("root", "node").alias("root")), "open")
     if not rest.isEmpty():
-        blocks = rest.withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), nb) as int)"))
-        dealt = blocks.select("node", "key", "root", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-        dealt = dealt.select("node", "key", "root", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-        with_sets = _with_sets(dealt, texts, ["key", "root", "block", "i", "j"], "key long, root binary, block int, i int, j int")
+        shares = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("share"))
+        sums = shares.groupBy("key").agg(F.max_by("root", F.struct("share", "root")).alias("main"), F.max("share").alias("most"), F.sum("share").alias("all"))
+        in_main = F.col("root") == F.col("main")
+        # Blocks of the largest component and of the others; the largest one's blocks never meet each other.
+        counted = rest.join(sums, "key").withColumns({"mb": F.expr(f"cast(ceil(most / {BLOCK}) as int)"), "ob": F.expr(f"cast(ceil((all - most) / {BLOCK}) as int)")})
+        blocks = counted.withColumn("block", F.when(in_main, F.concat(F.lit("m"), F.expr("pmod(xxhash64(node), mb)"))).otherwise(F.concat(F.lit("o"), F.expr("pmod(xxhash64(node), ob)"))))
+        others = F.transform(F.sequence(F.lit(0), F.col("ob") - 1), lambda x: F.concat(F.lit("o"), x))
+        mains = F.transform(F.sequence(F.lit(0), F.col("mb") - 1), lambda x: F.concat(F.lit("m"), x))
+        dealt = blocks.select("node", "key", "root", "block", F.explode(F.when(in_main, others).otherwise(F.concat(others, mains))).alias("other"))
+        dealt = dealt.select("node", "key", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        with_sets = dealt.join(_full_sets(rest.select("node"), rows, reps), "node")
         more = stash(with_sets.groupBy("key", "i", "j").applyInPandas(_block_links, "a binary, b binary"), "more")
         if not more.isEmpty():
             joined = components(links.unionByName(more))
