@@ -149,7 +149,7 @@ def _clean(raw: str) -> str:
 def _container(path: str) -> str:
     """The nearest enclosing element that groups blocks."""
     parts = path.split("/")
-    while len(parts) > 2 and parts[-1].split(".")[0] not in ("article", "main", "div", "section", "td", "body", "center", "ul", "ol", "dl"):
+    while len(parts) > 1 and parts[-1].split(".")[0] not in ("article", "main", "div", "section", "td", "body", "center", "ul", "ol", "dl"):
         parts.pop()
     return "/".join(parts)
 
@@ -177,18 +177,39 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for (kind, token), (count, chars) in seen.items():
                     for c, v in zip(cols, (host, page, kind, token, count, chars), strict=True):
                         c.append(v)
-            types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            types = (pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "page", "kind", "token", "count", "chars"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_main(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
+    """Pages whose article or main element has text, with that text in place of html (the last column); or, as they are, the others."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            n = some.num_columns - 1
+            runs = [parse(h.as_py())[1] for h in some.column(n)]
+            own = [[r for r in rs if r.main and not r.chrome] for rs in runs]
+            has = pa.array([any(_clean(r.text) for r in rs) == wanted for rs in own], pa.bool_())
+            last = pa.array([_joined(rs) for rs in own], pa.string()) if wanted else some.column(n)
+            yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(n)), last], names=some.schema.names).filter(has)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last columns are html, template (hashes of the page's template runs) and main_box (the host's main container)."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
             n = some.num_columns
             out = [extract(h.as_py(), set(t.as_py() or ()), m.as_py()) for h, t, m in zip(some.column(n - 3), some.column(n - 2), some.column(n - 1), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(n - 3)), pa.array(out, pa.string())], names=[*some.schema.names[: n - 3], "text"])
+            yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(n - 3)), pa.array(out, pa.string())], names=[*some.schema.names[: n - 3], "html"])
+
+
+def _joined(runs: list[Run]) -> str:
+    """Blocks in page order, white space in each turned into one space."""
+    blocks: dict[int, list[str]] = {}
+    for r in runs:
+        blocks.setdefault(r.block, []).append(r.text)
+    return "\n".join(t for t in (_clean("".join(parts)) for parts in blocks.values()) if t)
 
 
 def extract(page: str | None, template: set[int], main_box: int | None) -> str:
@@ -204,10 +225,7 @@ def extract(page: str | None, template: set[int], main_box: int | None) -> str:
         boxes = [b for b in size if size[b]]
         main = next((b for b in boxes if _hash("c", b) == main_box), None) or max(boxes, key=lambda b: (size[b], b), default=None)
         own = [r for r in kept if main is not None and (_container(r.path) == main or r.path.startswith(main + "/"))]
-    blocks: dict[int, list[str]] = {}
-    for r in own:
-        blocks.setdefault(r.block, []).append(r.text)
-    return "\n".join(t for t in (_clean("".join(parts)) for parts in blocks.values()) if t)
+    return _joined(own)
 
 
 def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -221,9 +239,9 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
     rows; other columns are left out.
     """
     host, _ = split_url(F.col(url))
-    page = F.md5(F.concat_ws("\x00", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.coalesce(F.col(url), F.lit("null")), F.md5(F.coalesce(F.col(html), F.lit("")).cast("binary"))).cast("binary"))
+    page = F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.coalesce(F.col(url), F.lit("null")), F.md5(F.coalesce(F.col(html), F.lit("")).cast("binary"))).cast("binary")))
     base = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("html"), host.alias("host"), page.alias("page"))
-    tokens = stash(map_arrow(base.select("host", "page", "html"), _tokens, "host string, page string, kind int, token long, count long, chars long"), "tokens")
+    tokens = stash(map_arrow(base.select("host", "page", "html"), _tokens, "host string, page binary, kind int, token long, count long, chars long"), "tokens")
     sizes = base.groupBy("host").agg(F.countDistinct("page").alias("pages"))
     vectors = (
         tokens.where("kind < 2")
@@ -237,9 +255,12 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
     boxes = tokens.where("kind = 2").groupBy("host", "token").agg(F.sum("chars").alias("chars"))
     main = boxes.groupBy("host").agg(F.max_by("token", F.struct("chars", "token")).alias("main_box"))
     per_page = tokens.where("kind = 1").join(template, ["host", "token"], "left_semi").groupBy("page").agg(F.collect_set("token").alias("template"))
-    # A host's main container and a page's template runs meet the page by small rows; the page's text moves once.
-    hints = tokens.select("host", "page").distinct().join(main, "host", "left").select("page", "main_box").join(per_page, "page", "left")
-    joined = base.join(hints, "page", "left").select("_key", "_url", "html", "template", "main_box")
-    key_type, url_type = (dict(base.dtypes)[c] for c in ("_key", "_url"))
-    got = map_arrow(joined, _texts, f"_key {key_type}, _url {url_type}, text string")
-    return got.select(F.col("_key").alias(key), F.col("_url").alias(url), "text")
+    # Pages with an article or main element need no more than themselves; only the others' html meets the template.
+    names = ("_key", "_url", "page", "html")
+    ddl = ", ".join(f"{c} {dict(base.dtypes)[c]}" for c in names)
+    direct = map_arrow(base.select(*names), lambda it: _with_main(it, True), ddl).select("_key", "_url", "html")
+    others = map_arrow(base.select(*names), lambda it: _with_main(it, False), ddl)
+    hints = tokens.where("kind = 2").select("host", "page").distinct().join(main, "host", "left").select("page", "main_box").join(per_page, "page", "full")
+    joined = others.join(hints, "page", "left").select("_key", "_url", "html", "template", "main_box")
+    rest = map_arrow(joined, _slots, ", ".join(f"{c} {dict(base.dtypes)[c]}" for c in ("_key", "_url", "html")))
+    return direct.unionByName(rest).select(F.col("_key").alias(key), F.col("_url").alias(url), F.col("html").alias("text"))
