@@ -75,7 +75,8 @@ def solve_program(counts: np.ndarray, capacity: int, rounds: int) -> list[tuple[
         if not weight.any():
             break
         value = np.zeros(capacity + 1)
-        value[lengths] = lengths * weight
+        # More than in proportion to size, as dual prices of large items are: small ones fit in anywhere.
+        value[lengths] = (lengths / capacity) ** 2 * weight
         config = tuple(best_configuration(value, capacity))
         np.add.at(covered, place[list(config)], share)
         found[config] = found.get(config, 0) + 1
