@@ -34,8 +34,8 @@ BLOCKS = frozenset(
 CHROME_TAGS = frozenset("nav header footer aside form script style noscript template iframe object svg math canvas button select textarea input label dialog menu head title fieldset audio video".split())
 #: Words of a class, id or role that mark chrome.
 CHROME_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies reply respond "
-    "search share sharing sidebar signup site-footer site-header skip social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies reply respond "
+    "gdpr offcanvas pager pagination search share sharing sidebar sidenav signup site-footer site-header skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
 #: Words that keep a following chrome word from counting: article-header, has-sidebar.
 CONTENT_WORDS = frozenset("article content entry has main no post story with without".split())
