@@ -27,15 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, label: str, *, partition_by: list[str] | None = None) -> DataFrame:
+def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there and lost executors lose nothing.
 
     The files go when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/treeline-{label}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,14 +47,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, or it with underscores, so that it clashes with no column of ``df`` (names compare without case)."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
