@@ -60,7 +60,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> int:
         got = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(word) < 40 and len(self) < 600_000:
+        if len(word) < 40 and len(self) < 200_000:
             self[word] = got
         return got
 

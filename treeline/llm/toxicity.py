@@ -31,6 +31,8 @@ CATEGORIES = (("toxic_prose", "toxic = 1 AND quality = 1"), ("toxic_junk", "toxi
 
 _WORD = re.compile(r"[^\W\d_]+")
 _KNOWN: dict[str, tuple[int, int, int]] = {}
+#: Words that a worker remembers at most: bounds memory, not results.
+KNOWN_WORDS = 60_000
 
 
 def features(text: str | None) -> np.ndarray:
@@ -40,7 +42,7 @@ def features(text: str | None) -> np.ndarray:
         got = _KNOWN.get(word)
         if got is None:
             got = tuple(zlib.crc32(f"{kind}{part}".encode()) % SPACE for kind, part in (("w", word), ("4", word[:4]), ("5", word[:5])))
-            if len(_KNOWN) > 400_000:
+            if len(_KNOWN) >= KNOWN_WORDS:
                 _KNOWN.clear()
             if len(word) < 40:
                 _KNOWN[word] = got
@@ -176,8 +178,10 @@ def score(docs: DataFrame, chain: Chain, *, key: str = "doc_id", text: str = "te
 
 def _keep(batches: Iterator[pa.RecordBatch], chain: Chain, column: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        p = chain.probabilities([features(t.as_py()) for t in batch.column(column)])[:, -1]
-        yield batch.filter(pa.array(p < threshold))
+        for at in range(0, batch.num_rows, 1024):
+            some = batch.slice(at, 1024)
+            p = chain.probabilities([features(t.as_py()) for t in some.column(column)])[:, -1]
+            yield some.filter(pa.array(p < threshold))
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
