@@ -218,6 +218,16 @@ def test_extraction(spark):
     assert html.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_template_inside_articles(spark):
+    body = '<article><p>Story {0} has its own words<p>Join our <b>letter</b> today<p>told <b>by</b> {0}</article>'
+    rows = [page("t.org", i, body.format(i)) for i in range(6)] + [page("copies.org", 20 + i, body.format(9)) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, token string")
+    by = {r["page_id"]: r["text"] for r in html.extract_main_text(df).collect()}
+    for i in range(6):
+        assert by[i] == f"Story {i} has its own words\ntold by {i}"
+        assert by[20 + i] == "Story 9 has its own words\nJoin our letter today\ntold by 9"
+
+
 def test_media(spark, edge_docs, no_docs):
     got = media.store_and_fingerprint(edge_docs).collect()
     want = Counter()

@@ -5,7 +5,8 @@ with the same occurrence vector (how often on which pages) form an equivalence c
 of the host's pages, and has two tokens or more, is part of the host's template; classes nest by the places of their
 tags. What lies in the template itself - text runs that repeat with it - is not content; the other text runs are the
 slots. Of the slots, those inside containers that are chrome by their tag or role are left out, and the container
-that holds most of what remains over the host's pages is the main one; an article or main element goes before it.
+that holds most of what remains over the host's pages is the main one; the slots of an article or main element go
+before it. Inside such an element a repeated run needs MIN_MAIN_PAGES distinct pages, and goes only with its whole block.
 
 Occurrence vectors are compared as sums of hashes of (page, count), so no vector, page list or host is ever gathered
 in one place.
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,6 +46,10 @@ CONTENT_WORDS = frozenset("article content entry has main no post story with wit
 MAIN_TAGS = frozenset(("article", "main"))
 #: A template class is on this share of a host's pages, on MIN_PAGES of them, and has MIN_TOKENS tokens.
 SHARE, MIN_PAGES, MIN_TOKENS = 0.5, 3, 2
+#: Distinct pages that a text run inside an article or main element has to be on before it counts as template.
+MIN_MAIN_PAGES = 4
+#: Pages with exact copies up to which their keys are broadcast, about 64 bytes each; beyond, tokens are shuffled.
+BROADCAST_PAGES = 1_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -154,21 +161,31 @@ def _container(path: str) -> str:
     return "/".join(parts)
 
 
+def _free(host: str | None, page: str | None) -> tuple[list[str], list[Run], bytes, bytes]:
+    """(tags, free runs, their serial form, the page's key: host and serial form)."""
+    tags, runs = parse(page)
+    free = [r for r in runs if not r.chrome]
+    boxes: dict[str, int] = {}
+    rows = [(r.block, boxes.setdefault(_container(r.path), len(boxes)), int(r.main), r.text) for r in free]
+    serial = json.dumps([list(boxes), rows], ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
+    return tags, free, serial, hashlib.blake2b((host or "").encode("utf-8", "surrogatepass") + b"\0" + serial, digest_size=16).digest()
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, kind, token, count, chars): kind 0 a tag, 1 a text run, 2 a container's free characters."""
+    """(host, page, kind, token, count, chars): kind 0 a tag, 1 a text run, 3 one inside an article or main element, 2 a container's free characters, 4 the page itself."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
             cols: list[list] = [[], [], [], [], [], []]
-            for host, page, source in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2), strict=True):
-                tags, runs = parse(source.as_py())
-                seen: dict[tuple[int, int], list[int]] = {}
+            for host, source in zip(some.column(0).to_pylist(), some.column(1), strict=True):
+                tags, free, _, page = _free(host, source.as_py())
+                seen: dict[tuple[int, int], list[int]] = {(4, 0): [1, 0]}
                 for path in tags:
                     seen.setdefault((0, _hash("t", path)), [0, 0])[0] += 1
-                for r in runs:
+                for r in free:
                     clean = _clean(r.text)
-                    if clean and not r.chrome:
-                        got = seen.setdefault((1, _hash("r", f"{_container(r.path)}\0{clean}")), [0, 0])
+                    if clean:
+                        got = seen.setdefault((3 if r.main else 1, _hash("r", f"{_container(r.path)}\0{clean}")), [0, 0])
                         got[0] += 1
                         got[1] = len(clean)
                         if not r.main:
@@ -181,21 +198,18 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "page", "kind", "token", "count", "chars"])
 
 
-def _with_main(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
-    """Pages whose article or main element has text, with that text in place of html (the last column); or, as they are, the others."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last columns, host and html, become the page's key and its free runs, compressed."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
-            n = some.num_columns - 1
-            runs = [parse(h.as_py())[1] for h in some.column(n)]
-            own = [[r for r in rs if r.main and not r.chrome] for rs in runs]
-            has = pa.array([any(_clean(r.text) for r in rs) == wanted for rs in own], pa.bool_())
-            last = pa.array([_joined(rs) for rs in own], pa.string()) if wanted else some.column(n)
-            yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(n)), last], names=some.schema.names).filter(has)
+            n = some.num_columns - 2
+            got = [_free(h, p.as_py())[2:] for h, p in zip(some.column(n).to_pylist(), some.column(n + 1), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(n)), pa.array([k for _, k in got], pa.binary()), pa.array([zlib.compress(s) for s, _ in got], pa.binary())], names=[*some.schema.names[:n], "page", "packed"])
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last columns are html, template (hashes of the page's template runs) and main_box (the host's main container)."""
+    """The last columns are packed, template (hashes of the page's template runs) and main_box (the host's main container)."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
@@ -212,19 +226,29 @@ def _joined(runs: list[Run]) -> str:
     return "\n".join(t for t in (_clean("".join(parts)) for parts in blocks.values()) if t)
 
 
-def extract(page: str | None, template: set[int], main_box: int | None) -> str:
-    """The main text of one page, given its template's runs and its host's main container."""
-    _, runs = parse(page)
-    free = [r for r in runs if not r.chrome]
-    own = [r for r in free if r.main]
+def extract(packed: bytes, template: set[int], main_box: int | None) -> str:
+    """The main text of one packed page, given its template's runs and its host's main container."""
+    boxes, rows = json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
+    kept, held, whole = [], [], set()
+    for block, box, main, text in rows:
+        r = Run(text, boxes[box], False, bool(main), block)
+        clean = _clean(text)
+        fixed = bool(clean) and _hash("r", f"{r.path}\0{clean}") in template
+        if main and clean and not fixed:
+            whole.add(block)
+        if main:
+            held.append((r, fixed))
+        elif not fixed:
+            kept.append(r)
+    # A block of the article with a slot in it stays whole: a sentence keeps its repeated words.
+    own = [r for r, fixed in held if not fixed or r.block in whole]
     if not any(_clean(r.text) for r in own):
-        kept = [r for r in free if not _clean(r.text) or _hash("r", f"{_container(r.path)}\0{_clean(r.text)}") not in template]
         size: dict[str, int] = {}
         for r in kept:
-            size[_container(r.path)] = size.get(_container(r.path), 0) + len(_clean(r.text))
-        boxes = [b for b in size if size[b]]
-        main = next((b for b in boxes if _hash("c", b) == main_box), None) or max(boxes, key=lambda b: (size[b], b), default=None)
-        own = [r for r in kept if main is not None and (_container(r.path) == main or r.path.startswith(main + "/"))]
+            size[r.path] = size.get(r.path, 0) + len(_clean(r.text))
+        found = [b for b in size if size[b]]
+        chosen = next((b for b in found if _hash("c", b) == main_box), None) or max(found, key=lambda b: (size[b], b), default=None)
+        own = [r for r in kept if chosen is not None and (r.path == chosen or r.path.startswith(chosen + "/"))]
     return _joined(own)
 
 
@@ -239,28 +263,30 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
     rows; other columns are left out.
     """
     host, _ = split_url(F.col(url))
-    page = F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.coalesce(F.col(url), F.lit("null")), F.md5(F.coalesce(F.col(html), F.lit("")).cast("binary"))).cast("binary")))
-    base = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("html"), host.alias("host"), page.alias("page"))
-    tokens = stash(map_arrow(base.select("host", "page", "html"), _tokens, "host string, page binary, kind int, token long, count long, chars long"), "tokens")
-    sizes = base.groupBy("host").agg(F.countDistinct("page").alias("pages"))
+    base = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("html"), host.alias("host"))
+    every = stash(map_arrow(base.select("host", "html"), _tokens, "host string, page binary, kind int, token long, count long, chars long"), "tokens")
+    # Pages of a host with the same free text are one page to the template: an article that is there three times is none.
+    copies = stash(every.where("kind = 4").groupBy("page").count().where("count > 1").select("page"), "copies")
+    few = F.broadcast(copies) if copies.count() <= BROADCAST_PAGES else copies
+    copied = every.join(few, "page", "left_semi").groupBy("host", "page", "kind", "token").agg(F.max("count").alias("count"), F.max("chars").alias("chars"))
+    tokens = every.join(few, "page", "left_anti").unionByName(copied)
+    sizes = tokens.where("kind = 4").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     vectors = (
-        tokens.where("kind < 2")
+        tokens.where("kind in (0, 1, 3)")
         .groupBy("host", "kind", "token")
         .agg(F.count(F.lit(1)).alias("support"), F.sum((F.xxhash64("page", "count") % 4294967291).cast("decimal(20,0)")).alias("vector"))
         .join(sizes, "host")
-        .where((F.col("support") >= MIN_PAGES) & (F.col("support") >= F.col("pages") * SHARE))
+        .where((F.col("support") >= F.when(F.col("kind") == 3, MIN_MAIN_PAGES).otherwise(MIN_PAGES)) & (F.col("support") >= F.col("pages") * SHARE))
     )
     classes = vectors.groupBy("host", "support", "vector").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TOKENS)
-    template = vectors.where("kind = 1").join(classes, ["host", "support", "vector"], "left_semi").select("host", "token")
+    template = vectors.where("kind in (1, 3)").join(classes, ["host", "support", "vector"], "left_semi").select("host", "token")
     boxes = tokens.where("kind = 2").groupBy("host", "token").agg(F.sum("chars").alias("chars"))
     main = boxes.groupBy("host").agg(F.max_by("token", F.struct("chars", "token")).alias("main_box"))
-    per_page = tokens.where("kind = 1").join(template, ["host", "token"], "left_semi").groupBy("page").agg(F.collect_set("token").alias("template"))
-    # Pages with an article or main element need no more than themselves; only the others' html meets the template.
-    names = ("_key", "_url", "page", "html")
-    ddl = ", ".join(f"{c} {dict(base.dtypes)[c]}" for c in names)
-    direct = map_arrow(base.select(*names), lambda it: _with_main(it, True), ddl).select("_key", "_url", "html")
-    others = map_arrow(base.select(*names), lambda it: _with_main(it, False), ddl)
+    per_page = tokens.where("kind in (1, 3)").join(template, ["host", "token"], "left_semi").groupBy("page").agg(F.collect_set("token").alias("template"))
+    # Only the pages' free runs meet the template, compressed: tags and chrome stay behind.
+    types = dict(base.dtypes)
+    packed = map_arrow(base.select("_key", "_url", "host", "html"), _packed, f"_key {types['_key']}, _url {types['_url']}, page binary, packed binary")
     hints = tokens.where("kind = 2").select("host", "page").distinct().join(main, "host", "left").select("page", "main_box").join(per_page, "page", "full")
-    joined = others.join(hints, "page", "left").select("_key", "_url", "html", "template", "main_box")
-    rest = map_arrow(joined, _slots, ", ".join(f"{c} {dict(base.dtypes)[c]}" for c in ("_key", "_url", "html")))
-    return direct.unionByName(rest).select(F.col("_key").alias(key), F.col("_url").alias(url), F.col("html").alias("text"))
+    joined = packed.join(hints, "page", "left").select("_key", "_url", "packed", "template", "main_box")
+    rest = map_arrow(joined, _slots, f"_key {types['_key']}, _url {types['_url']}, html string")
+    return rest.select(F.col("_key").alias(key), F.col("_url").alias(url), F.col("html").alias("text"))
