@@ -228,6 +228,13 @@ def test_template_inside_articles(spark):
         assert by[20 + i] == "Story 9 has its own words\nJoin our letter today\ntold by 9"
 
 
+def test_sibling_sections_stay(spark):
+    body = '<div id=content><section id=intro><p>Opening {0}</section><section id=body><p>The longer body of page {0}</section></div><div class=lead>Lead {0}</div>'
+    df = spark.createDataFrame([page("s.org", i, body.format(i)) for i in range(5)], "page_id long, url string, html string, token string")
+    got = html.extract_main_text(df).collect()
+    assert len(got) == 5 and all(r["text"] == "Opening {0}\nThe longer body of page {0}\nLead {0}".format(r["page_id"]) for r in got)
+
+
 def test_media(spark, edge_docs, no_docs):
     got = media.store_and_fingerprint(edge_docs).collect()
     want = Counter()

@@ -4,9 +4,8 @@ A page is read as tokens: tags with their place in the page's tree, and text run
 with the same occurrence vector (how often on which pages) form an equivalence class. A class that is on at least half
 of the host's pages, and has two tokens or more, is part of the host's template; classes nest by the places of their
 tags. What lies in the template itself - text runs that repeat with it - is not content; the other text runs are the
-slots. Of the slots, those inside containers that are chrome by their tag or role are left out, and the container
-that holds most of what remains over the host's pages is the main one; the slots of an article or main element go
-before it. Inside such an element a repeated run needs MIN_MAIN_PAGES distinct pages, and goes only with its whole block.
+slots. Of the slots, those inside containers that are chrome by their tag or role are left out; all others are the
+main text, or where an article or main element has some of them, those. Inside such an element a repeated run needs MIN_MAIN_PAGES distinct pages, and goes only with its whole block.
 
 Occurrence vectors are compared as sums of hashes of (page, count), so no vector, page list or host is ever gathered
 in one place.
@@ -19,6 +18,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -172,30 +172,25 @@ def _free(host: str | None, page: str | None) -> tuple[list[str], list[Run], byt
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, kind, token, count, chars): kind 0 a tag, 1 a text run, 3 one inside an article or main element, 2 a container's free characters, 4 the page itself."""
+    """(host, page, kind, token, count): kind 0 a tag, 1 a text run, 3 one inside an article or main element, 4 the page itself."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
             for host, source in zip(some.column(0).to_pylist(), some.column(1), strict=True):
                 tags, free, _, page = _free(host, source.as_py())
-                seen: dict[tuple[int, int], list[int]] = {(4, 0): [1, 0]}
+                seen = Counter({(4, 0): 1})
                 for path in tags:
-                    seen.setdefault((0, _hash("t", path)), [0, 0])[0] += 1
+                    seen[0, _hash("t", path)] += 1
                 for r in free:
                     clean = _clean(r.text)
                     if clean:
-                        got = seen.setdefault((3 if r.main else 1, _hash("r", f"{_container(r.path)}\0{clean}")), [0, 0])
-                        got[0] += 1
-                        got[1] = len(clean)
-                        if not r.main:
-                            box = seen.setdefault((2, _hash("c", _container(r.path))), [0, 0])
-                            box[0], box[1] = 1, box[1] + len(clean)
-                for (kind, token), (count, chars) in seen.items():
-                    for c, v in zip(cols, (host, page, kind, token, count, chars), strict=True):
+                        seen[3 if r.main else 1, _hash("r", f"{_container(r.path)}\0{clean}")] += 1
+                for (kind, token), count in seen.items():
+                    for c, v in zip(cols, (host, page, kind, token, count), strict=True):
                         c.append(v)
-            types = (pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "page", "kind", "token", "count", "chars"])
+            types = (pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "page", "kind", "token", "count"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,13 +204,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last columns are packed, template (hashes of the page's template runs) and main_box (the host's main container)."""
+    """The last columns are packed and template (hashes of the page's template runs)."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
             n = some.num_columns
-            out = [extract(h.as_py(), set(t.as_py() or ()), m.as_py()) for h, t, m in zip(some.column(n - 3), some.column(n - 2), some.column(n - 1), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(n - 3)), pa.array(out, pa.string())], names=[*some.schema.names[: n - 3], "html"])
+            out = [extract(h.as_py(), set(t.as_py() or ())) for h, t in zip(some.column(n - 2), some.column(n - 1), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(n - 2)), pa.array(out, pa.string())], names=[*some.schema.names[: n - 2], "html"])
 
 
 def _joined(runs: list[Run]) -> str:
@@ -226,8 +221,8 @@ def _joined(runs: list[Run]) -> str:
     return "\n".join(t for t in (_clean("".join(parts)) for parts in blocks.values()) if t)
 
 
-def extract(packed: bytes, template: set[int], main_box: int | None) -> str:
-    """The main text of one packed page, given its template's runs and its host's main container."""
+def extract(packed: bytes, template: set[int]) -> str:
+    """The main text of one packed page, given its template's runs."""
     boxes, rows = json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
     kept, held, whole = [], [], set()
     for block, box, main, text in rows:
@@ -243,12 +238,7 @@ def extract(packed: bytes, template: set[int], main_box: int | None) -> str:
     # A block of the article with a slot in it stays whole: a sentence keeps its repeated words.
     own = [r for r, fixed in held if not fixed or r.block in whole]
     if not any(_clean(r.text) for r in own):
-        size: dict[str, int] = {}
-        for r in kept:
-            size[r.path] = size.get(r.path, 0) + len(_clean(r.text))
-        found = [b for b in size if size[b]]
-        chosen = next((b for b in found if _hash("c", b) == main_box), None) or max(found, key=lambda b: (size[b], b), default=None)
-        own = [r for r in kept if chosen is not None and (r.path == chosen or r.path.startswith(chosen + "/"))]
+        own = kept
     return _joined(own)
 
 
@@ -264,11 +254,11 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
     """
     host, _ = split_url(F.col(url))
     base = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("html"), host.alias("host"))
-    every = stash(map_arrow(base.select("host", "html"), _tokens, "host string, page binary, kind int, token long, count long, chars long"), "tokens")
+    every = stash(map_arrow(base.select("host", "html"), _tokens, "host string, page binary, kind int, token long, count long"), "tokens")
     # Pages of a host with the same free text are one page to the template: an article that is there three times is none.
     copies = stash(every.where("kind = 4").groupBy("page").count().where("count > 1").select("page"), "copies")
     few = F.broadcast(copies) if copies.count() <= BROADCAST_PAGES else copies
-    copied = every.join(few, "page", "left_semi").groupBy("host", "page", "kind", "token").agg(F.max("count").alias("count"), F.max("chars").alias("chars"))
+    copied = every.join(few, "page", "left_semi").groupBy("host", "page", "kind", "token").agg(F.max("count").alias("count"))
     tokens = every.join(few, "page", "left_anti").unionByName(copied)
     sizes = tokens.where("kind = 4").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     vectors = (
@@ -280,13 +270,10 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
     )
     classes = vectors.groupBy("host", "support", "vector").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TOKENS)
     template = vectors.where("kind in (1, 3)").join(classes, ["host", "support", "vector"], "left_semi").select("host", "token")
-    boxes = tokens.where("kind = 2").groupBy("host", "token").agg(F.sum("chars").alias("chars"))
-    main = boxes.groupBy("host").agg(F.max_by("token", F.struct("chars", "token")).alias("main_box"))
     per_page = tokens.where("kind in (1, 3)").join(template, ["host", "token"], "left_semi").groupBy("page").agg(F.collect_set("token").alias("template"))
     # Only the pages' free runs meet the template, compressed: tags and chrome stay behind.
     types = dict(base.dtypes)
     packed = map_arrow(base.select("_key", "_url", "host", "html"), _packed, f"_key {types['_key']}, _url {types['_url']}, page binary, packed binary")
-    hints = tokens.where("kind = 2").select("host", "page").distinct().join(main, "host", "left").select("page", "main_box").join(per_page, "page", "full")
-    joined = packed.join(hints, "page", "left").select("_key", "_url", "packed", "template", "main_box")
+    joined = packed.join(per_page, "page", "left").select("_key", "_url", "packed", "template")
     rest = map_arrow(joined, _slots, f"_key {types['_key']}, _url {types['_url']}, html string")
     return rest.select(F.col("_key").alias(key), F.col("_url").alias(url), F.col("html").alias("text"))
