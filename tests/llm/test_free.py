@@ -235,6 +235,19 @@ def test_sibling_sections_stay(spark):
     assert len(got) == 5 and all(r["text"] == "Opening {0}\nThe longer body of page {0}\nLead {0}".format(r["page_id"]) for r in got)
 
 
+def test_layouts_nest(spark):
+    def body(k, i):
+        return f"<div class=kind{k}><div class=links><p>Menu of kind {k}</div><div class=text><p>Own words {i}</div><p>Ends kind {k}</div>"
+
+    rows = [page("l.org", i, body(i % 3, i)) for i in range(15)]
+    # Near copies on a small part of the host, in a container of their own, are no layout.
+    rows += [page("l.org", 20 + i, f"<div id=post-7><p>Three times told<p>at {i}</div>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, token string")
+    by = {r["page_id"]: r["text"] for r in html.extract_main_text(df).collect()}
+    assert all(by[i] == f"Own words {i}" for i in range(15))
+    assert all(by[20 + i] == f"Three times told\nat {i}" for i in range(3))
+
+
 def test_media(spark, edge_docs, no_docs):
     got = media.store_and_fingerprint(edge_docs).collect()
     want = Counter()

@@ -1,14 +1,16 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A page is read as tokens: tags with their place in the page's tree, and text runs. Over the pages of one host, tokens
-with the same occurrence vector (how often on which pages) form an equivalence class. A class that is on at least half
-of the host's pages, and has two tokens or more, is part of the host's template; classes nest by the places of their
-tags. What lies in the template itself - text runs that repeat with it - is not content; the other text runs are the
+with the same occurrence vector (how often on which pages) form an equivalence class. A token's path holds its
+ancestors, so each occurrence lies in the span of its place, the tag around it, and classes nest by the classes of their
+places. From the root down, a class of two tokens or more with a tag in it is a layout if it is on LAYOUT of the pages
+of the layout around it. A text run is template if its class has two tokens or more, and is a layout's own or is on
+SHARE of the pages of the innermost layout around it. The order of a class's tokens is not compared. What lies in the template itself - text runs that repeat with it - is not content; the other text runs are the
 slots. Of the slots, those inside containers that are chrome by their tag or role are left out; all others are the
 main text, or where an article or main element has some of them, those. Inside such an element a repeated run needs MIN_MAIN_PAGES distinct pages, and goes only with its whole block.
 
 Occurrence vectors are compared as sums of hashes of (page, count), so no vector, page list or host is ever gathered
-in one place.
+in one place; only the tokens that are on FLOOR of a host's pages are, for their nesting.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +47,10 @@ CHROME_WORDS = frozenset(
 CONTENT_WORDS = frozenset("article content entry has main no post story with without".split())
 #: Elements that hold the main text.
 MAIN_TAGS = frozenset(("article", "main"))
-#: A template class is on this share of a host's pages, on MIN_PAGES of them, and has MIN_TOKENS tokens.
+#: A template class is on this share of its layout's pages, on MIN_PAGES of them, and has MIN_TOKENS tokens.
 SHARE, MIN_PAGES, MIN_TOKENS = 0.5, 3, 2
+#: A layout is on this share of the pages of the layout around it, and on FLOOR of the host's: a host has at most 1 / FLOOR times as many such tokens as a page, however many pages it has.
+LAYOUT, FLOOR = 0.2, 0.01
 #: Distinct pages that a text run inside an article or main element has to be on before it counts as template.
 MIN_MAIN_PAGES = 4
 #: Pages with exact copies up to which their keys are broadcast, about 64 bytes each; beyond, tokens are shuffled.
@@ -172,25 +177,26 @@ def _free(host: str | None, page: str | None) -> tuple[list[str], list[Run], byt
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, kind, token, count): kind 0 a tag, 1 a text run, 3 one inside an article or main element, 4 the page itself."""
+    """(host, page, kind, token, place, count): kind 0 a tag, 1 a text run, 3 one inside an article or main element, 4 the page itself."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for host, source in zip(some.column(0).to_pylist(), some.column(1), strict=True):
                 tags, free, _, page = _free(host, source.as_py())
-                seen = Counter({(4, 0): 1})
-                for path in tags:
-                    seen[0, _hash("t", path)] += 1
+                seen = Counter({(4, 0, 0): 1})
+                for path, times in Counter(tags).items():
+                    seen[0, _hash("t", path), _hash("t", path.rpartition("/")[0])] = times
                 for r in free:
                     clean = _clean(r.text)
                     if clean:
-                        seen[3 if r.main else 1, _hash("r", f"{_container(r.path)}\0{clean}")] += 1
-                for (kind, token), count in seen.items():
-                    for c, v in zip(cols, (host, page, kind, token, count), strict=True):
+                        box = _container(r.path)
+                        seen[3 if r.main else 1, _hash("r", f"{box}\0{clean}"), _hash("t", box)] += 1
+                for (kind, token, place), count in seen.items():
+                    for c, v in zip(cols, (host, page, kind, token, place, count), strict=True):
                         c.append(v)
-            types = (pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "page", "kind", "token", "count"])
+            types = (pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "page", "kind", "token", "place", "count"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +227,36 @@ def _joined(runs: list[Run]) -> str:
     return "\n".join(t for t in (_clean("".join(parts)) for parts in blocks.values()) if t)
 
 
+def nested_template(rows: pd.DataFrame) -> pd.DataFrame:
+    """(host, token) of one host's template runs, given its frequent tokens (kind, token, place, support, vector, pages)."""
+    found = list(rows[["kind", "token", "place", "support", "vector"]].itertuples(index=False, name=None))
+    pages = int(rows["pages"].iloc[0])
+    size = Counter(r[3:] for r in found)
+    tags = {token: (place, (support, vector)) for kind, token, place, support, vector in found if kind == 0}
+    around: dict[int, int] = {}  # tag: pages of the innermost layout at it
+    layouts = set()
+    for tag in tags:
+        chain = []
+        while tag in tags and tag not in around:
+            chain.append(tag)
+            tag = tags[tag][0]
+        for t in reversed(chain):
+            place, own = tags[t]
+            around[t] = around.get(place, pages)
+            if place in tags and tags[place][1] == own:
+                continue
+            if size[own] >= MIN_TOKENS and own[0] >= LAYOUT * around[t]:
+                layouts.add(own)
+                around[t] = own[0]
+    out = [
+        token
+        for kind, token, place, support, vector in found
+        if kind and size[support, vector] >= MIN_TOKENS and support >= (MIN_MAIN_PAGES if kind == 3 else MIN_PAGES)
+        and ((support, vector) in layouts or support >= SHARE * around.get(place, pages))
+    ]
+    return pd.DataFrame({"host": pd.Series([rows["host"].iloc[0]] * len(out), dtype=object), "token": pd.Series(out, dtype="int64")})
+
+
 def extract(packed: bytes, template: set[int]) -> str:
     """The main text of one packed page, given its template's runs."""
     boxes, rows = json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
@@ -254,22 +290,21 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
     """
     host, _ = split_url(F.col(url))
     base = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("html"), host.alias("host"))
-    every = stash(map_arrow(base.select("host", "html"), _tokens, "host string, page binary, kind int, token long, count long"), "tokens")
+    every = stash(map_arrow(base.select("host", "html"), _tokens, "host string, page binary, kind int, token long, place long, count long"), "tokens")
     # Pages of a host with the same free text are one page to the template: an article that is there three times is none.
     copies = stash(every.where("kind = 4").groupBy("page").count().where("count > 1").select("page"), "copies")
     few = F.broadcast(copies) if copies.count() <= BROADCAST_PAGES else copies
-    copied = every.join(few, "page", "left_semi").groupBy("host", "page", "kind", "token").agg(F.max("count").alias("count"))
+    copied = every.join(few, "page", "left_semi").groupBy("host", "page", "kind", "token", "place").agg(F.max("count").alias("count"))
     tokens = every.join(few, "page", "left_anti").unionByName(copied)
     sizes = tokens.where("kind = 4").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     vectors = (
         tokens.where("kind in (0, 1, 3)")
         .groupBy("host", "kind", "token")
-        .agg(F.count(F.lit(1)).alias("support"), F.sum((F.xxhash64("page", "count") % 4294967291).cast("decimal(20,0)")).alias("vector"))
+        .agg(F.first("place").alias("place"), F.count(F.lit(1)).alias("support"), F.sum((F.xxhash64("page", "count") % 4294967291).cast("decimal(20,0)")).cast("string").alias("vector"))
         .join(sizes, "host")
-        .where((F.col("support") >= F.when(F.col("kind") == 3, MIN_MAIN_PAGES).otherwise(MIN_PAGES)) & (F.col("support") >= F.col("pages") * SHARE))
+        .where((F.col("support") >= MIN_PAGES) & (F.col("support") >= F.col("pages") * FLOOR))
     )
-    classes = vectors.groupBy("host", "support", "vector").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TOKENS)
-    template = vectors.where("kind in (1, 3)").join(classes, ["host", "support", "vector"], "left_semi").select("host", "token")
+    template = vectors.groupBy("host").applyInPandas(nested_template, "host string, token long")
     per_page = tokens.where("kind in (1, 3)").join(template, ["host", "token"], "left_semi").groupBy("page").agg(F.collect_set("token").alias("template"))
     # Only the pages' free runs meet the template, compressed: tags and chrome stay behind.
     types = dict(base.dtypes)
