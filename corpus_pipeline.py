@@ -15,7 +15,7 @@ from treeline.llm.packing import pack
 from treeline.llm.tokens import vocabulary
 from treeline.llm.toxicity import drop_toxic, train
 
-END_ID, CAPACITY = 0, 2048
+END_ID, CAPACITY, NEAR_PERCENT = 0, 2048, 80
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return drop_near_duplicates(docs)
+    """One document of each near-duplicate group; links are at a Jaccard similarity of 0.8."""
+    return drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,6 +163,19 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         assert Counter(tuple(r) for r in neardup.near_groups(df).collect()) == want
 
 
+def test_the_pipeline_links_at_four_fifths(spark):
+    import corpus_pipeline
+
+    rows = []
+    for i in range(20):
+        words = prose(200 + i, 100).split()
+        edited = [f"edit{j}" if j in (30, 60) else w for j, w in enumerate(words)]  # 86 of 106 shingles shared
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.deduplicate(spark, df, SF).collect()} == set(range(0, 40, 2))
+    assert neardup.near_groups(df, percent=85).where("kept").count() == 40
+
+
 def test_sketches():
     rng = np.random.default_rng(1)
     for n in (1, 2, 50, 1000):

@@ -11,8 +11,9 @@ others are confirmed on full shingle sets. Larger buckets that still lie in seve
 remaining pairs, those outside and across the largest component, held against each other exactly, block by block; a
 block gives back only the links that join components.
 
-The chance that a link of the least similarity, 0.85, is missed is (1 - 0.85^5)^24 < 1e-6 for the bands, and < 1e-10
-for the sketch comparison.
+The least similarity of a link is a parameter, with its bands in LEVELS. The chance that a link of just that similarity
+is missed is (1 - 0.85^5)^24 < 1e-6 for the bands at 0.85 and (1 - 0.8^4)^30 < 1e-6 at 0.8, and < 1e-10 for the sketch
+comparison.
 """
 
 from __future__ import annotations
@@ -31,15 +32,14 @@ from pyspark.sql import functions as F
 from treeline.llm.common import map_arrow, stash
 from treeline.store import ship
 
-#: Coordinates of a sketch, coordinates of a band, bands.
-T, R = 120, 5
-BANDS = T // R
+#: Coordinates of a sketch.
+T = 120
 #: Nodes of a bucket up to which all pairs are proposed; nodes of a block beyond.
 SMALL, BLOCK = 24, 256
 #: Nodes up to which the keys of the texts that are needed again are broadcast to the scan, about 64 bytes each; beyond, texts are shuffled.
 BROADCAST_NODES = 1_000_000
-#: Agreeing coordinates that a pair needs to be confirmed: at 0.85 the mean is 102, the deviation 4.
-AGREE = 72
+#: By the least similarity of a link in hundredths: coordinates of a band, and agreeing coordinates that a pair needs to be confirmed (at 0.85 the mean is 102, at 0.8 it is 96, the deviation 4).
+LEVELS = {85: (5, 72), 80: (4, 63)}
 WORD = re.compile("[^\x20\x09-\x0d]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _MASK = (1 << 64) - 1
@@ -100,14 +100,15 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(coordinates: np.ndarray) -> np.ndarray:
-    acc = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(R):
-        acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + coordinates.reshape(BANDS, R)[:, r])
+def band_keys(coordinates: np.ndarray, width: int = 5) -> np.ndarray:
+    bands = T // width
+    acc = np.arange(1, bands + 1, dtype=np.uint64)
+    for r in range(width):
+        acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + coordinates.reshape(bands, width)[:, r])
     return acc
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             some = batch.slice(at, 2048)
@@ -119,7 +120,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(s):
                     c = sketch(s)
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    bands.append(band_keys(c).view(np.int64))
+                    bands.append(band_keys(c, width).view(np.int64))
                     bytes_.append((_mix(c) & np.uint64(255)).astype(np.uint8).tobytes())
                 else:
                     digests.append(None)
@@ -131,15 +132,15 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches agree in AGREE coordinates and whose sizes allow a link."""
+def _agree(batches: Iterator[pa.RecordBatch], agree: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches agree in ``agree`` coordinates and whose sizes allow a link."""
     for batch in batches:
         a, b = ([np.frombuffer(x.as_py(), np.uint8) for x in batch.column(c)] for c in ("sa", "sb"))
         if not a:
             continue
-        same = (np.stack(a) == np.stack(b)).sum(1) >= AGREE
+        same = (np.stack(a) == np.stack(b)).sum(1) >= agree
         na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-        fits = 100 * np.minimum(na, nb) >= 85 * np.maximum(na, nb)
+        fits = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
         yield batch.select(["a", "b"]).filter(pa.array(same & fits))
 
 
@@ -153,20 +154,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(some.num_columns - 1)), pa.array(sets, pa.binary())], names=[*some.schema.names[:-1], "s"]).filter(pa.array(own, pa.bool_()))
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have 100 * intersection >= 85 * union."""
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= 85 * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _confirm(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _confirm(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
     """One cell's pairs held against its full sets."""
     sets = {i: np.frombuffer(s, np.uint64) for i, s in zip(right["node"], right["s"], strict=True)}
-    got = [(a, b) for a, b in zip(left["a"], left["b"], strict=True) if linked(sets[a], sets[b])]
+    got = [(a, b) for a, b in zip(left["a"], left["b"], strict=True) if linked(sets[a], sets[b], percent)]
     return pd.DataFrame(got, columns=["a", "b"], dtype=object)
 
 
-def _block_links(cell: pd.DataFrame) -> pd.DataFrame:
+def _block_links(cell: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between different components among the pairs of one block, or across two, as few as join what they join."""
     root = {r: r for r in cell["root"]}
 
@@ -183,9 +184,9 @@ def _block_links(cell: pd.DataFrame) -> pd.DataFrame:
     sizes = np.array([len(x[3]) for x in right])
     for a, _, ra, sa in left:
         # Only sizes that allow a link.
-        for k in range(np.searchsorted(sizes, 0.85 * len(sa) - 1), np.searchsorted(sizes, len(sa) / 0.85 + 1)):
+        for k in range(np.searchsorted(sizes, percent * len(sa) / 100 - 1), np.searchsorted(sizes, 100 * len(sa) / percent + 1)):
             b, _, rb, sb = right[k]
-            if a != b and top(ra) != top(rb) and linked(sa, sb):
+            if a != b and top(ra) != top(rb) and linked(sa, sb, percent):
                 root[top(ra)] = top(rb)
                 got.append((a, b))
     return pd.DataFrame(got, columns=["a", "b"], dtype=object)
@@ -215,7 +216,7 @@ def components(links: DataFrame) -> DataFrame:
             return mapping
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that full sets confirm. Pairs that hang together are confirmed in one cell, so that each set
     travels once; what hangs together in more than 4 * BLOCK nodes is dealt over cells of two blocks."""
     where = components(pairs)
@@ -227,7 +228,7 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     celled = stash(pairs.join(a, "a").join(b, "b").select("a", "b", deal.alias("deal")), "cells")
     ends = celled.select(F.col("a").alias("node"), "deal").unionByName(celled.select(F.col("b").alias("node"), "deal")).distinct()
     sets = ends.withColumnRenamed("deal", "cell").join(_full_sets(where.select("node"), rows, reps), "node")
-    return celled.groupBy("deal").cogroup(sets.groupBy("cell")).applyInPandas(_confirm, "a binary, b binary")
+    return celled.groupBy("deal").cogroup(sets.groupBy("cell")).applyInPandas(lambda left, right: _confirm(left, right, percent), "a binary, b binary")
 
 
 def _full_sets(nodes: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
@@ -238,10 +239,10 @@ def _full_sets(nodes: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     return map_arrow(texts, _sets, "node binary, s binary").dropDuplicates(["node"])
 
 
-def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of ``docs``.
 
-    Links: 100 * intersection >= 85 * union of the sets of distinct 5-word shingles, confirmed on full sets (of
+    Links: 100 * intersection >= percent * union of the sets of distinct 5-word shingles, confirmed on full sets (of
     64-bit hashes). component_id is the smallest key that links reach; kept says whether that is the row's own.
 
     Defined cases: null and empty texts, or texts without words, have no shingles and are linked with nothing; rows
@@ -250,8 +251,9 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     left out.
     """
     ship(docs.sparkSession)
+    width, agree = LEVELS[percent]
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    base = stash(map_arrow(rows, _sketched, "id long, n long, node binary, bands array<long>, sketch binary"), "sketches")
+    base = stash(map_arrow(rows, lambda it: _sketched(it, width), "id long, n long, node binary, bands array<long>, sketch binary"), "sketches")
     named = base.where("node is not null and id is not null")
     nodes = stash(named.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("key"))
@@ -269,12 +271,12 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    likely = stash(map_arrow(proposed.join(a, "a").join(b, "b"), _agree, "a binary, b binary"), "likely")
+    likely = stash(map_arrow(proposed.join(a, "a").join(b, "b"), lambda it: _agree(it, agree, percent), "a binary, b binary"), "likely")
 
     # One text for each node: its representative's.
     reps = nodes.select("node", F.col("rep").alias("id"))
     own = base.select("id", "node")
-    links = stash(_confirmed(likely, rows, reps), "links")
+    links = stash(_confirmed(likely, rows, reps, percent), "links")
     joined = components(links)
     open_buckets = (
         large.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
@@ -292,7 +294,7 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
         dealt = blocks.select("node", "key", "root", "block", F.explode(F.when(in_main, others).otherwise(F.concat(others, mains))).alias("other"))
         dealt = dealt.select("node", "key", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         with_sets = dealt.join(_full_sets(rest.select("node"), rows, reps), "node")
-        more = stash(with_sets.groupBy("key", "i", "j").applyInPandas(_block_links, "a binary, b binary"), "more")
+        more = stash(with_sets.groupBy("key", "i", "j").applyInPandas(lambda cell: _block_links(cell, percent), "a binary, b binary"), "more")
         if not more.isEmpty():
             joined = components(links.unionByName(more))
     labelled = own.where("id is not null").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -304,9 +306,9 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """``docs``, all columns, with one row of each group: the kept one. Rows with a null key stay; of rows that agree in key and text one stays."""
-    dropped = near_groups(docs, key=key, text=text).where("not kept").where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_dropped")).distinct()
+    dropped = near_groups(docs, key=key, text=text, percent=percent).where("not kept").where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_dropped")).distinct()
     left = docs.join(dropped, docs[key].cast("long") == dropped["_dropped"], "left_anti")
     repeated = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
     return left if repeated.isEmpty() else left.dropDuplicates([key, text])

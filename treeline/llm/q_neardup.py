@@ -11,7 +11,7 @@ NAME = "op3_fast_similarity_sketch_neardup"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(read(spark, sf_dir, "documents"))
+    return near_groups(read(spark, sf_dir, "documents"), percent=85)
 
 
 ORACLE = r"""
