@@ -47,6 +47,24 @@ def test_exact_frontier_equals_brute_force():
         assert {p.metrics for p in planning.exact_frontier(tree, POLICY)} == want
 
 
+def test_exact_plans_solve_every_root(spark):
+    ddl = "candidate_id string, parent_id string, recursive_bytes long, file_count long, eligible int, protected int, preservation_risk double, incoherence double"
+    rows = [(c.id.replace("root", r), c.parent and r, c.bytes, c.files, int(c.eligible), int(c.protected), c.risk, c.incoherence) for r in ("a", "b") for c in small_tree().all]
+    rows.append(("a/safe/deep", "a/safe", 50, 5, 1, 0, 0.1, 0.1))
+    df = spark.createDataFrame(rows, ddl)
+    got = planning.exact_plans(df, POLICY).collect()
+    assert {r["root"] for r in got if r["state"] == "COMPLETE" and r["archives"] == 1} == {"a", "b"}
+    assert {-r["negative_recoverable_bytes"] for r in got if r["root"] == "a"} == {0.0, 50.0, 200.0}
+    over = planning.exact_plans(df, POLICY, limit=1).collect()
+    assert [(r["root"], r["state"], r["plan_id"]) for r in sorted(over)] == [("a", "SKIPPED_LIMIT", None), ("b", "SKIPPED_LIMIT", None)]
+
+    from treeline.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    roots = {r["candidate_id"].partition("/")[0] for r in registry.QUERIES["candidate_tree"](spark, sf).collect()}
+    assert len(roots) == 20 and {r["root"] for r in registry.QUERIES["exact_plans"](spark, sf).collect()} == roots
+
+
 def test_validation_and_repair():
     tree = small_tree()
     good = {"root": 2, "root/safe": 1, "root/protected": 3}

@@ -590,12 +590,8 @@ def plan_front(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def exact_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact frontier of the top directories and the next level, reduced to labelled plans."""
-    rows = _candidates(spark, sf_dir).where("candidate_id IN ('src1', 'src2') OR candidate_id RLIKE '^src[12]/[^/]+$'")
-    tree = planning.tree_of(rows)
-    found = planning.exact_frontier(tree, planning.Policy(1 << 40, 1 << 40))
-    kept = planning.reduce_plans(planning.merge_sources(("EXACT", p) for p in found))
-    return spark.createDataFrame([(p.plan_id, ",".join(labels), len(p.archive_names), *p.metrics) for p, labels in kept], f"plan_id string, labels string, archives long, {', '.join(f'{c} double' for c in _SIX)}")
+    """The exact frontier of every root's tree, reduced to labelled plans; SKIPPED_LIMIT where it has too many states."""
+    return planning.exact_plans(_candidates(spark, sf_dir), planning.Policy(1 << 40, 1 << 40))
 
 
 @query("SELECT relative_path, regexp_replace(string_split(relative_path, '/')[-1], '[^A-Za-z0-9._-]+', '-', 'g') AS slug_of, regexp_replace(regexp_replace(string_split(relative_path, '/')[-1], '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')[1:60] || '-' || substr(sha256(relative_path), 1, 12) || '.zip' AS label FROM dirs")
