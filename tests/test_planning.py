@@ -65,6 +65,13 @@ def test_exact_plans_solve_every_root(spark):
     assert len(roots) == 20 and {r["root"] for r in registry.QUERIES["exact_plans"](spark, sf).collect()} == roots
 
 
+def test_sampled_hashes_cover_every_document(spark):
+    from treeline.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    assert registry.QUERIES["sampled_hash_d2"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 def test_validation_and_repair():
     tree = small_tree()
     good = {"root": 2, "root/safe": 1, "root/protected": 3}

@@ -46,10 +46,14 @@ class Inventory:
     def current(self) -> DataFrame:
         return view.current_decisions(sample.decision_events(self.spark, self.sf))
 
-    def content(self) -> DataFrame:
-        """Files of the selection with their documents' bytes; the extra project files have none."""
+    def content(self, *, whole: bool = False) -> DataFrame:
+        """Files of the selection, or ``whole`` all of them, with their documents' bytes; the extra project files have none.
+
+        The selection is the one of the oracle's ``sel``.
+        """
         text = sample.table(self.spark, self.sf, "documents").select("doc_id", "text")
-        chosen = self.files.where("doc_id % 3 <> 0 AND name <> 'package.json'")
+        chosen = self.files.where("name <> 'package.json'")
+        chosen = chosen if whole else chosen.where("doc_id % 3 <> 0")
         return chosen.join(text, "doc_id").select("relative_path", ev.as_content(F.col("text")).alias("content"))
 
 
@@ -410,7 +414,7 @@ def content_hash_d4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sampled_hash_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled hashes of framed bytes, with small samples so that they differ from whole files."""
-    return ev.hash_content(Inventory(spark, sf_dir).content(), "D2", sample=256)
+    return ev.hash_content(Inventory(spark, sf_dir).content(whole=True), "D2", sample=256)
 
 
 @query("SELECT group_id, digest, logical_bytes, 'CONFIRMED' AS evidence_status, member_count FROM grp", **_SEL)
