@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.common import distributed_rank, hash_unit, map_arrow, stash
-from treeline.llm.tokens import encoder
+from treeline.llm.tokens import encoder, with_end
 
 #: Rounds of multiplicative weights: the number of configurations, at most.
 ROUNDS = 400
@@ -149,20 +149,22 @@ def placements(groups: list[Group]) -> dict[int, tuple[np.ndarray, np.ndarray, n
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    mark = np.array([end], "<u4").tobytes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            some = batch.slice(at, 256)
-            cols: list[list] = [[], [], [], [], [], []]
-            for key, ids in zip(some.column(0).to_pylist(), encoder(path).encode(some.column(1).to_pylist()), strict=True):
-                data = ids + mark
-                for piece, start in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[start : start + 4 * capacity]
-                    for c, v in zip(cols, (key, piece, start // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None), strict=True):
-                        c.append(v)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ("key", "piece", "start", "length", "ids_crc32", "ids")
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=list(names))
+        at = 0
+        for flat, lengths in encoder(path).encode_column(batch.column(1)):
+            flat, lengths = with_end(flat, lengths, end)
+            flat = flat.astype("<u4", copy=False)
+            pieces = -(-lengths // capacity)
+            doc = np.repeat(np.arange(len(lengths)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            length = np.minimum(lengths[doc] - piece * capacity, capacity)
+            data, upto = memoryview(flat).cast("B"), (4 * np.cumsum(length)).tolist()
+            parts = [data[a:b] for a, b in zip([0, *upto], upto, strict=False)]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).slice(at, len(lengths)).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(length, pa.int64()),
+                pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array([p.tobytes() if keep_ids else None for p in parts], pa.binary()),
+            ], names=["key", "piece", "start", "length", "ids_crc32", "ids"])
+            at += len(lengths)
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, *, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:

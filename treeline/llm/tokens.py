@@ -1,7 +1,8 @@
 """Token ids from a public tokenizer file, fast enough for whole corpora.
 
-White space parts pre-tokens in the vocabularies used here, so a text's ids are those of its pieces between white
-space. Each piece is encoded by the library once and then looked up. A new piece that is a plain word with ASCII marks
+White space parts pre-tokens in the vocabularies used here, so a text's ids are those of its pieces between ASCII white
+space. Some megabytes of text at a time are parted into pieces by Arrow; each distinct piece is looked up once, and the
+ids are laid out for all texts together. A new piece that is a plain word with ASCII marks
 after it goes to the library's BPE model directly, in the form that the file's normalizer and pre-tokenizer would
 give it; every other piece goes through the library's whole chain.
 """
@@ -13,13 +14,15 @@ import os
 import re
 import string
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
-#: Pieces that a worker remembers at most, and the longest piece that it remembers: bounds memory, not results.
-CACHE_PIECES, CACHE_CHARS = 700_000, 48
-#: str.split() parts at these, the vocabulary's rules do not.
-_ODD = re.compile("[\x1c-\x1f]")
-_ASCII_SPACE = re.compile("[ \t\n\r]+")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Pieces that a worker remembers at most, the longest piece that it remembers, and the bytes of text that are parted at once (a longer text is parted alone): these bound memory, not results.
+CACHE_PIECES, CACHE_CHARS, PART_BYTES = 700_000, 48, 8 << 20
 #: Letters of Latin up to U+017F without those whose lower case or composition is not one letter.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]+")
 #: The chain of a file for which the short way holds.
@@ -86,15 +89,46 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as unsigned 32-bit integers in the machine's order (little-endian here); nothing for null."""
-        parts = [[] if not t else [p for p in _ASCII_SPACE.split(t) if p] if _ODD.search(t) else t.split() for t in texts]
+        return [ids.tobytes() for flat, lengths in self.encode_column(pa.array(texts, pa.string())) for ids in np.split(flat, np.cumsum(lengths)[:-1])]
+
+    def encode_column(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of the next texts one after the other, number of ids of each) for runs of ``texts``."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, side="right")))
+            yield self._encode(texts.slice(at, upto - at))
+            at = upto
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
         if len(known) > CACHE_PIECES:
             known.clear()
         if len(self.words) > CACHE_PIECES:
             self.words.clear()
-        fresh: dict[str, bytes] = {}
-        rest = []
-        for piece in {p for ps in parts for p in ps if p not in known}:
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        pieces = parts.flatten().dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        got = list(map(known.get, distinct))
+        new = [p for p, g in zip(distinct, got, strict=True) if g is None]
+        if new:
+            fresh = self._learn(new)
+            got = [known[p] if g is None and p in known else fresh[p] if g is None else g for p, g in zip(distinct, got, strict=True)]
+        store = np.frombuffer(b"".join(got), np.uint32)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) >> 2
+        firsts = np.cumsum(sizes) - sizes
+        codes = pieces.indices.to_numpy()
+        sizes = sizes[codes]
+        ends = np.cumsum(sizes)
+        flat = store[np.repeat(firsts[codes] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        # Ids before each text's first piece.
+        bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        return flat, np.diff(bounds)
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Remember the ids of new ``pieces``; those of pieces too long for that are returned."""
+        known, fresh, rest = self.known, {}, []
+        for piece in pieces:
             got = self._short_way(piece) if self.short else None
             if got is None:
                 rest.append(piece)
@@ -104,9 +138,18 @@ class PieceEncoder:
             some = rest[at : at + 4096]
             for piece, got in zip(some, self._long_way(some), strict=True):
                 (known if len(piece) <= CACHE_CHARS else fresh)[piece] = got
-        if fresh:
-            return [b"".join([known[p] if p in known else fresh[p] for p in ps]) for ps in parts]
-        return [b"".join([known[p] for p in ps]) for ps in parts]
+        return fresh
+
+
+def with_end(flat: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and lengths with the id ``end`` after each text."""
+    lengths = lengths + 1
+    ends = np.cumsum(lengths) - 1
+    out = np.empty(len(flat) + len(lengths), flat.dtype)
+    inner = np.ones(len(out), bool)
+    inner[ends] = False
+    out[inner], out[ends] = flat, end
+    return out, lengths
 
 
 @lru_cache(maxsize=4)
