@@ -9,11 +9,25 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; where it is unset on a local master, as in tests, a temporary one. On a cluster that raises."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    if not _OWN:
+        _OWN.append(f"file://{tempfile.mkdtemp(prefix='treeline-')}")
+    return _OWN[0]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='treeline-checkpoint-')}")
+    """Checkpoints go to the shared folder, unless the session has a folder for them."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
