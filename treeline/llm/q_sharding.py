@@ -28,7 +28,8 @@ WITH t AS (
          md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS h
   FROM documents, t
 ), r AS (
-  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 1 + 0.5::DOUBLE)
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 1
+            + (('0x' || substr(md5('{SEED}' || CASE WHEN source IS NULL THEN '-' ELSE '+' || source END), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)
             / count(*) OVER (PARTITION BY source) AS fraction
   FROM c
 ), p AS (

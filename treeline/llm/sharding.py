@@ -1,8 +1,9 @@
 """Sharding by proportional stratified interleaving.
 
-Rows of each source are put into a seeded random order and given the fractional rank (rank + 1/2) / rows of the
-source. Sorted by that fraction, every stretch of the whole order holds the sources in the proportions of the
-corpus, so cutting it into equal runs gives shards that all match the mixture.
+Rows of each source are put into a seeded random order and given the fractional rank (rank + u) / rows of the source,
+where u in (0, 1) is the source's own seeded offset. Sorted by that fraction, every stretch of the whole order holds the
+sources in the proportions of the corpus, so cutting it into equal runs gives shards that all match the mixture; the
+offsets spread rare sources, whose few rows would else all have the same fractions, evenly over the shards.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ def interleave(docs: DataFrame, shards: int, *, seed: int = 1, source: str = "so
     )
     ties = [F.col(c) for c in ("shuffle_key", "doc_id", "text_crc32", "size")]
     by_source = distributed_rank(base, ["source"], F.shiftright(hash_unit(F.col("shuffle_key")) * cells, 32), ties, "source_rank", "source_rows")
-    placed = by_source.withColumn("fraction", (F.col("source_rank") + 0.5) / F.col("source_rows"))
+    named = F.when(F.col("source").isNull(), f"{seed}-").otherwise(F.concat(F.lit(f"{seed}+"), F.col("source").cast("string")))
+    offset = (hash_unit(F.md5(named.cast("binary"))) + 0.5) / float(1 << 32)
+    placed = by_source.withColumn("fraction", (F.col("source_rank") + offset) / F.col("source_rows"))
     whole = distributed_rank(placed, [], F.floor(F.col("fraction") * cells), [F.col("fraction"), *ties, F.col("source")], "position", "rows")
     shard = F.expr(f"position * {shards} div rows")
     start = F.expr(f"(position * {shards} div rows * rows + {shards - 1}) div {shards}")
