@@ -127,8 +127,15 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray, names: list[str], fold
     return chain
 
 
-def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few texts at a time: their features are held together."""
     for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield batch.slice(at, 256)
+
+
+def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         texts = batch.column(batch.num_columns - 1)
         rest = [batch.column(i) for i in range(batch.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([*rest, pa.array([features(t.as_py()) for t in texts], pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "f"])
@@ -138,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, *, categories=CATEGORIES, key: str
     """Fit the chain on a sample of at most ``limit`` toxic and 2 * ``limit`` other labelled documents, those with the smallest hashes.
 
     Labels of one document that disagree count as toxic; null labels are left out; labels without a document are
-    too. Without labels, every category has probability 1/2.
+    too. Of several texts of one labelled key the least one is used, so the sample has a row a key however often the key
+    is there. Without labels, every category has probability 1/2.
     """
     names = [n for n, _ in categories]
     marks = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(F.max("toxic").alias("toxic"), F.max(F.coalesce("quality", F.lit(1))).alias("quality"))
@@ -149,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, *, categories=CATEGORIES, key: str
     joined = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(F.broadcast(marked), "key")
     ys = [f"y{i}" for i in range(len(names))]
     ddl = ", ".join(["key long", *(f"{y} int" for y in ys), "f array<int>"])
-    rows = sorted(map_arrow(joined.select("key", *ys, "text"), _featurize, ddl).collect(), key=lambda r: (r["key"], list(r["f"])))
+    one = joined.groupBy("key", *ys).agg(F.min("text").alias("text"))
+    rows = sorted(map_arrow(one.select("key", *ys, "text"), _featurize, ddl).collect(), key=lambda r: r["key"])
     if not rows:
         return Chain(names, [Link(np.zeros(SPACE), np.zeros(j), 0.0) for j in range(len(names))])
     folds = np.array([zlib.crc32(str(r["key"]).encode()) % FOLDS for r in rows])
@@ -157,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, *, categories=CATEGORIES, key: str
 
 
 def _score(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         got = chain.probabilities([features(t.as_py()) for t in batch.column(batch.num_columns - 1)])
         rest = [batch.column(i) for i in range(batch.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([*rest, *(pa.array(got[:, j]) for j in range(got.shape[1]))], names=[*batch.schema.names[:-1], *(f"p_{n}" for n in chain.names)])
@@ -177,15 +186,17 @@ def score(docs: DataFrame, chain: Chain, *, key: str = "doc_id", text: str = "te
 
 
 def _keep(batches: Iterator[pa.RecordBatch], chain: Chain, column: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            some = batch.slice(at, 1024)
-            p = chain.probabilities([features(t.as_py()) for t in some.column(column)])[:, -1]
-            yield some.filter(pa.array(p < threshold))
+    for some in _slices(batches):
+        p = chain.probabilities([features(t.as_py()) for t in some.column(column)])[:, -1]
+        yield some.filter(pa.array(p < threshold))
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs``, all columns, without the rejected rows: one pass, no join."""
+    """``docs``, all columns, without the rejected rows: one pass, no join.
+
+    Defined cases: null and empty texts are judged by the chain's bias; null keys take part; repeated rows are kept or
+    dropped alike; an empty table gives no rows; columns of any name stay as they are.
+    """
     model = docs.sparkSession.sparkContext.broadcast(chain)
     column = docs.columns.index(text)
     return map_arrow(docs, lambda it: _keep(it, model.value, column, threshold), docs.schema)
