@@ -5,8 +5,8 @@ value that starts with i; a coordinate keeps its least value. After T random rou
 into coordinate j, so every coordinate fills whatever the set's size. Once all are full, later rounds change nothing.
 
 Bands of R coordinates propose pairs. Equal shingle sets are one node from the start. A bucket of up to SMALL nodes
-proposes two pivots with each other node: its least node and the one that meets most nodes in large buckets, which
-is near the middle of its group. Proposals whose sketches agree far less than linked documents' do are dropped, the
+proposes all its pairs. A larger one proposes two pivots with each other node: its least node and the one that meets
+most nodes in large buckets, which is near the middle of its group. Proposals whose sketches agree far less than linked documents' do are dropped, the
 others are confirmed on full shingle sets. Larger buckets that still lie in several components then have their
 remaining pairs, those outside and across the largest component, held against each other exactly, block by block; a
 block gives back only the links that join components.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.common import map_arrow, stash
@@ -36,8 +36,10 @@ from treeline.store import ship
 T = 120
 #: Nodes of a bucket up to which all pairs are proposed; nodes of a block beyond.
 SMALL, BLOCK = 24, 256
+#: Nodes that hang together up to which their pairs are confirmed in one cell.
+CELL = 128
 #: Nodes up to which the keys of the texts that are needed again are broadcast to the scan, about 64 bytes each; beyond, texts are shuffled.
-BROADCAST_NODES = 1_000_000
+BROADCAST_NODES = 400_000
 #: By the least similarity of a link in hundredths: coordinates of a band, and agreeing coordinates that a pair needs to be confirmed (at 0.85 the mean is 102, at 0.8 it is 96, the deviation 4).
 LEVELS = {85: (5, 72), 80: (4, 63)}
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -113,7 +115,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         for at in range(0, batch.num_rows, 2048):
             some = batch.slice(at, 2048)
             keys, counts, digests, bands, bytes_ = [], [], [], [], []
-            for key, text in zip(some.column(0).to_pylist(), some.column(1), strict=True):
+            for key, text in zip(some.column(0).to_pylist(), some.column(2), strict=True):
                 s = shingles(text.as_py())
                 keys.append(key)
                 counts.append(len(s))
@@ -127,7 +129,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
                     bands.append(None)
                     bytes_.append(None)
             yield pa.RecordBatch.from_pydict({
-                "id": pa.array(keys, pa.int64()), "n": pa.array(counts, pa.int64()), "node": pa.array(digests, pa.binary()),
+                "id": pa.array(keys, pa.int64()), "text_md5": some.column(1), "n": pa.array(counts, pa.int64()), "node": pa.array(digests, pa.binary()),
                 "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(bytes_, pa.binary()),
             })
 
@@ -218,10 +220,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that full sets confirm. Pairs that hang together are confirmed in one cell, so that each set
-    travels once; what hangs together in more than 4 * BLOCK nodes is dealt over cells of two blocks."""
+    travels once; what hangs together in more than CELL nodes is dealt over cells of two blocks of about CELL nodes."""
     where = components(pairs)
     sizes = where.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
-    homes = where.join(sizes, "root").select("node", "root", F.expr(f"pmod(xxhash64(node), ceil(c / {4 * BLOCK}))").alias("h"))
+    homes = where.join(sizes, "root").select("node", "root", F.expr(f"pmod(xxhash64(node), ceil(c / {CELL}))").alias("h"))
     a = homes.select(F.col("node").alias("a"), F.col("root"), F.col("h").alias("ha"))
     b = homes.select(F.col("node").alias("b"), F.col("h").alias("hb"))
     deal = F.xxhash64("root", F.least("ha", "hb"), F.greatest("ha", "hb"))
@@ -239,21 +241,18 @@ def _full_sets(nodes: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     return map_arrow(texts, _sets, "node binary, s binary").dropDuplicates(["node"])
 
 
-def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for each row of ``docs``.
+def _text_md5(text: Column) -> Column:
+    """Tells texts apart; null is no text."""
+    return F.unhex(F.md5(F.concat(F.when(text.isNull(), "-").otherwise("+"), F.coalesce(text, F.lit(""))).cast("binary")))
 
-    Links: 100 * intersection >= percent * union of the sets of distinct 5-word shingles, confirmed on full sets (of
-    64-bit hashes). component_id is the smallest key that links reach; kept says whether that is the row's own.
 
-    Defined cases: null and empty texts, or texts without words, have no shingles and are linked with nothing; rows
-    with a null key have a null component and are not kept, and link nothing; repeated rows each get the same
-    result; rows of one key with different texts are judged each; an empty table gives no rows; other columns are
-    left out.
-    """
+def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """(id, text_md5, n, node, component, keeper) for each row; keeper is the node of the group's row that stays, null without shingles or key."""
     ship(docs.sparkSession)
     width, agree = LEVELS[percent]
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    base = stash(map_arrow(rows, lambda it: _sketched(it, width), "id long, n long, node binary, bands array<long>, sketch binary"), "sketches")
+    hashed = rows.select("id", _text_md5(F.col("text")).alias("text_md5"), "text")
+    base = stash(map_arrow(hashed, lambda it: _sketched(it, width), "id long, text_md5 binary, n long, node binary, bands array<long>, sketch binary"), "sketches")
     named = base.where("node is not null and id is not null")
     nodes = stash(named.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("key"))
@@ -298,17 +297,39 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", per
         if not more.isEmpty():
             joined = components(links.unionByName(more))
     labelled = own.where("id is not null").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = labelled.where("node is not null").groupBy("root").agg(F.min("id").alias("component"))
-    roots = nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(least, "root").select("node", "component")
+    least = labelled.where("node is not null").groupBy("root").agg(F.min(F.struct("id", "node")).alias("kept"))
+    roots = nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(least, "root").select("node", F.col("kept.id").alias("component"), F.col("kept.node").alias("keeper"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return base.select("id", "n", "node").join(roots, "node", "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept")
-    )
+    return base.select("id", "text_md5", "n", "node").join(roots, "node", "left").select("id", "text_md5", "n", "node", component.alias("component"), F.when(F.col("id").isNotNull(), F.col("keeper")).alias("keeper"))
+
+
+def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """(key, n_shingles, component_id, kept) for each row of ``docs``.
+
+    Links: 100 * intersection >= percent * union of the sets of distinct 5-word shingles, confirmed on full sets (of
+    64-bit hashes). component_id is the smallest key that links reach; kept says whether that is the row's own.
+
+    Defined cases: null and empty texts, or texts without words, have no shingles and are linked with nothing; rows
+    with a null key have a null component and are not kept, and link nothing; repeated rows each get the same
+    result; rows of one key with different texts are judged each; an empty table gives no rows; other columns are
+    left out.
+    """
+    found = _grouped(docs, key, text, percent)
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(False)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """``docs``, all columns, with one row of each group: the kept one. Rows with a null key stay; of rows that agree in key and text one stays."""
-    dropped = near_groups(docs, key=key, text=text, percent=percent).where("not kept").where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_dropped")).distinct()
-    left = docs.join(dropped, docs[key].cast("long") == dropped["_dropped"], "left_anti")
-    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates([key, text])
+    """``docs``, all columns, with one row of each group of near-duplicates: that of the smallest key.
+
+    Defined cases: rows with a null key, and rows without words, stay as they are; of several texts of the smallest
+    key in one group, one stays; of rows that agree in key and text, and have words, one stays, with the other columns
+    of any of them; an empty table gives no rows; columns of any name stay as they are.
+    """
+    found = _grouped(docs, key, text, percent).where("keeper is not null")
+    stays = (F.col("id") == F.col("component")) & (F.col("node") == F.col("keeper"))
+    judged = found.groupBy("id", "text_md5").agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("times"))
+    marks = stash(judged.where("not stays or times > 1").select(F.col("id").alias("_near_id"), F.col("text_md5").alias("_near_md5"), "stays"), "marks")
+    own = (docs[key].cast("long") == F.col("_near_id")) & (_text_md5(docs[text]) == F.col("_near_md5"))
+    left = docs.join(marks.drop("stays"), own, "left_anti")
+    repeated = marks.where("stays").drop("stays")
+    return left if repeated.isEmpty() else left.unionByName(docs.join(repeated, own, "left_semi").dropDuplicates([key, text]))
