@@ -19,6 +19,8 @@ from treeline.llm.common import ascii_lower, stash
 FEATURES = ("length", "host_length", "depth", "digits", "entropy", "params", "hyphens", "labels", "path_length", "long_host_label", "suffix_rate", "suffix_log_count")
 #: Distinct labelled URLs that the trees are fitted on, at most; those with the smallest hash of (seed, URL).
 TRAIN_URLS = 20_000
+#: Folds of the suffixes' rates in training, labels that the overall rate counts for, and suffixes up to which their statistics are broadcast, about 150 bytes each; beyond, they are joined by a shuffle.
+FOLDS, PRIOR_LABELS, BROADCAST_SUFFIXES = 5, 20.0, 200_000
 
 
 @dataclass(frozen=True)
@@ -88,13 +90,39 @@ def lexical_features(urls: DataFrame) -> DataFrame:
         F.size(host_labels).cast("double").alias("labels"),
         F.length("path").cast("double").alias("path_length"),
         F.array_max(F.transform(host_labels, F.length)).cast("double").alias("long_host_label"),
-        F.substring_index("host", ".", -2).alias("suffix"),
+        suffix_of(F.col("host")).alias("suffix"),
     )
 
 
-def _with_suffixes(rows: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
-    # One row a suffix of the bounded training sample.
-    return rows.join(F.broadcast(suffixes), "suffix", "left").withColumns({"suffix_rate": F.coalesce("suffix_rate", F.lit(prior)), "suffix_log_count": F.coalesce("suffix_log_count", F.lit(0.0))})
+def suffix_statistics(rows: DataFrame) -> DataFrame:
+    """(suffix, urls, labelled, blocked, fold_labelled, fold_blocked) of all ``rows`` (url, host, block: 0, 1 or null); the last two by fold of the URL."""
+    label = F.col("block").isNotNull().cast("int")
+    by_fold = rows.groupBy(suffix_of(F.col("host")).alias("suffix"), _fold(F.col("url")).alias("fold")).agg(F.count(F.lit(1)).alias("urls"), F.sum(label).alias("labelled"), F.coalesce(F.sum("block"), F.lit(0)).alias("blocked"))
+    per = lambda c: F.array(*(F.coalesce(F.sum(F.when(F.col("fold") == k, F.col(c))), F.lit(0)) for k in range(FOLDS))).alias(f"fold_{c}")
+    return by_fold.groupBy("suffix").agg(*(F.sum(c).alias(c) for c in ("urls", "labelled", "blocked")), per("labelled"), per("blocked"))
+
+
+def suffix_of(host: Column) -> Column:
+    """The last two labels of a host."""
+    return F.substring_index(host, ".", -2)
+
+
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS))
+
+
+def _rate(blocked: Column, labelled: Column, prior: float) -> Column:
+    """The share of blocked labels, drawn towards ``prior`` by as many as PRIOR_LABELS labels."""
+    return (blocked + PRIOR_LABELS * prior) / (labelled + PRIOR_LABELS)
+
+
+def _with_suffixes(rows: DataFrame, suffixes: DataFrame, prior: float, *, held_out: bool = False) -> DataFrame:
+    """``rows`` with their suffix's features; ``held_out``: the rate is that of the other folds' labels."""
+    few = F.broadcast(suffixes) if suffixes.count() <= BROADCAST_SUFFIXES else suffixes
+    own = [F.element_at(F.col(c), (_fold(F.col("url")) + 1).cast("int")) if held_out else F.lit(0) for c in ("fold_blocked", "fold_labelled")]
+    rate = _rate(F.coalesce(F.col("blocked") - own[0], F.lit(0)), F.coalesce(F.col("labelled") - own[1], F.lit(0)), prior)
+    joined = rows.join(few, "suffix", "left").withColumns({"suffix_rate": rate, "suffix_log_count": F.log1p(F.coalesce("urls", F.lit(0)).cast("double"))})
+    return joined.drop(*(c for c in suffixes.columns if c != "suffix"))
 
 
 @dataclass
@@ -106,7 +134,7 @@ class UrlModel:
     prior: float
 
     def score(self, urls: DataFrame) -> DataFrame:
-        """``urls`` with ``p_block``; features are computed once for each distinct URL."""
+        """``urls`` with ``p_block``: every row's, those that rules judge too."""
         if self.trees is None:
             return urls.withColumn("p_block", F.lit(self.prior))
         rows = _with_suffixes(lexical_features(urls), self.suffixes, self.prior)
@@ -115,10 +143,15 @@ class UrlModel:
         return scored.select(*urls.columns, vector_to_array("probability")[1].alias("p_block"))
 
 
-def fit(labelled: DataFrame, *, seed: int = 1, limit: int = TRAIN_URLS, trees: int = 12, depth: int = 4) -> UrlModel:
-    """Fit on (url, host, path, block 0/1), on at most ``limit`` distinct URLs."""
+def fit(urls: DataFrame, *, seed: int = 1, limit: int = TRAIN_URLS, trees: int = 12, depth: int = 4) -> UrlModel:
+    """Fit on (url, host, path, block: 0, 1 or null for no label).
+
+    Suffix statistics are of all rows and all labels; while training, a URL's rate leaves out the labels of its fold,
+    so that no row sees its own. The trees are fitted on at most ``limit`` distinct labelled URLs.
+    """
+    suffixes = stash(suffix_statistics(urls), "suffixes")
     sample = (
-        labelled.groupBy("url", "host", "path")
+        urls.where("block IS NOT NULL").groupBy("url", "host", "path")
         .agg(F.max("block").alias("block"))
         .orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("url")).cast("binary")), "url")
         .limit(limit)
@@ -126,11 +159,9 @@ def fit(labelled: DataFrame, *, seed: int = 1, limit: int = TRAIN_URLS, trees: i
     rows = stash(lexical_features(sample).coalesce(1), "urls")
     n, blocked = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("block"), F.lit(0))).first()
     prior = blocked / n if n else 0.0
-    suffixes = rows.groupBy("suffix").agg(((F.sum("block") + 20.0 * prior) / (F.count(F.lit(1)) + 20.0)).alias("suffix_rate"), F.log1p(F.count(F.lit(1))).alias("suffix_log_count"))
-    suffixes = stash(suffixes.coalesce(1), "suffixes")
     if blocked in (0, n):
         return UrlModel(None, suffixes, prior)
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(_with_suffixes(rows, suffixes, prior))
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(_with_suffixes(rows, suffixes, prior, held_out=True))
     gbt = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=seed)
     return UrlModel(gbt.fit(vectors.withColumn("_label", F.col("block").cast("double"))), suffixes, prior)
 
@@ -150,8 +181,7 @@ def judge(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str
     base = pages.select(F.col(key).alias("_key"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
     ruled = base.withColumns({"rule": rule, "_action": action})
-    labelled = ruled.where("_action is not null").select("url", "host", "path", (F.col("_action") == "block").cast("int").alias("block"))
-    model = fit(labelled, seed=seed, limit=limit)
+    model = fit(ruled.select("url", "host", "path", (F.col("_action") == "block").cast("int").alias("block")), seed=seed, limit=limit)
     scored = model.score(ruled)
     verdict = F.coalesce("_action", F.when(F.col("p_block") >= threshold, "block").otherwise("allow"))
     return scored.select(F.col("_key").alias(key), "url", "host", "path", "rule", "p_block", verdict.alias("verdict"))
