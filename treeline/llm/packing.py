@@ -1,10 +1,13 @@
 """Packing token pieces into sequences by a configuration linear program over the length histogram.
 
 A configuration is a multiset of lengths that fits a sequence. The program covers every length's count with as few
-configurations as it can. It is solved by multiplicative weights: each round prices lengths by how far they lag
-behind, finds the best configuration by knapsack dynamic programming, and adds it. The solution is rounded, and what
-rounding leaves is packed best-fit decreasing, group by group. All of this sees only the histogram, whose size is
-bounded by the sequence length, so the plan costs the same for any number of documents.
+configurations as it can. It is solved by multiplicative weights: a length's price is its starting weight times an
+exponential of how far its cover lags behind an even pace; each round finds the configuration of the highest price by
+knapsack dynamic programming and adds it. Any prices bound the program from below: what all items cost, divided by the
+price of that configuration. The solution is rounded, and what rounding leaves is packed best-fit decreasing, into the
+free space of configurations first. Where the result is over the bound, other starting weights and looser rounding are
+tried, and the fewest sequences win. All of this sees only the histogram, whose size is bounded by the sequence length,
+so the plan costs the same for any number of documents.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ from treeline.llm.common import distributed_rank, hash_unit, map_arrow, stash
 from treeline.llm.tokens import encoder, with_end
 
 #: Rounds of multiplicative weights: the number of configurations, at most.
-ROUNDS = 400
+ROUNDS = 200
+#: Starting weights are these powers of the length; a configuration is rounded to whole sequences if it fills these shares of one.
+POWERS, FILLS = (2, 1), (63 / 64, 7 / 8, 0)
 
 
 @dataclass
@@ -59,37 +64,53 @@ def best_configuration(value: np.ndarray, capacity: int) -> list[int]:
     return out
 
 
-def solve_program(counts: np.ndarray, capacity: int, rounds: int) -> list[tuple[list[int], float]]:
-    """(configuration, times) covering ``counts`` by length, fractionally."""
+def bound_of(counts: np.ndarray, value: np.ndarray, capacity: int) -> float:
+    """What all items cost at the prices ``value`` over the highest price of a configuration: no packing has fewer sequences."""
+    top = value[best_configuration(value, capacity)].sum()
+    return float((counts * value).sum() / top) if top > 0 else 0.0
+
+
+def least_bound(counts: np.ndarray, capacity: int) -> int:
+    """A bound by three sets of prices: lengths themselves, the share of a sequence of only that length, and one for all."""
+    lengths = np.flatnonzero(counts)
+    alone, same = np.zeros(capacity + 1), np.zeros(capacity + 1)
+    alone[lengths], same[lengths] = 1.0 / (capacity // lengths), 1.0
+    size = int((np.arange(capacity + 1) * counts).sum())
+    return max(-(-size // capacity), *(math.ceil(bound_of(counts, p, capacity) - 1e-6) for p in (alone, same)))
+
+
+def solve_program(counts: np.ndarray, capacity: int, rounds: int, power: int = 1) -> tuple[list[tuple[list[int], float]], float]:
+    """([(configuration, times)] covering ``counts`` by length, fractionally; the best bound that the rounds' prices gave)."""
     lengths = np.flatnonzero(counts)
     need = counts[lengths].astype(float)
     share = max(1.0, float((lengths * need).sum()) / capacity) / rounds
-    covered = np.zeros(len(lengths))
+    covered, bound = np.zeros(len(lengths)), 0.0
     found: dict[tuple[int, ...], int] = {}
     place = np.zeros(capacity + 1, np.int64)
     place[lengths] = np.arange(len(lengths))
-    for step in range(rounds):
-        # Lengths that lag behind an even pace gain weight exponentially; covered ones are out.
-        lag = (step + 1) / rounds - covered / need
-        weight = np.exp(np.clip(lag * math.sqrt(rounds), -30, 30)) * (covered < need)
-        if not weight.any():
+    start = (lengths / capacity) ** power
+    for step in range(2 * rounds):
+        open_ = covered < need
+        # Best fit takes the last 64th.
+        if (lengths * np.maximum(need - covered, 0)).sum() * 64 <= (lengths * need).sum():
             break
+        lag = (step + 1) / rounds - covered / need
         value = np.zeros(capacity + 1)
-        # More than in proportion to size, as dual prices of large items are: small ones fit in anywhere.
-        value[lengths] = (lengths / capacity) ** 2 * weight
-        config = tuple(best_configuration(value, capacity))
-        np.add.at(covered, place[list(config)], share)
-        found[config] = found.get(config, 0) + 1
-    return [(list(c), n * share) for c, n in found.items()]
+        value[lengths] = start * np.exp(np.clip(lag * math.sqrt(rounds), -30, 30)) * open_
+        config = best_configuration(value, capacity)
+        bound = max(bound, float((value[lengths] * need).sum() / value[config].sum()))
+        np.add.at(covered, place[config], share)
+        found[tuple(config)] = found.get(tuple(config), 0) + 1
+    return [(list(c), n * share) for c, n in found.items()], bound
 
 
-def round_and_fill(counts: np.ndarray, solution: list[tuple[list[int], float]], capacity: int) -> list[Group]:
-    """Whole sequences for every item: configurations as often as rounding and what is left allow, then best fit."""
+def round_and_fill(counts: np.ndarray, solution: list[tuple[list[int], float]], capacity: int, fill: float = 63 / 64) -> list[Group]:
+    """Whole sequences for every item: configurations of at least ``fill`` as often as rounding and what is left allow, then best fit."""
     left, groups = counts.astype(np.int64).copy(), []
     for config, times in sorted(solution, key=lambda x: (-sum(x[0]), -x[1], x[0])):
         own, many = np.unique(config, return_counts=True)
         n = min(math.ceil(times), int((left[own] // many).min()))
-        if n > 0 and sum(config) * 64 >= capacity * 63:
+        if n > 0 and sum(config) >= capacity * fill:
             left[own] -= many * n
             groups.append(Group(n, capacity - sum(config), list(config)))
     for length in np.flatnonzero(left)[::-1]:
@@ -129,7 +150,17 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list
         counts[length] = n
     if not counts.any():
         return []
-    return round_and_fill(counts, solve_program(counts, capacity, rounds), capacity)
+    least, best = least_bound(counts, capacity), None
+    for power in POWERS:
+        solution, bound = solve_program(counts, capacity, rounds, power)
+        least = max(least, math.ceil(bound - 1e-6))
+        for fill in FILLS:
+            groups = round_and_fill(counts, solution, capacity, fill)
+            if best is None or sum(g.count for g in groups) < sum(g.count for g in best):
+                best = groups
+            if sum(g.count for g in best) <= least:
+                return best
+    return best
 
 
 def placements(groups: list[Group]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
