@@ -15,6 +15,8 @@ from treeline.llm.common import ascii_lower, stash
 
 #: Bytes of windows up to which the benchmark's side is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Contaminated rows up to which their keys are broadcast, about 60 bytes each.
+BROADCAST_ROWS = 400_000
 #: Runs of characters outside this class part the words.
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -46,42 +48,63 @@ def row_key(key: Column, text: Column) -> Column:
     return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.when(text.isNull(), "-").otherwise("+"), F.coalesce(text, F.lit(""))).cast("binary"))
 
 
-def window_hits(docs: DataFrame, items: DataFrame, n: int = 13, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(row_key, s, e, items): each document window of words [s, e), from 0, that the benchmark has, and its items.
+def window_hits(docs: DataFrame, windows: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row_key, n_words, s, e, items_id): each document window of words [s, e), from 0, that is one of ``windows`` (len, gram, items_id).
 
-    The benchmark's side is broadcast up to BROADCAST_BYTES of windows, which is measured first; beyond it, block
-    hashes are joined by a shuffle of (row_key, block, hash), and only documents with a hit send their words.
+    Blocks of all lengths come from one split of each text. The windows are broadcast up to BROADCAST_BYTES of them,
+    which is measured first; beyond, block hashes are joined by a shuffle of (row_key, block, hash), and the documents
+    with a hit are joined with their words again.
     """
-    windows = stash(benchmark_windows(items, n, key=item_key, text=item_text), "windows")
-    # One row a length, n at most.
-    lengths = {r["len"]: r["bytes"] for r in windows.groupBy("len").agg(F.sum(F.octet_length("gram") + F.octet_length("item_id") + 32).alias("bytes")).collect()}
+    # One row a length, the longest window's at most.
+    lengths = {r["len"]: r["bytes"] for r in windows.groupBy("len").agg(F.sum(F.octet_length("gram") + F.octet_length("items_id") + 32).alias("bytes")).collect()}
     small = sum(lengths.values()) <= BROADCAST_BYTES
     side = F.broadcast if small else (lambda df: df)
-    grams = windows.groupBy("len", "gram").agg(F.collect_set("item_id").alias("items"))
     base = docs.select(row_key(F.col(key), F.col(text)).alias("row_key"), _once(words(F.col(text))).alias("w"))
-    found = base.where(F.lit(False)).select("row_key", F.lit(0).alias("s"), F.lit(0).alias("e"), F.array().cast("array<string>").alias("items"))
-    for length in sorted(lengths):
-        block = (length + 1) // 2
-        own = grams.where(F.col("len") == length).select("gram", "items")
-        parts = F.split("gram", " ")
-        inner = F.transform(F.sequence(F.lit(1), F.lit(length - block + 1)), lambda s: _gram(parts, s, F.lit(block)))  # noqa: B023
-        blocks = own.select(F.explode(inner).alias("g")).select(F.xxhash64("g").alias("h")).distinct()
+    block_of = lambda n: (n + 1) // 2
+    none = F.array().cast("array<struct<len:int,i:int,h:bigint>>")
+
+    def aligned(n: int) -> Column:
+        block = block_of(n)
         # sequence() would count down where there is no block.
-        whole = F.when(F.size("w") >= length, F.sequence(F.lit(0), F.expr(f"size(w) div {block} - 1"))).otherwise(F.array().cast("array<int>"))
-        aligned = F.transform(whole, lambda i: F.xxhash64(_gram(F.col("w"), i * block + 1, F.lit(block))))  # noqa: B023
-        hashed = base.where(F.size("w") >= length).select("row_key", "w", aligned.alias("b"))
-        if small:
-            at = hashed.select("row_key", "w", F.posexplode("b").alias("i", "h")).join(side(blocks), "h", "left_semi")
-        else:
-            hit = hashed.select("row_key", F.posexplode("b").alias("i", "h")).join(blocks, "h", "left_semi").select("row_key", "i").distinct()
-            at = base.dropDuplicates(["row_key"]).join(hit, "row_key")
-        first = F.greatest(F.col("i") * block - (length - block), F.lit(0))
-        last = F.least(F.col("i") * block, F.size("w") - length)
-        starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        built = at.select("row_key", F.explode(F.transform(starts, lambda s: F.struct(s.alias("s"), _gram(F.col("w"), s + 1, F.lit(length)).alias("gram")))).alias("x"))  # noqa: B023
-        got = built.select("row_key", F.col("x.s").alias("s"), (F.col("x.s") + length).alias("e"), F.col("x.gram").alias("gram")).join(side(own), "gram")
-        found = found.unionByName(got.select("row_key", "s", "e", "items"))
-    return found
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.expr(f"int(size(w) div {block} - 1)")), lambda i: F.struct(F.lit(n).alias("len"), i.alias("i"), F.xxhash64(_gram(F.col("w"), i * block + 1, F.lit(block))).alias("h")))).otherwise(none)
+
+    hashed = base.where(F.size("w") >= min(lengths, default=1)).select("row_key", "w", F.explode(F.concat(none, *(aligned(n) for n in sorted(lengths)))).alias("b"))
+    at = hashed.select("row_key", "w", "b.len", "b.i", "b.h")
+    half = F.expr("(len + 1) div 2").cast("int")
+    parts = F.split("gram", " ")
+    inner = F.transform(F.sequence(F.lit(1), F.col("len") - half + 1), lambda s: _gram(parts, s, half))
+    blocks = windows.select("len", F.explode(inner).alias("g")).select("len", F.xxhash64("g").alias("h")).distinct()
+    if small:
+        found = at.join(side(blocks), ["len", "h"], "left_semi")
+    else:
+        hit = at.select("row_key", "len", "i", "h").join(blocks, ["len", "h"], "left_semi").select("row_key", "len", "i").distinct()
+        found = base.dropDuplicates(["row_key"]).join(hit, "row_key")
+    first = F.greatest(F.col("i") * half - (F.col("len") - half), F.lit(0))
+    last = F.least(F.col("i") * half, F.size("w") - F.col("len"))
+    starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    built = found.select("row_key", F.size("w").cast("long").alias("n_words"), "len", F.explode(F.transform(starts, lambda s: F.struct(s.alias("s"), _gram(F.col("w"), s + 1, F.col("len")).alias("gram")))).alias("x"))
+    got = built.select("row_key", "n_words", "len", F.col("x.s").alias("s"), F.col("x.gram").alias("gram")).join(side(windows), ["len", "gram"])
+    return got.select("row_key", "n_words", "s", (F.col("s") + F.col("len")).alias("e"), "items_id")
+
+
+def _judged(docs: DataFrame, items: DataFrame, n: int, key: str, text: str, item_key: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """((row_key, n_words, n_hit, spans, item_sets, contaminated) of each document with a hit; (items_id, items)).
+
+    Windows with the same items share one list: hits carry its id, so that a passage which all items have does not take
+    their ids along with each of its windows.
+    """
+    every = benchmark_windows(items, n, key=item_key, text=item_text).groupBy("len", "gram").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    windows = stash(every.withColumn("items_id", F.md5(F.to_json("items").cast("binary"))), "windows")
+    hits = window_hits(docs, windows.select("len", "gram", "items_id"), key=key, text=text)
+    per_doc = hits.groupBy("row_key").agg(F.first("n_words").alias("n_words"), F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"), F.collect_set("items_id").alias("item_sets"))
+    covered = F.aggregate(
+        "spans",
+        F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
+        lambda acc, x: F.struct(F.greatest(acc["end"], x["e"]).alias("end"), (acc["n"] + F.greatest(x["e"] - F.greatest(x["s"], acc["end"]), F.lit(0))).alias("n")),
+        lambda acc: acc["n"],
+    )
+    judged = per_doc.withColumn("n_hit", covered).withColumn("contaminated", F.col("n_hit") * 20 >= F.col("n_words"))
+    return judged, windows.dropDuplicates(["items_id"]).select("items_id", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 13, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -93,20 +116,12 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, *, key: str =
     Defined cases: null and empty texts have no words and are clean; null keys take part; repeated rows each get
     the same result; an empty benchmark hits nothing; an empty ``docs`` gives no rows; other columns are left out.
     """
-    per_doc = (
-        window_hits(docs, items, n, key=key, text=text, item_key=item_key, item_text=item_text)
-        .groupBy("row_key")
-        .agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("hit_items"))
-    )
-    covered = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
-        lambda acc, x: F.struct(F.greatest(acc["end"], x["e"]).alias("end"), (acc["n"] + F.greatest(x["e"] - F.greatest(x["s"], acc["end"]), F.lit(0))).alias("n")),
-        lambda acc: acc["n"],
-    )
+    judged, sets = _judged(docs, items, n, key, text, item_key, item_text)
+    judged = stash(judged, "judged")
+    own = judged.select("row_key", F.explode("item_sets").alias("items_id")).join(sets, "items_id").groupBy("row_key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("hit_items"))
+    marked = judged.join(own, "row_key").select("row_key", "n_hit", "hit_items", "spans")
     base = docs.select(F.col(key).alias(key), F.col(text).alias(text), row_key(F.col(key), F.col(text)).alias("row_key"), F.size(words(F.col(text))).cast("long").alias("n_words"))
-    counted = per_doc.select("row_key", covered.alias("n_hit"), "hit_items", "spans")
-    return base.join(counted, "row_key", "left").select(
+    return base.join(marked, "row_key", "left").select(
         key,
         text,
         "n_words",
@@ -117,15 +132,24 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, *, key: str =
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 13, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs``, all columns, without the contaminated rows."""
-    bad = contamination(docs, items, n, key=key, text=text).where("contaminated")
-    mark = bad.select(row_key(F.col(key), F.col(text)).alias("_bad_row")).distinct()
-    return docs.join(mark, row_key(docs[key], docs[text]) == mark["_bad_row"], "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 13, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs``, all columns, without the contaminated rows. Up to BROADCAST_ROWS of them, which is counted first, no text is shuffled.
+
+    Defined cases: null and empty texts stay; null keys take part; repeated rows stay or go together; an empty
+    benchmark drops nothing; an empty ``docs`` gives no rows; columns of any name stay as they are.
+    """
+    judged, _ = _judged(docs, items, n, key, text, item_key, item_text)
+    marks = stash(judged.where("contaminated").select(F.col("row_key").alias("_bad_row")), "contaminated")
+    few = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+    return docs.join(few, row_key(docs[key], docs[text]) == F.col("_bad_row"), "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = 13, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, n_hit): each row's text without its hit words and the separators after them."""
+    """(key, text, n_hit): each row's text without its hit words and the separators after them.
+
+    Defined cases: rows without a hit keep their text, null too; null keys take part; repeated rows are cut alike; an
+    empty benchmark cuts nothing; an empty ``docs`` gives no rows; other columns are left out.
+    """
     marked = contamination(docs, items, n, key=key, text=text).where("n_hit > 0")
     word = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
     own, gaps = F.regexp_extract_all(F.col(text), F.lit(word), F.lit(1)), F.split(F.col(text), word)
