@@ -7,9 +7,9 @@ places. From the root down, a class of two tokens or more with a tag in it is a
 of the layout around it. A text run is template if its class has two tokens or more, and is a layout's own or is on
 SHARE of the pages of the innermost layout around it. The order of a class's tokens is not compared. What lies in the template itself - text runs that repeat with it - is not content; the other text runs are the
 slots. Of the slots, those inside containers that are chrome by their tag or role are left out; all others are the
-main text, or where an article or main element has some of them, those. Inside such an element a repeated run needs MIN_MAIN_PAGES distinct pages, and goes only with its whole block.
+main text, or where an article or main element has the greater part of their characters, those. Inside such an element a repeated run needs MIN_MAIN_PAGES distinct pages, and goes only with its whole block.
 
-Occurrence vectors are compared as sums of hashes of (page, count), so no vector, page list or host is ever gathered
+Occurrence vectors are compared by their support and two 64-bit hashes, each the exclusive or of hashes of (page, count), so no vector, page list or host is ever gathered
 in one place; only the tokens that are on FLOOR of a host's pages are, for their nesting.
 """
 
@@ -47,6 +47,8 @@ CHROME_WORDS = frozenset(
 CONTENT_WORDS = frozenset("article content entry has main no post story with without".split())
 #: Elements that hold the main text.
 MAIN_TAGS = frozenset(("article", "main"))
+#: Elements that group blocks: inside an article only these are chrome by a part of a class or id.
+GROUPS = frozenset("article aside center details div dl fieldset figure footer form header main nav ol section table ul".split())
 #: A template class is on this share of its layout's pages, on MIN_PAGES of them, and has MIN_TOKENS tokens.
 SHARE, MIN_PAGES, MIN_TOKENS = 0.5, 3, 2
 #: A layout is on this share of the pages of the layout around it, and on FLOOR of the host's: a host has at most 1 / FLOOR times as many such tokens as a page, however many pages it has.
@@ -78,8 +80,8 @@ def _is_chrome(word: str) -> bool:
     return word in CHROME_WORDS or parts[0] in CHROME_WORDS or (parts[-1] in CHROME_WORDS and not CONTENT_WORDS & set(parts))
 
 
-def _marked(attributes: str) -> tuple[bool, str]:
-    """(whether the attributes mark chrome, their words for the token)."""
+def _marked(attributes: str, inner: bool) -> tuple[bool, str]:
+    """(whether the attributes mark chrome, their words for the token); ``inner``: on a paragraph or within a line of an article, where only a whole word does."""
     if not attributes:
         return False, ""
     words: list[str] = []
@@ -89,7 +91,7 @@ def _marked(attributes: str) -> tuple[bool, str]:
         words += [w for w in _PART.split(value) if w]
         if name.lower() == "role":
             role += words[-1:]
-    return any(_is_chrome(w) for w in words) or bool({"contentinfo", "complementary", "banner", "navigation", "search"} & set(role)), "." + ".".join(sorted(words)) if words else ""
+    return any(w in CHROME_WORDS if inner else _is_chrome(w) for w in words) or bool({"contentinfo", "complementary", "banner", "navigation", "search"} & set(role)), "." + ".".join(sorted(words)) if words else ""
 
 
 def parse(page: str | None) -> tuple[list[str], list[Run]]:
@@ -134,7 +136,7 @@ def parse(page: str | None) -> tuple[list[str], list[Run]]:
                 top = stack[-1] if stack else ("", False, False, "")
                 runs.append(Run(" ", top[3], top[1], top[2], block))
             up = stack[-1] if stack else ("", False, False, "")
-            marked, words = _marked(attributes)
+            marked, words = _marked(attributes, up[2] and tag not in GROUPS)
             chrome = up[1] or tag in CHROME_TAGS or (marked and tag not in ("html", "body"))
             main = up[2] or tag in MAIN_TAGS
             # Page chrome stays out; a header inside an article holds its heading.
@@ -260,9 +262,10 @@ def nested_template(rows: pd.DataFrame) -> pd.DataFrame:
 def extract(packed: bytes, template: set[int]) -> str:
     """The main text of one packed page, given its template's runs."""
     boxes, rows = json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
-    kept, held, whole = [], [], set()
+    kept, held, whole, every = [], [], set(), []
     for block, box, main, text in rows:
         r = Run(text, boxes[box], False, bool(main), block)
+        every.append(r)
         clean = _clean(text)
         fixed = bool(clean) and _hash("r", f"{r.path}\0{clean}") in template
         if main and clean and not fixed:
@@ -273,9 +276,13 @@ def extract(packed: bytes, template: set[int]) -> str:
             kept.append(r)
     # A block of the article with a slot in it stays whole: a sentence keeps its repeated words.
     own = [r for r, fixed in held if not fixed or r.block in whole]
-    if not any(_clean(r.text) for r in own):
-        own = kept
-    return _joined(own)
+    inside = sum(len(_clean(r.text)) for r in own)
+    if not inside:
+        return _joined(kept)
+    if inside >= sum(len(_clean(r.text)) for r in kept):
+        return _joined(own)
+    stays = {id(r) for r in own + kept}
+    return _joined([r for r in every if id(r) in stays])
 
 
 def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -300,7 +307,7 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
     vectors = (
         tokens.where("kind in (0, 1, 3)")
         .groupBy("host", "kind", "token")
-        .agg(F.first("place").alias("place"), F.count(F.lit(1)).alias("support"), F.sum((F.xxhash64("page", "count") % 4294967291).cast("decimal(20,0)")).cast("string").alias("vector"))
+        .agg(F.first("place").alias("place"), F.count(F.lit(1)).alias("support"), F.concat_ws(":", F.bit_xor(F.xxhash64("page", "count")), F.bit_xor(F.xxhash64("count", "page", F.lit(1)))).alias("vector"))
         .join(sizes, "host")
         .where((F.col("support") >= MIN_PAGES) & (F.col("support") >= F.col("pages") * FLOOR))
     )
