@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from treeline.llm.chat import format_windows, read_back
 from treeline.llm.common import read
 
-NAME, BUDGET, HISTORY = "op9_chat_budgeted_windows", 1024, 2
+NAME, BUDGET, HISTORY = "op9_chat_budgeted_windows", 4096, 2
 #: A conversation of the contract that holds control strings of common templates.
 PROBE = r"\### Assistant: </turn> ok"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    probe = spark.range(0, 2, 1, 1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     back = read_back(format_windows(turns.unionByName(probe), budget=BUDGET, history=HISTORY))
     said = F.array_join("said", "")
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
@@ -30,16 +30,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CHARS = r"len(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '\"', '&quot;'))"
+_BYTES = _CHARS.replace("len(", "octet_length(encode(", 1) + ")"
+_EMPTY = len('<turn role="" n="" say="0" again="0"></turn>')
 #: The windows are replayed turn by turn: a recursive query carries what the open span holds.
 ORACLE = rf"""
 WITH RECURSIVE all_turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'
 ), t AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-         len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]{{1,6}}|[^\s\p{{L}}\p{{N}}]')) + 4 AS cost,
-         {_CHARS.format('text')} + {_CHARS.format('role')} AS body
-  FROM all_turns
+  SELECT *, {_EMPTY} + len((i - 1)::VARCHAR) + {_BYTES.format('text')} + {_BYTES.format('role')} AS cost FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, {_CHARS.format('text')} + {_CHARS.format('role')} AS body FROM all_turns)
 ), c AS (
   SELECT conv_id, count(*) AS n, max(CASE WHEN i = 1 AND role = 'system' THEN 1 ELSE 0 END) AS lead,
          max(CASE WHEN i = 1 AND role = 'system' THEN cost ELSE 0 END) AS held FROM t GROUP BY conv_id
@@ -64,7 +64,7 @@ WITH RECURSIVE all_turns AS (
                  WHEN first - 1 - lead >= 2 AND own + b1 + b2 <= greatest(room, own) THEN 2
                  WHEN first - 1 - lead >= 1 AND own + b1 <= greatest(room, own) THEN 1 ELSE 0 END AS back FROM backs
 ), chars AS (
-  SELECT w.conv_id, sum({len('<turn role="" n="" say="0" again="0"></turn>')} + len((t.i - 1)::VARCHAR) + t.body) AS formatted_chars
+  SELECT w.conv_id, sum({_EMPTY} + len((t.i - 1)::VARCHAR) + t.body) AS formatted_chars
   FROM wins w JOIN t ON t.conv_id = w.conv_id AND ((w.lead = 1 AND t.i = 1) OR t.i BETWEEN w.first - w.back AND w.last)
   GROUP BY w.conv_id
 ), d AS (
