@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,30 +10,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treeline.store import ship
+from treeline.store import shared_folder, ship
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='treeline-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
+def stash(df: DataFrame, label: str, *, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there and lost executors lose nothing.
 
     The files go when the driver's process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/treeline-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(spark)}/treeline-{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
