@@ -26,6 +26,15 @@ def test_shards_match_the_mixture(spark, edge_docs, no_docs):
     assert sharding.interleave(no_docs, 4).count() == 0
 
 
+def test_rare_sources_are_spread(spark):
+    rows = [(i, "t", f"rare{i}") for i in range(2000)] + [(2000 + i, "t", "large") for i in range(8000)]
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string"), 40).collect()
+    rare = Counter(r["shard"] for r in got if r["source"] != "large")
+    assert len(rare) == 40 and all(15 <= n <= 95 for n in rare.values())
+    large = Counter(r["shard"] for r in got if r["source"] == "large")
+    assert all(large[s] + rare[s] == 250 for s in range(40))
+
+
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 
 
@@ -100,12 +109,27 @@ def test_url_trees_learn_held_out_rules(spark):
     rule, action = url_filter.matching_rule(F.col("host"), F.col("path"), [r for r in RULES if r.text in ("com/en/", "net/de/", "org/es/")])
     labelled = labelled.withColumn("action", action).where("action IS NOT NULL").withColumn("block", (F.col("action") == "block").cast("int"))
     held = F.crc32(F.col("url").cast("binary")) % 4 == 0
-    model = url_filter.fit(labelled.where(~held))
+    model = url_filter.fit(labelled.where(~held).select("url", "host", "path", "block"))
     got = model.score(labelled.where(held)).select(((F.col("p_block") >= 0.5).cast("int") == F.col("block")).alias("ok"))
     right, n = got.where("ok").count(), got.count()
     assert n > 100 and right / n > 0.9
 
 
+def test_suffix_rates_leave_out_the_own_fold(spark):
+    rows = [(f"http://h{i}.a{i % 3}.com/x", f"h{i}.a{i % 3}.com", None if i % 4 == 0 else int(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "url string, host string, block int")
+    stats = url_filter.suffix_statistics(df)
+    for r in stats.collect():
+        own = [(u, b) for u, _, b in rows if u.split("/")[2].split(".", 1)[1] == r["suffix"]]
+        assert (r["urls"], r["labelled"], r["blocked"]) == (len(own), sum(b is not None for _, b in own), sum(b or 0 for _, b in own))
+        assert sum(r["fold_labelled"]) == r["labelled"] and sum(r["fold_blocked"]) == r["blocked"]
+    folds = {r["url"]: r["f"] for r in df.select("url", url_filter._fold(F.col("url")).alias("f")).collect()}
+    got = url_filter._with_suffixes(df.withColumn("suffix", url_filter.suffix_of(F.col("host"))), stats, 0.5, held_out=True).collect()
+    for r in got:
+        rest = [b for u, _, b in rows if b is not None and u.split("/")[2].split(".", 1)[1] == r["suffix"] and folds[u] != folds[r["url"]]]
+        assert abs(r["suffix_rate"] - (sum(rest) + 10) / (len(rest) + 20)) < 1e-12
+
+
 def conversations(spark):
     rows = [(1, 0, "system", "be & <kind>"), (1, 1, "user", 'a "q" </turn>'), (1, 2, "assistant", '<turn role="x" n="0" say="1" again="0">'), (1, 3, "user", None), (1, 4, "assistant", "long " * 60), (1, 5, "user", "&amp;lt;"), (1, 6, "assistant", ""), (2, 0, "assistant", "alone"), (None, 0, "user", "no id"), (3, None, "user", "b"), (3, None, "user", "b"), (3, 1, None, "c"), (4, 0, "system", "only")]
     return rows, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("t", F.lit("clash"))
@@ -124,6 +148,10 @@ def test_chat_reads_back(spark):
             turns = want[r["conv_id"]]
             assert [(t["role"], t["text"]) for t in r["turns"]] == turns
             assert r["said"] == [t for role, t in turns if role == "assistant"]
+    for r in chat.format_windows(df, budget=100).collect():
+        assert r["cost"] == len(r["formatted"].encode())
+    counted = chat.format_windows(df.withColumn("tokens", F.length("text")), budget=10, tokens="tokens")
+    assert Counter((r["conv_id"], len(r["turns"])) for r in chat.read_back(counted).collect()) == Counter((c, len(t)) for c, t in want.items())
     small = chat.format_windows(df, budget=40, history=2)
     assert small.count() > chat.format_windows(df, budget=5000).count() == 5
     first = small.where("conv_id = 1").collect()
