@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,6 +87,14 @@ def distributed_rank(df: DataFrame, keys: list[str], cell: Column, order: list[C
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with the package shipped to the workers."""
+    """``df.mapInArrow`` with the package shipped to the workers, which give back free memory after each partition: they live on for other stages."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return df.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers at most, the longest piece that it remembers, and the bytes of text that are parted at once (a longer text is parted alone): these bound memory, not results.
-CACHE_PIECES, CACHE_CHARS, PART_BYTES = 700_000, 48, 8 << 20
+CACHE_PIECES, CACHE_CHARS, PART_BYTES = 600_000, 48, 3 << 20
 #: Letters of Latin up to U+017F without those whose lower case or composition is not one letter.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]+")
 #: The chain of a file for which the short way holds.
@@ -56,8 +56,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known, self.known_before = {}, {}  # pieces and their ids, and those of the generation before
+        self.words, self.words_before = {}, {}
         self.marks: dict[str, bytes] = {"": b""}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -74,7 +74,7 @@ class PieceEncoder:
         if not word or not _PLAIN.fullmatch(word):
             return None
         word, mark = word.lower(), piece[len(word) :]
-        got = self.words.get(word)
+        got = self.words.get(word) or self.words_before.get(word)
         if got is None:
             spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
             got = _packed([t.id for t in self.model.tokenize(spelled)])
@@ -102,17 +102,22 @@ class PieceEncoder:
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        if len(self.words) > CACHE_PIECES:
-            self.words.clear()
+        # What is in use passes from one generation to the next.
+        if len(known) > CACHE_PIECES // 2:
+            self.known_before, self.known = known, {}
+            known = self.known
+        if len(self.words) > CACHE_PIECES // 2:
+            self.words_before, self.words = self.words, {}
         parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         pieces = parts.flatten().dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
         got = list(map(known.get, distinct))
         new = [p for p, g in zip(distinct, got, strict=True) if g is None]
         if new:
-            fresh = self._learn(new)
+            before = self.known_before
+            held = {p: before[p] for p in new if p in before}
+            known.update(held)
+            fresh = self._learn([p for p in new if p not in held])
             got = [known[p] if g is None and p in known else fresh[p] if g is None else g for p, g in zip(distinct, got, strict=True)]
         store = np.frombuffer(b"".join(got), np.uint32)
         sizes = np.fromiter(map(len, got), np.int64, len(got)) >> 2
@@ -120,7 +125,10 @@ class PieceEncoder:
         codes = pieces.indices.to_numpy()
         sizes = sizes[codes]
         ends = np.cumsum(sizes)
-        flat = store[np.repeat(firsts[codes] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        # Where each id lies in the store: its piece's ids run on from the first.
+        where = np.repeat(firsts[codes] - (ends - sizes), sizes)
+        where += np.arange(len(where))
+        flat = store[where]
         # Ids before each text's first piece.
         bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
         return flat, np.diff(bounds)
