@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions import paths
-from treeline.store import ship
 
 #: Evidence levels, and what their matches prove. Level D3 is a full hash like D4; both are SHA-256 here.
 LEVELS = {"D2": ("SHA-256-SAMPLED-V1", "CANDIDATE"), "D3": ("SHA-256", "CONFIRMED"), "D4": ("SHA-256", "CONFIRMED")}
@@ -16,46 +13,57 @@ SAMPLE_BYTES = 65_536
 _SAMPLE_TAG = b"treeline-sampled-v1\x00"
 
 
-def sample_offsets(size: int, sample: int = SAMPLE_BYTES) -> list[int]:
-    """Where samples start: the beginning, the middle and the end, once each."""
-    return [0] if size <= sample else sorted({0, (size - sample) // 2, size - sample})
+def _eight(number: Column) -> Column:
+    """A number as eight bytes, the highest first."""
+    return F.unhex(F.lpad(F.hex(number.cast("long")), 16, "0"))
+
+
+def _samples(size: Column, sample: int) -> list[Column]:
+    """Where samples start: the beginning, the middle and the end; null for one that is there already."""
+    middle, end = F.floor((size - sample) / 2).cast("long"), (size - sample).cast("long")
+    return [F.lit(0).cast("long"), F.when((size > sample) & (middle > 0), middle), F.when((size > sample) & (end > middle), end)]
 
 
-def sampled_digest(data: bytes, sample: int = SAMPLE_BYTES) -> str:
+def sampled_digest(data: Column, sample: int = SAMPLE_BYTES) -> Column:
     """SHA-256 over the tag, the size and each sample with its offset and length."""
-    h = hashlib.sha256(_SAMPLE_TAG + len(data).to_bytes(8, "big"))
-    for at in sample_offsets(len(data), sample):
-        part = data[at : at + sample]
-        h.update(at.to_bytes(8, "big") + len(part).to_bytes(8, "big") + part)
-    return h.hexdigest()
+    size = F.length(data)
+    nothing = F.unhex(F.lit(""))
+    parts = [F.when(at.isNotNull(), F.concat(_eight(at), _eight(F.least(size - at, F.lit(sample))), F.substr(data, (at + 1).cast("int"), F.lit(sample)))).otherwise(nothing) for at in _samples(size, sample)]
+    return F.sha2(F.concat(F.lit(_SAMPLE_TAG), _eight(size), *parts), 256)
 
 
 def hash_content(files: DataFrame, level: str, *, content: str = "content", sample: int = SAMPLE_BYTES) -> DataFrame:
     """(relative_path, evidence_level, algorithm, digest, logical_bytes, bytes_read) of files with binary ``content``.
 
-    Full hashes are built in; sampled ones read at most three samples of each file's bytes in Arrow batches.
+    All hashes are built in; a sampled one is of at most three samples of a file's bytes.
     """
     algorithm, _ = LEVELS[level]
     data = F.col(content)
     if level == "D2":
-        ship(files.sparkSession)
-        digest = F.pandas_udf(lambda s: s.map(lambda b: sampled_digest(bytes(b), sample)), "string")(data)
         size = F.length(data)
-        read = F.when(size <= sample, size).otherwise(F.lit(sample) * F.size(F.array_distinct(F.array(F.lit(0).cast("long"), F.floor((size - sample) / 2), (size - sample).cast("long")))))
+        digest = sampled_digest(data, sample)
+        read = sum((F.when(at.isNotNull(), F.least(size - at, F.lit(sample))).otherwise(0) for at in _samples(size, sample)), F.lit(0))
     else:
         digest, read = F.sha2(data, 256), F.length(data)
     return files.select("relative_path", F.lit(level).alias("evidence_level"), F.lit(algorithm).alias("algorithm"), digest.alias("digest"), F.length(data).cast("long").alias("logical_bytes"), read.cast("long").alias("bytes_read"))
 
 
-def read_selected(files: DataFrame, folder: str) -> DataFrame:
-    """``files`` whose path, size and time match a file under ``folder`` now, with ``content``; the listing is Spark's own."""
-    spark = files.sparkSession
-    base = folder.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    relative = F.regexp_replace("path", "^.*?" + base.split("://")[-1].lstrip("/") + "/", "")
-    got = found.select(relative.alias("relative_path"), F.col("length").alias("_length"), (F.unix_micros("modificationTime") * 1000).alias("_time"), "content")
+def read_selected(files: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(``files`` with ``content``, errors): those whose path, size and time match a file under ``folder`` now, and (relative_path, reason) of the others.
+
+    The listing is Spark's own. A reason is MISSING or CHANGED; content is read for the first table only.
+    """
+    base = folder.rstrip("/").split("://")[-1] + "/"
+    found = files.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    # What follows the folder's own name, which is taken as it is, at its first place in the path.
+    start = F.locate(base, F.col("path")) + len(base)
+    got = found.select(F.substr("path", start).alias("relative_path"), F.col("length").alias("_length"), (F.unix_micros("modificationTime") * 1000).alias("_time"), "content")
     same_time = F.col("modified_ns").isNull() | (F.expr("modified_ns div 1000000") == F.expr("_time div 1000000"))
-    return files.join(got, "relative_path").where((F.col("_length") == F.col("logical_bytes")) & same_time).drop("_length", "_time")
+    same = (F.col("_length") == F.col("logical_bytes")) & same_time
+    read = files.join(got, "relative_path").where(same).drop("_length", "_time")
+    seen = files.join(got.drop("content"), "relative_path", "left")
+    errors = seen.where(~F.coalesce(same, F.lit(False))).select("relative_path", F.when(F.col("_length").isNull(), "MISSING").otherwise("CHANGED").alias("reason"))
+    return read, errors
 
 
 def group_id(level: Column, algorithm: Column, digest: Column, size: Column) -> Column:

@@ -46,15 +46,10 @@ class Inventory:
     def current(self) -> DataFrame:
         return view.current_decisions(sample.decision_events(self.spark, self.sf))
 
-    def content(self, *, whole: bool = False) -> DataFrame:
-        """Files of the selection, or ``whole`` all of them, with their documents' bytes; the extra project files have none.
-
-        The selection is the one of the oracle's ``sel``.
-        """
+    def content(self) -> DataFrame:
+        """All files with their documents' bytes; the extra project files have none."""
         text = sample.table(self.spark, self.sf, "documents").select("doc_id", "text")
-        chosen = self.files.where("name <> 'package.json'")
-        chosen = chosen if whole else chosen.where("doc_id % 3 <> 0")
-        return chosen.join(text, "doc_id").select("relative_path", ev.as_content(F.col("text")).alias("content"))
+        return self.files.where("name <> 'package.json'").join(text, "doc_id").select("relative_path", ev.as_content(F.col("text")).alias("content"))
 
 
 def transition(spark: SparkSession, sf_dir: str, n: int) -> dict[str, DataFrame]:
@@ -400,7 +395,7 @@ def chain_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Content evidence.
 
 _SEL = {
-    "sel": "SELECT f.relative_path, sha256(coalesce(text, '')) AS digest, octet_length(encode(coalesce(text, '')))::BIGINT AS logical_bytes FROM f JOIN documents USING (doc_id) WHERE doc_id % 3 <> 0 AND name <> 'package.json'",
+    "sel": "SELECT f.relative_path, sha256(coalesce(text, '')) AS digest, octet_length(encode(coalesce(text, '')))::BIGINT AS logical_bytes FROM f JOIN documents USING (doc_id) WHERE name <> 'package.json'",
     "grp": "SELECT sha256('[\"D4\",\"SHA-256\",\"' || digest || '\",' || logical_bytes || ']') AS group_id, digest, logical_bytes, count(*) AS member_count FROM sel GROUP BY digest, logical_bytes HAVING count(*) > 1",
     "mem": "SELECT group_id, relative_path FROM sel JOIN grp USING (digest, logical_bytes)",
 }
@@ -411,10 +406,19 @@ def content_hash_d4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.hash_content(Inventory(spark, sf_dir).content(), "D4").select("relative_path", "digest", "logical_bytes", "bytes_read")
 
 
-@query()
+_HEX16 = "printf('%016X', {}::BIGINT)"
+_PART = f"{_HEX16.format('{0}')} || {_HEX16.format('least(n - {0}, 256)')} || substr(h, 2 * {{0}} + 1, 512)"
+
+
+@query(
+    f"""SELECT relative_path, 'D2' AS evidence_level, 'SHA-256-SAMPLED-V1' AS algorithm, n AS logical_bytes,
+    (CASE WHEN n <= 256 THEN n ELSE 256 + CASE WHEN m > 0 THEN 256 ELSE 0 END + CASE WHEN n - 256 > m THEN 256 ELSE 0 END END)::BIGINT AS bytes_read,
+    sha256(unhex('{ev._SAMPLE_TAG.hex()}' || {_HEX16.format('n')} || {_PART.format('0')} || CASE WHEN n > 256 AND m > 0 THEN {_PART.format('m')} ELSE '' END || CASE WHEN n > 256 AND n - 256 > m THEN {_PART.format('(n - 256)')} ELSE '' END)) AS digest
+    FROM (SELECT relative_path, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n, greatest(octet_length(encode(coalesce(text, ''))) - 256, 0) // 2 AS m FROM f JOIN documents USING (doc_id) WHERE name <> 'package.json')"""
+)
 def sampled_hash_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled hashes of framed bytes, with small samples so that they differ from whole files."""
-    return ev.hash_content(Inventory(spark, sf_dir).content(whole=True), "D2", sample=256)
+    return ev.hash_content(Inventory(spark, sf_dir).content(), "D2", sample=256)
 
 
 @query("SELECT group_id, digest, logical_bytes, 'CONFIRMED' AS evidence_status, member_count FROM grp", **_SEL)
