@@ -1,7 +1,9 @@
 """Plans, graphs, evidence, gates, views, lineage."""
 
+import hashlib
 import itertools
 import random
+import re
 
 import pytest
 
@@ -84,10 +86,15 @@ def test_validation_and_repair():
     planning.validate(tree, POLICY, planning.repair(tree, POLICY, {"root": 2.2, "root/safe": 0.9, "root/protected": 0}))
 
 
+def brute_label(path):
+    slug = re.sub(r"[^A-Za-z0-9._-]+", "-", path.rpartition("/")[2] or "root").strip("-.") or "group"
+    return f"{slug[:60]}-{hashlib.sha256(path.encode()).hexdigest()[:12]}.zip"
+
+
 def test_labels_agree(spark):
     names = ["a/b c", "x/---", "y/été.", "z" * 90, "..."]
     got = spark.createDataFrame([(n,) for n in names], "p string").select(planning.archive_label("p")).collect()
-    assert [r[0] for r in got] == [planning.label_of(n) for n in names]
+    assert [r[0] for r in got] == [brute_label(n) for n in names]
 
 
 def test_proposal(spark):
@@ -118,7 +125,11 @@ def test_graph(spark):
 
 
 def test_evidence(spark):
-    assert evidence.sample_offsets(10, 4) == [0, 3, 6] and evidence.sample_offsets(4, 4) == [0] and evidence.sample_offsets(5, 4) == [0, 1]
+    for data in (b"", b"abcd", b"abcde", b"abcdefghij", bytes(range(200))):
+        offsets = [0] if len(data) <= 4 else sorted({0, (len(data) - 4) // 2, len(data) - 4})
+        framed = b"treeline-sampled-v1\x00" + len(data).to_bytes(8, "big") + b"".join(at.to_bytes(8, "big") + len(data[at : at + 4]).to_bytes(8, "big") + data[at : at + 4] for at in offsets)
+        row = evidence.hash_content(spark.createDataFrame([("p", bytearray(data))], "relative_path string, content binary"), "D2", sample=4).first()
+        assert (row["digest"], row["bytes_read"]) == (hashlib.sha256(framed).hexdigest(), sum(len(data[at : at + 4]) for at in offsets))
     files = spark.createDataFrame([("m/a.wav", b"same"), ("m/b.wav", b"same"), ("m/c.wav", b"else")], "relative_path string, content binary")
     for level, status in (("D2", "CANDIDATE"), ("D3", "CONFIRMED"), ("D4", "CONFIRMED")):
         hashed = evidence.hash_content(files, level)
@@ -131,16 +142,46 @@ def test_evidence(spark):
     assert (got[""]["coverage"], got[""]["confirmed_ratio"], got["m"]["selected_files"]) == (3 / 16, 2 / 3, 3)
 
 
-def test_gates():
-    overall, found = gates.evaluate({})
-    assert overall == "INCOMPLETE" and len(found) == 9
+def _measured(spark, gates_):
+    rows = [(g, m, v if isinstance(v, bool) else None, None if isinstance(v, bool) else float(v)) for g, facts in gates_.items() for m, v in facts.items()]
+    return spark.createDataFrame(rows, "gate string, metric string, flag boolean, number double")
+
+
+def test_gates(spark):
     scale = {"duration_seconds": 1, "maximum_duration_seconds": 2, "peak_rss_bytes": 1, "maximum_peak_rss_bytes": 2, "temporary_bytes": 0, "maximum_temporary_bytes": 1, "observed_entry_count": 2_000_000, "minimum_entry_count": 1_000_000, "completed": True, "inputs_unchanged": True}
     viewer = scale | {"query_count": 100, "p95_query_seconds": 1, "maximum_p95_query_seconds": 2, "query_only": True}
     every = {g: dict.fromkeys(f, True) for g, f in gates.FACT_GATES.items()} | dict.fromkeys(gates.SCALE_GATES, scale) | {"viewer_search_scale": viewer}
-    assert gates.evaluate(every)[0] == "PASS"
-    assert gates.evaluate(every | {"scanner_scale": scale | {"duration_seconds": 3}})[1]["scanner_scale"] == ("FAIL", ["duration_seconds exceeds its budget"])
-    with pytest.raises(ValueError):
-        gates.evaluate({"no_such": {}})
+    none = gates.evaluate(_measured(spark, {}))
+    assert gates.overall(none).first()[0] == "INCOMPLETE" and none.count() == 9
+    assert gates.overall(gates.evaluate(_measured(spark, every))).first()[0] == "PASS"
+    for broken, reason in (({"duration_seconds": 3}, "duration_seconds must be at most maximum_duration_seconds"), ({"minimum_entry_count": 10}, "minimum_entry_count must be at least 1000000"), ({"completed": 1}, "completed must be true"), ({"temporary_bytes": -1}, "temporary_bytes must be at most maximum_temporary_bytes")):
+        found = gates.evaluate(_measured(spark, every | {"scanner_scale": scale | broken}))
+        assert {r["gate"]: r["reasons"] for r in found.where("status = 'FAIL'").collect()} == {"scanner_scale": [reason]} and gates.overall(found).first()[0] == "FAIL"
+    with pytest.raises(Exception, match="unknown gate"):
+        gates.evaluate(_measured(spark, {"no_such": {"x": True}})).collect()
+
+
+def test_pagerank_is_one_whatever_the_size(spark, monkeypatch):
+    nodes = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("d",), (None,)], "node string")
+    rows = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("zz", "a"), ("a", "zz"), (None, "b")]
+    edges = spark.createDataFrame([(*r, "DEPENDS_ON") for r in rows], "source string, target string, relationship_type string")
+    small = {r["node"]: r["pagerank"] for r in graph.pagerank(nodes, edges).collect()}
+    monkeypatch.setattr(graph, "DRIVER_EDGES", 0)
+    monkeypatch.setattr(graph, "ROUNDS", 12)
+    large = {r["node"]: r["pagerank"] for r in graph.pagerank(nodes, edges).collect()}
+    assert graph._ranks(["a", "b", "c", "d"], [r for r in rows if "zz" not in r and r[0]]).tolist() == pytest.approx([large[n] for n in "abcd"], abs=1e-9)
+    assert set(small) == set(large) == set("abcd") and abs(sum(large.values()) - 1) < 1e-9
+
+
+def test_selected_files_are_read_or_named(spark, tmp_path):
+    base = tmp_path / "in (a+b)"
+    (base / "x").mkdir(parents=True)
+    for name, data in (("x/same.txt", b"1234"), ("x/grown.txt", b"12345"), ("top.txt", b"1")):
+        (base / name).write_bytes(data)
+    files = spark.createDataFrame([("x/same.txt", 4, None), ("x/grown.txt", 4, None), ("top.txt", 1, None), ("x/gone.txt", 4, None), ("top2.txt", 1, 5)], "relative_path string, logical_bytes long, modified_ns long")
+    read, errors = evidence.read_selected(files, str(base))
+    assert {r["relative_path"]: bytes(r["content"]) for r in read.collect()} == {"x/same.txt": b"1234", "top.txt": b"1"}
+    assert {tuple(r) for r in errors.collect()} == {("x/grown.txt", "CHANGED"), ("x/gone.txt", "MISSING"), ("top2.txt", "MISSING")}
 
 
 def test_view(spark):

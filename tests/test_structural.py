@@ -112,3 +112,9 @@ def test_rollup_root_is_total(spark):
     roles = structural.classify_roles(files)
     root = structural.role_counts(roles).where("relative_path = ''").agg(F.sum("bytes"), F.sum("n")).first()
     assert tuple(root) == tuple(files.agg(F.sum("logical_bytes"), F.count(F.lit(1))).first())
+
+
+def test_roles_read_both_slashes(spark):
+    rows = [("build\\x.py", "x.py", ".py"), ("a/build/", "build", ""), ("a//build/x.py", "x.py", ".py"), ("build", "build", "")]
+    got = structural.classify_roles(spark.createDataFrame(rows, "relative_path string, name string, extension string")).collect()
+    assert [r["rule_id"] for r in got] == ["R130", "R999", "R130", "R999"]

@@ -80,3 +80,16 @@ def test_projects(spark):
 def test_chain_breaks(spark):
     links = spark.createDataFrame([(0, "a", "b"), (1, "b", "c"), (2, "x", "d")], "ordinal int, baseline string, current string")
     assert [(r["ordinal"], r["expected"]) for r in temporal.chain_breaks(links).collect()] == [(2, "c")]
+
+
+def test_changes_in_unknown_directories_raise(spark):
+    changes = spark.createDataFrame([("a/b/x", "ADDED", "OBSERVED_CURRENT", None, 1)], "relative_path string, change_type string, confidence string, before_logical_bytes long, after_logical_bytes long")
+    known = spark.createDataFrame([("a",)], "relative_path string")
+    with pytest.raises(Exception, match="unknown directory: a/b"):
+        temporal.directory_changes(changes, known).collect()
+
+
+def test_extensions_fold_like_names(spark):
+    files = spark.createDataFrame([("p/a.stra\u00dfe", "FILE", "OBSERVED", ".stra\u00dfe"), ("q/b.STRASSE", "FILE", "OBSERVED", ".STRASSE")], "relative_path string, entry_type string, observation_status string, extension string")
+    projects = spark.createDataFrame([("p",), ("q",)], "relative_path string")
+    assert [tuple(r)[:3] for r in temporal.shared_extension_edges(files, projects, 0.9).collect()] == [("p", "q", 1)]

@@ -84,12 +84,18 @@ def _ranks(names: list[str], pairs: list[tuple[str, str]]) -> np.ndarray:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, pagerank) over DEPENDS_ON edges, unweighted; nodes without out-edges give to all alike."""
-    depends = edges.where("relationship_type = 'DEPENDS_ON'").select("source", "target")
+    """(node, pagerank) over DEPENDS_ON edges, unweighted; nodes without out-edges give to all alike.
+
+    A node counts once however often it is there; edges with an end that is no node are left out; an edge that is there
+    twice counts twice. Up to DRIVER_EDGES both in number the ranks are made in the driver, beyond by joins, alike.
+    """
+    nodes = cut(nodes.select("node").where("node IS NOT NULL").distinct())
+    ends = [nodes.select(F.col("node").alias(c)) for c in ("source", "target")]
+    depends = cut(edges.where("relationship_type = 'DEPENDS_ON'").select("source", "target").join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi"))
     spark = nodes.sparkSession
     if depends.count() <= DRIVER_EDGES and nodes.count() <= DRIVER_EDGES:
-        names = sorted(r[0] for r in nodes.select("node").distinct().collect())
-        ranks = _ranks(names, [tuple(r) for r in depends.collect()]) if names else []
+        names = sorted(r[0] for r in nodes.collect())
+        ranks = _ranks(names, [(r["source"], r["target"]) for r in depends.collect()]) if names else []
         return spark.createDataFrame([(n, float(r)) for n, r in zip(names, ranks, strict=True)], "node string, pagerank double")
     n = nodes.count()
     out = depends.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("out"))

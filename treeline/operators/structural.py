@@ -44,10 +44,11 @@ def classify_roles(items: DataFrame) -> DataFrame:
     file, where that column is given, have rule R000.
     """
     low = items.withColumns({
-        "_above": F.filter(F.expr("slice(split(lower(replace(relative_path, '\\\\', '/')), '/'), 1, greatest(size(split(relative_path, '/')) - 1, 0))"), lambda s: s != ""),
+        "_above": F.filter(F.expr("split(lower(replace(relative_path, '\\\\', '/')), '/')"), lambda s: s != ""),
         "_name": F.lower("name"),
         "_ext": F.lower("extension"),
     })
+    low = low.withColumn("_above", F.expr("slice(_above, 1, greatest(size(_above) - 1, 0))"))
     chain = _result("R999", "UNKNOWN", 0.10, F.lit("No deterministic metadata rule matched."), None)
     is_media = F.col("_ext").isin(*MEDIA)
     chain = F.when(is_media, _result("R320", "ORIGINAL_MEDIA", 0.55, F.lit("Media extension observed; originality remains uncertain."), F.col("_ext"))).otherwise(chain)

@@ -41,7 +41,7 @@ def file_changes(baseline: DataFrame, current: DataFrame, baseline_errors: DataF
 
 
 def directory_changes(changes: DataFrame, directories: DataFrame) -> DataFrame:
-    """Counts of changes, bytes gained and churn of every directory (the root as ''), quiet ones too.
+    """Counts of changes, bytes gained and churn of every directory (the root as ''), quiet ones too; a change in an unknown directory raises.
 
     Changes are summed up by parent before they are expanded over ancestors.
     """
@@ -54,7 +54,9 @@ def directory_changes(changes: DataFrame, directories: DataFrame) -> DataFrame:
     )
     up = per_parent.select(F.explode(paths.ancestors("p", itself=True)).alias("relative_path"), *sums).groupBy("relative_path").agg(*(F.sum(c).alias(c) for c in sums))
     root = directories.sparkSession.createDataFrame([("",)], "relative_path string")
-    rows = directories.select("relative_path").unionByName(root).distinct().join(up, "relative_path", "left").na.fill(0, list(sums))
+    rows = directories.select("relative_path").unionByName(root).distinct().withColumn("known", F.lit(True)).join(up, "relative_path", "full").na.fill(0, list(sums))
+    here = F.when(F.col("known"), F.col("relative_path")).otherwise(F.raise_error(F.concat(F.lit("changes in an unknown directory: "), F.col("relative_path"))))
+    rows = rows.select(here.alias("relative_path"), *sums)
     total = F.col("added") + F.col("removed") + F.col("changed") + F.col("unchanged")
     moved = F.col("added") + F.col("removed") + F.col("changed")
     return rows.withColumn("churn", F.when(total == 0, 0.0).otherwise(moved / total))
@@ -85,7 +87,7 @@ def shared_extension_edges(files: DataFrame, projects: DataFrame, threshold: flo
 
     Pairs meet on extensions; sizes of sets give the union, so no pair without a common extension is ever made.
     """
-    sets = assign_projects(regular_files(files).where("extension <> ''"), projects, root=True).where("project IS NOT NULL").select("project", F.lower("extension").alias("ext")).distinct()
+    sets = assign_projects(regular_files(files).where("extension <> ''"), projects, root=True).where("project IS NOT NULL").select("project", "extension").distinct().select("project", paths.casefold("extension").alias("ext")).distinct()
     sizes = sets.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
     a, b = (sets.select(F.col("project").alias(x), "ext") for x in ("source", "target"))
     shared = a.join(b, "ext").where("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("shared"))
