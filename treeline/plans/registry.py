@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from treeline.operators import evidence as ev
 from treeline.operators import gates, graph, planning, ranking, structural, synthesis, temporal, view
 from treeline.plans.oracle import oracle, strict
 from treeline.sources import sample
+from treeline.store import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,17 +33,39 @@ def query(sql: str | None = None, **own: str) -> Callable:
 
 
 class Inventory:
-    """The sample inventory's derived tables, built on demand."""
+    """The sample inventory's derived tables, built on demand; those that others read more than once are written once, in the shared folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf = spark, sf_dir
-        self.files = sample.files(spark, sf_dir)
-        self.directories = sample.directories(self.files)
-        self.roles = structural.classify_roles(self.files)
-        self.aggregates = structural.directory_aggregates(self.roles, self.directories)
-        self.projects = structural.projects(self.files)
-        self.features = ranking.directory_features(self.aggregates, self.projects)
-        self.items = view.snapshot_items(self.files, self.directories)
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return sample.files(self.spark, self.sf)
+
+    @cached_property
+    def directories(self) -> DataFrame:
+        return sample.directories(self.files)
+
+    @cached_property
+    def roles(self) -> DataFrame:
+        return structural.classify_roles(self.files)
+
+    @cached_property
+    def aggregates(self) -> DataFrame:
+        roles = cut(self.roles.select("relative_path", "logical_bytes", "role"))
+        return structural.directory_aggregates(roles, sample.directories(roles))
+
+    @cached_property
+    def projects(self) -> DataFrame:
+        return structural.projects(self.files)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return cut(ranking.directory_features(self.aggregates, self.projects))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return view.snapshot_items(self.files, self.directories)
 
     def current(self) -> DataFrame:
         return view.current_decisions(sample.decision_events(self.spark, self.sf))
@@ -52,19 +76,19 @@ class Inventory:
         return self.files.where("name <> 'package.json'").join(text, "doc_id").select("relative_path", ev.as_content(F.col("text")).alias("content"))
 
 
-def transition(spark: SparkSession, sf_dir: str, n: int) -> dict[str, DataFrame]:
-    """Changes of snapshot n to n + 1 and what follows from them."""
-    a, b = sample.files(spark, sf_dir, n), sample.files(spark, sf_dir, n + 1)
-    changes = temporal.file_changes(a, b, sample.errors(spark, sf_dir, n), sample.errors(spark, sf_dir, n + 1))
+def transition(spark: SparkSession, sf_dir: str, n: int, snapshots: dict[int, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Changes of snapshot n to n + 1 and what follows from them; snapshots and changes are written once."""
+    a, b = ((snapshots or {}).get(k) or cut(sample.files(spark, sf_dir, k)) for k in (n, n + 1))
+    changes = cut(temporal.file_changes(a, b, sample.errors(spark, sf_dir, n), sample.errors(spark, sf_dir, n + 1)))
     dirs = sample.directories(a).unionByName(sample.directories(b)).distinct()
     pa, pb = structural.projects(a), structural.projects(b)
     return {"current": b, "changes": changes, "directories": temporal.directory_changes(changes, dirs), "nodes": temporal.project_nodes(pa, pb, changes, b), "projects": pb}
 
 
 def chain(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
-    out = None
+    out, snapshots = None, {k: cut(sample.files(spark, sf_dir, k)) for k in range(LINKS + 1)}
     for n in range(LINKS):
-        df = transition(spark, sf_dir, n)[what].withColumn("ordinal", F.lit(n))
+        df = transition(spark, sf_dir, n, snapshots)[what].withColumn("ordinal", F.lit(n))
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -429,7 +453,7 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT group_id, relative_path FROM mem", **_SEL)
 def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = ev.hash_content(Inventory(spark, sf_dir).content(), "D4")
+    hashed = cut(ev.hash_content(Inventory(spark, sf_dir).content(), "D4"))
     return ev.duplicate_members(hashed, ev.duplicate_groups(hashed))
 
 
@@ -445,9 +469,9 @@ def _directory_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     inv = Inventory(spark, sf_dir)
     text = sample.table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
     sized = inv.roles.join(text, "doc_id").withColumn("logical_bytes", F.when(F.col("name") == "package.json", F.lit(1).cast("long")).otherwise(F.col("n")))
-    hashed = ev.hash_content(inv.content(), "D4")
+    sized, hashed = cut(sized.select("relative_path", "logical_bytes", "role")), cut(ev.hash_content(inv.content(), "D4"))
     groups = ev.duplicate_groups(hashed)
-    return ev.directory_evidence(structural.directory_aggregates(sized, inv.directories), hashed, groups, ev.duplicate_members(hashed, groups))
+    return ev.directory_evidence(structural.directory_aggregates(sized, sample.directories(sized)), hashed, groups, ev.duplicate_members(hashed, groups))
 
 
 _EVIDENCE = "SELECT ob.relative_path, observed_files, observed_bytes, coalesce(selected_files, 0)::BIGINT AS selected_files, coalesce(selected_bytes, 0)::BIGINT AS selected_bytes, 0::BIGINT AS candidate_files, 0::BIGINT AS candidate_bytes, coalesce(confirmed_files, 0)::BIGINT AS confirmed_files, coalesce(confirmed_bytes, 0)::BIGINT AS confirmed_bytes, coalesce(selected_files, 0) / observed_files AS coverage, CASE WHEN coalesce(selected_files, 0) = 0 THEN 0.0 ELSE confirmed_files / selected_files END AS confirmed_ratio FROM ob LEFT JOIN se USING (relative_path)"
