@@ -254,11 +254,11 @@ def brute_stays(rows, percent=85):
     """One row of each group: the least key's; rows without a key or without words all stay."""
     sets = [shingle_set(t) for _, t in rows]
     out, group = Counter(), list(range(len(rows)))
-    for _ in rows:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a and b and rows[i][0] is not None and rows[j][0] is not None and 100 * len(a & b) >= percent * len(a | b):
-                    group[i] = group[j] = min(group[i], group[j])
+    own = [k for k, s in enumerate(sets) if s and rows[k][0] is not None]
+    links = [(i, j) for i in own for j in own if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    while any(group[i] != group[j] for i, j in links):
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
     for g in set(group):
         own = [r for k, r in zip(group, rows, strict=True) if k == g]
         if own[0][0] is None or not shingle_set(own[0][1]):
