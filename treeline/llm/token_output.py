@@ -28,6 +28,8 @@ from treeline.llm.tokens import encoder, with_end
 MAGIC = b"TLIDS\x02"
 #: A file is closed once it has this many ids; documents are never split.
 FILE_IDS = 1 << 22
+#: Bytes of text that are encoded at once while writing: a larger part has fewer distinct pieces to look up.
+WRITE_PART_BYTES = 8 << 20
 #: Magic, documents, ids, bytes of the table (0: blocks are not coded), CRC-32 of index and table.
 _HEAD, _BLOCK = struct.Struct("<6sIQII"), struct.Struct("<III")
 _INDEX = np.dtype([("null", "u1"), ("key", "<i8"), ("ids", "<u8")])
@@ -96,7 +98,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end: int, file_ids: int
 
     for batch in batches:
         own, at = batch.column(0).to_pylist(), 0
-        for flat, lengths in encoder(path).encode_column(batch.column(1)):
+        for flat, lengths in encoder(path).encode_column(batch.column(1), WRITE_PART_BYTES):
             ids, lengths = with_end(flat, lengths, end)
             while len(lengths):
                 # Up to and with the document that fills the file.

@@ -91,12 +91,12 @@ class PieceEncoder:
         """Each text's ids as unsigned 32-bit integers in the machine's order (little-endian here); nothing for null."""
         return [ids.tobytes() for flat, lengths in self.encode_column(pa.array(texts, pa.string())) for ids in np.split(flat, np.cumsum(lengths)[:-1])]
 
-    def encode_column(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids of the next texts one after the other, number of ids of each) for runs of ``texts``."""
+    def encode_column(self, texts: pa.Array, part_bytes: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of the next texts one after the other, number of ids of each) for runs of ``texts`` of about ``part_bytes``, PART_BYTES where it is not given."""
         ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(texts):
-            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, side="right")))
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (part_bytes or PART_BYTES), side="right")))
             yield self._encode(texts.slice(at, upto - at))
             at = upto
 
