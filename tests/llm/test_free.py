@@ -12,7 +12,7 @@ import pytest
 from conftest_llm import ROWS, prose
 from pyspark.sql import functions as F
 
-from treeline.llm import html, idcoder, media, neardup, packing, token_output, toxicity
+from treeline.llm import html, idcoder, media, neardup, packing, token_output, tokens, toxicity
 from treeline.llm.tokens import encoder, vocabulary
 
 VOCAB = vocabulary("word_bpe_49k.json")
@@ -34,6 +34,14 @@ def test_tokens_equal_the_library():
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder(VOCAB).encode(texts)] == [library_ids(t) for t in texts]
 
 
+def test_memory_of_words_does_not_change_ids(monkeypatch):
+    letters = "".join(map(chr, range(0x21, 0x180)))
+    texts = [" ".join(letters), letters, "a" * 100 + "!" * 60, "x]^_`{|}~\\ [x] a.b,c ", *(f"wörd{c}{m} Word{m}" for c in letters for m in ("", ".", "?!"))] * 2
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 40)
+    fresh = tokens.PieceEncoder(VOCAB)
+    assert [np.frombuffer(b, "<u4").tolist() for t in texts for b in fresh.encode([t])] == [library_ids(t) for t in texts]
+
+
 def coded(ids):
     table, places = idcoder.table_of(ids)
     blocks = idcoder.encode_blocks(table, places)

@@ -1,10 +1,10 @@
 """Token ids from a public tokenizer file, fast enough for whole corpora.
 
 White space parts pre-tokens in the vocabularies used here, so a text's ids are those of its pieces between ASCII white
-space. Some megabytes of text at a time are parted into pieces by Arrow; each distinct piece is looked up once, and the
-ids are laid out for all texts together. A new piece that is a plain word with ASCII marks
-after it goes to the library's BPE model directly, in the form that the file's normalizer and pre-tokenizer would
-give it; every other piece goes through the library's whole chain.
+space. Some megabytes of text at a time are parted into pieces by Arrow, which also parts each distinct piece that is a
+plain word with ASCII marks after it into word and marks. A distinct word in lower case is looked up once, and goes to
+the library's BPE model directly if it is new, in the form that the file's normalizer and pre-tokenizer would give it;
+every piece of another kind goes through the library's whole chain. The ids are laid out for all texts together.
 """
 
 from __future__ import annotations
@@ -14,17 +14,19 @@ import os
 import re
 import string
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers at most, the longest piece that it remembers, and the bytes of text that are parted at once (a longer text is parted alone): these bound memory, not results.
-CACHE_PIECES, CACHE_CHARS, PART_BYTES = 600_000, 48, 3 << 20
+#: Words, and pieces of other kinds, that a worker remembers at most, the longest that it remembers, and the bytes of text that are parted at once (a longer text is parted alone): these bound memory, not results.
+CACHE_PIECES, CACHE_CHARS, PART_BYTES = 900_000, 48, 3 << 20
 #: Letters of Latin up to U+017F without those whose lower case or composition is not one letter.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]+")
+_PLAIN = "[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]"
+_PLAIN_LETTERS = "".join(filter(re.compile(_PLAIN).fullmatch, map(chr, range(0x180))))
 #: The chain of a file for which the short way holds.
 _CHAIN = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -56,36 +58,28 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.known, self.known_before = {}, {}  # pieces and their ids, and those of the generation before
-        self.words, self.words_before = {}, {}
-        self.marks: dict[str, bytes] = {"": b""}
+        # What plain words, marks after words and pieces of other kinds were found to be.
+        self.words, self.marks, self.others = _Memory(), _Memory(), _Memory()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers", [])
-        chain = [x["type"] for x in norm.get("normalizers", [])], [x["type"] for x in steps], (steps or [{}])[0].get("pattern", {}).get("Regex")
-        self.short = chain == _CHAIN and spec["model"]["type"] == "BPE"
+        steps_named = [x["type"] for x in norm.get("normalizers", [])], [x["type"] for x in steps], (steps or [{}])[0].get("pattern", {}).get("Regex")
+        self.short = steps_named == _CHAIN and spec["model"]["type"] == "BPE"
 
     def _long_way(self, pieces: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _short_way(self, piece: str) -> bytes | None:
-        word = piece.rstrip(string.punctuation)
-        if not word or not _PLAIN.fullmatch(word):
-            return None
-        word, mark = word.lower(), piece[len(word) :]
-        got = self.words.get(word) or self.words_before.get(word)
-        if got is None:
-            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-            got = _packed([t.id for t in self.model.tokenize(spelled)])
-            if len(word) <= CACHE_CHARS:
-                self.words[word] = got
-        tail = self.marks.get(mark)
-        if tail is None:
-            tail = self._long_way([mark])[0]
-            if len(self.marks) < 10_000 and len(mark) <= CACHE_CHARS:
-                self.marks[mark] = tail
-        return got + tail
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        tokenize = self.model.tokenize
+        spelled = (w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS) for w in words)
+        ids = [[t.id for t in tokenize(w)] for w in spelled]
+        flat, at, out = _packed(list(chain.from_iterable(ids))), 0, []
+        for own in ids:
+            upto = at + 4 * len(own)
+            out.append(flat[at:upto])
+            at = upto
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as unsigned 32-bit integers in the machine's order (little-endian here); nothing for null."""
@@ -101,52 +95,75 @@ class PieceEncoder:
             at = upto
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        known = self.known
-        # What is in use passes from one generation to the next.
-        if len(known) > CACHE_PIECES // 2:
-            self.known_before, self.known = known, {}
-            known = self.known
-        if len(self.words) > CACHE_PIECES // 2:
-            self.words_before, self.words = self.words, {}
         parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         pieces = parts.flatten().dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
-        got = list(map(known.get, distinct))
-        new = [p for p, g in zip(distinct, got, strict=True) if g is None]
-        if new:
-            before = self.known_before
-            held = {p: before[p] for p in new if p in before}
-            known.update(held)
-            fresh = self._learn([p for p in new if p not in held])
-            got = [known[p] if g is None and p in known else fresh[p] if g is None else g for p, g in zip(distinct, got, strict=True)]
-        store = np.frombuffer(b"".join(got), np.uint32)
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) >> 2
-        firsts = np.cumsum(sizes) - sizes
+        store, sizes = self._distinct(pieces.dictionary)
         codes = pieces.indices.to_numpy()
-        sizes = sizes[codes]
-        ends = np.cumsum(sizes)
-        # Where each id lies in the store: its piece's ids run on from the first.
-        where = np.repeat(firsts[codes] - (ends - sizes), sizes)
-        where += np.arange(len(where))
-        flat = store[where]
+        flat, ends = _gather(store, sizes, codes)
         # Ids before each text's first piece.
         bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
         return flat, np.diff(bounds)
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Remember the ids of new ``pieces``; those of pieces too long for that are returned."""
-        known, fresh, rest = self.known, {}, []
-        for piece in pieces:
-            got = self._short_way(piece) if self.short else None
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``pieces`` one after the other, and how many each has."""
+        words = pc.utf8_rtrim(pieces, characters=string.punctuation)
+        plain = pc.match_substring_regex(words, f"^{_PLAIN}+$") if self.short else pa.array(np.zeros(len(pieces), bool))
+        words = pc.utf8_lower(words.filter(plain)).dictionary_encode()
+        marks = pc.utf8_ltrim(pieces.filter(plain), characters=_PLAIN_LETTERS).dictionary_encode()
+        others = pieces.filter(pc.invert(plain))
+        found = self.words.look_up(words.dictionary.to_pylist(), self._of_words)
+        first_mark = len(found)
+        found += self.marks.look_up(marks.dictionary.to_pylist(), self._long_way)
+        first_other = len(found)
+        found += self.others.look_up(others.to_pylist(), self._long_way)
+        # Each piece is two runs of what was found: word and marks, or itself and nothing.
+        found.append(b"")
+        runs = np.full((len(pieces), 2), len(found) - 1, np.int64)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        runs[is_plain, 0], runs[is_plain, 1] = words.indices.to_numpy(), marks.indices.to_numpy() + first_mark
+        runs[~is_plain, 0] = np.arange(first_other, first_other + len(others))
+        store, ends = _gather(np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) >> 2, runs.ravel())
+        return store, np.diff(ends[1::2], prepend=0)
+
+
+class _Memory:
+    """The ids of strings seen lately: what is in use passes from one generation of half CACHE_PIECES to the next."""
+
+    def __init__(self) -> None:
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def look_up(self, strings: list[str], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """What ``learn`` gives for each of the distinct ``strings``, from memory where they are there."""
+        if len(self.now) > CACHE_PIECES // 2:
+            self.before, self.now = self.now, {}
+        now, before = self.now, self.before
+        out = list(map(now.get, strings))
+        lacking = [i for i, got in enumerate(out) if got is None]
+        new = []
+        for i in lacking:
+            got = before.get(strings[i])
             if got is None:
-                rest.append(piece)
+                new.append(i)
             else:
-                (known if len(piece) <= CACHE_CHARS else fresh)[piece] = got
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            for piece, got in zip(some, self._long_way(some), strict=True):
-                (known if len(piece) <= CACHE_CHARS else fresh)[piece] = got
-        return fresh
+                out[i] = now[strings[i]] = got
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            for i, got in zip(some, learn([strings[i] for i in some]), strict=True):
+                out[i] = got
+                if len(strings[i]) <= CACHE_CHARS:
+                    now[strings[i]] = got
+        return out
+
+
+def _gather(store: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``store`` that ``codes`` name, one after the other, and where each ends; run i has ``sizes[i]`` items and follows run i - 1."""
+    firsts = (np.cumsum(sizes) - sizes)[codes]
+    sizes = sizes[codes]
+    ends = np.cumsum(sizes)
+    where = np.repeat(firsts - (ends - sizes), sizes)
+    where += np.arange(len(where))
+    return store[where], ends
 
 
 def with_end(flat: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
