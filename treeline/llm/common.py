@@ -27,10 +27,14 @@ def stash(df: DataFrame, label: str, *, compression: str = "snappy") -> DataFram
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/treeline-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    atexit.register(_remove, spark, path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(_remove, spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -98,3 +102,46 @@ def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
             trim(0)
 
     return df.mapInArrow(run, schema)
+
+
+#: Offsets up to which range_rank broadcasts them, about 60 bytes each; beyond, they are joined by a shuffle.
+BROADCAST_OFFSETS = 50_000
+
+
+def range_rank(df: DataFrame, keys: list[str], order: list[str], rank: str, total: str, label: str) -> DataFrame:
+    """Add the exact 0-based rank of each row within ``keys`` along ``order`` (ascending, nulls first) and the rows of its key.
+
+    The rows are dealt by ranges of (keys, order), sorted in each range and written to the shared folder with their
+    place, so a key with a third of all rows lies in as many ranges as it fills; only counts by range are summed up.
+    Null keys form a key of their own; rows equal in keys and order get their ranks in any order.
+    """
+    along = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    held = stash(df.repartitionByRange(*along).sortWithinPartitions(*along).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), label)
+    counts = held.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    of_key = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    before = F.coalesce(F.sum("_n").over(of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = stash(counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_kpart"), (before - F.col("_first")).alias("_shift"), F.sum("_n").over(of_key).alias(total)), f"{label}-offsets")
+    on = F.col("_part") == F.col("_kpart")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    few = offsets.count() <= BROADCAST_OFFSETS
+    placed = held.join(F.broadcast(offsets) if few else offsets, on)
+    return placed.withColumn(rank, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_kpart", "_shift", *(f"_k{i}" for i in range(len(keys))))
+
+
+#: A key with over one in so many of the rows is hot: at most as many keys can be.
+HOT_SHARE = 500
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` left join ``facts`` (one row a key, none null) on ``key``; rows of a hot key are dealt over several tasks.
+
+    At most HOT_SHARE keys can be hot, so their names are broadcast; a hot key's fact is repeated once for each
+    HOT_SHARE-th of the rows that its rows fill.
+    """
+    n = max(1, rows.count())
+    ways = F.ceil(F.col("count") * HOT_SHARE / n).cast("long")
+    hot = stash(rows.groupBy(key).count().where(F.col("count") * HOT_SHARE > n).select(F.col(key).alias("_hot"), ways.alias("_ways")), "hot-keys")
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_ways") > 1, F.pmod(F.monotonically_increasing_id(), "_ways")).otherwise(F.lit(0)))
+    spread = facts.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_ways"), F.lit(1)) - 1)))
+    return dealt.drop("_hot", "_ways").join(spread.drop("_hot", "_ways"), [key, "_salt"], "left").drop("_salt")
