@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from treeline.functions import paths
+from treeline.operators.similarity import set_pairs, similar_sets
 
 AMBIGUOUS = "AMBIGUOUS_ERROR_REGION"
 
@@ -82,18 +83,16 @@ def project_nodes(baseline_projects: DataFrame, current_projects: DataFrame, cha
     return every.join(counts, "project", "left").join(held, "project", "left").na.fill(0, ["changed", "ambiguous", "current_files"])
 
 
-def shared_extension_edges(files: DataFrame, projects: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """(source, target, shared, similarity) of project pairs whose sets of extensions overlap by ``threshold`` or more.
+def extension_sets(files: DataFrame, projects: DataFrame) -> DataFrame:
+    """(project, extension), distinct: the folded extensions of the regular files that each project holds."""
+    held = assign_projects(regular_files(files).where("extension <> ''"), projects, root=True).where("project IS NOT NULL").select("project", "extension").distinct()
+    return held.select("project", paths.casefold("extension").alias("extension")).distinct()
 
-    Pairs meet on extensions; sizes of sets give the union, so no pair without a common extension is ever made.
-    """
-    sets = assign_projects(regular_files(files).where("extension <> ''"), projects, root=True).where("project IS NOT NULL").select("project", "extension").distinct().select("project", paths.casefold("extension").alias("ext")).distinct()
-    sizes = sets.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
-    a, b = (sets.select(F.col("project").alias(x), "ext") for x in ("source", "target"))
-    shared = a.join(b, "ext").where("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("shared"))
-    na, nb = (sizes.select(F.col("project").alias(x), F.col("n").alias(f"n_{x}")) for x in ("source", "target"))
-    rows = shared.join(na, "source").join(nb, "target").withColumn("similarity", F.col("shared") / (F.col("n_source") + F.col("n_target") - F.col("shared")))
-    return rows.where(F.col("similarity") >= threshold).select("source", "target", "shared", "similarity")
+
+def shared_extension_edges(files: DataFrame, projects: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """(source, target, shared, similarity) of project pairs whose sets of extensions overlap by ``threshold`` or more."""
+    found = similar_sets(extension_sets(files, projects), "project", "extension", threshold)
+    return set_pairs(*found).withColumnsRenamed({"a": "source", "b": "target"})
 
 
 def file_history(transitions: DataFrame, count: int) -> DataFrame:

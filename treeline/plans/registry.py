@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths
 from treeline.operators import evidence as ev
-from treeline.operators import gates, graph, planning, ranking, structural, synthesis, temporal, view
+from treeline.operators import gates, graph, planning, ranking, similarity, structural, synthesis, temporal, view
 from treeline.plans.oracle import oracle, strict
 from treeline.sources import sample
 from treeline.store import cut
@@ -338,22 +338,24 @@ _EXT = {
 }
 
 
-def _top_projects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The top directories taken as projects, and edges of those with nearly the same extensions."""
-    files = sample.files(spark, sf_dir)
+def _top_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The top directories taken as projects, pairs of their sets of extensions that are nearly the same, and the projects' sets."""
+    files = cut(sample.files(spark, sf_dir).select("relative_path", "extension", "entry_type", "observation_status"))
     tops = sample.directories(files).where("relative_path NOT LIKE '%/%'")
-    return tops.select(F.col("relative_path").alias("node")), temporal.shared_extension_edges(files, tops, 0.9)
+    return tops.select(F.col("relative_path").alias("node")), *similarity.similar_sets(temporal.extension_sets(files, tops), "project", "extension", 0.9)
 
 
 @query("SELECT source, target, shared, round(similarity, 9) AS similarity FROM xe", **_EXT)
 def shared_extension_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top_projects(spark, sf_dir)[1].withColumn("similarity", F.round("similarity", 9))
+    _, pairs, named = _top_sets(spark, sf_dir)
+    return similarity.set_pairs(pairs, named).select(F.col("a").alias("source"), F.col("b").alias("target"), "shared", F.round("similarity", 9).alias("similarity"))
 
 
 @query("SELECT node, min(root) AS root, (SELECT count(DISTINCT b) FROM xn WHERE a = node) AS degree FROM xr GROUP BY node", **_EXT)
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _top_projects(spark, sf_dir)
-    return graph.components(nodes, edges).join(graph.degrees(nodes, edges), "node")
+    nodes, pairs, named = _top_sets(spark, sf_dir)
+    edges, degrees = similarity.set_graph(pairs, named)
+    return graph.components(nodes, edges).join(degrees, "node", "left").na.fill(0, ["degree"])
 
 
 @query(
@@ -361,8 +363,8 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     **_EXT,
 )
 def component_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _top_projects(spark, sf_dir)
-    return graph.component_ids(graph.components(nodes, edges))
+    nodes, pairs, named = _top_sets(spark, sf_dir)
+    return graph.component_ids(graph.components(nodes, similarity.set_graph(pairs, named)[0]))
 
 
 _GRID = {
