@@ -397,6 +397,73 @@ def test_layouts_nest(spark):
     assert all(by[20 + i] == f"Three times told\nat {i}" for i in range(3))
 
 
+@pytest.mark.parametrize("kinds", [5, 6, 8])
+def test_many_layouts(spark, kinds):
+    """Layouts that each are on a small part of their host lose their menus too."""
+    body = "<div class=kind{0}><div class=links><ul><li>First of {0}<li>Second of {0}</ul></div><div class=text><p>Own words {1}, and more</div><p>Ends {0}</div>"
+    rows = [page("m.org", i, body.format(chr(97 + i % kinds), i)) for i in range(kinds * 10)]
+    got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, token string")).collect()
+    assert {r["text"] for r in got} == {f"Own words {i}, and more" for i in range(kinds * 10)}
+
+
+def test_words_cut_no_article_block_alone(spark):
+    body = "<article><h1>Study {0}</h1><div class='ad-libitum'>Fed at will {0}</div><section class='search-results-study'><p>Found {0}</section><ul class='related-work'><li>Work {0}</ul></article>"
+    rows = [page(f"w{i}.org", i, body.format(i)) for i in range(3)]
+    # On one of many pages of a host they are no template either; on most of them the template has them.
+    rows += [page("x.org", 10 + i, body.format(i) if i == 0 else f"<article><p>Text {i}</article>") for i in range(12)]
+    rows += [page("y.org", 30 + i, f"<div><p>Text {i} of its own</div><div class=related-links><a>Other {i * 7}</a></div>") for i in range(12)]
+    by = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, token string")).collect()}
+    for k, i in ((0, 0), (1, 1), (2, 2), (10, 0)):
+        assert by[k] == f"Study {i}\nFed at will {i}\nFound {i}\nWork {i}"
+    assert all(by[30 + i] == f"Text {i} of its own" for i in range(12))
+
+
+@pytest.mark.parametrize("unit", ["<a x ", "<div>", "</i>", "<b>", "<b></p>", "<i><div>", "<p class=\"", "<p class='x", "<!--", "<title>", "<td><tr>", "&amp", "<a =", "<a ='", "class=", "<x/"])
+def test_the_parser_is_linear(unit):
+    import time
+
+    def took(n):
+        text = unit * (n // len(unit)) + "'" + " end"
+        began = time.perf_counter()
+        html.parse(text)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(200_000) < 1.5
+
+
+def test_attributes_are_read_like_a_browser():
+    said = lambda t: " ".join("".join(r.text for r in html.parse(t)[1]).split())
+    assert said("<p it's>one</p><p title='a>b'>two</p><a href=x'y>three</a><input value=\"> no\">four") == "onetwothreefour"
+    assert said("a < b and <3 and </ x> c") == "a < b and <3 and </ x> c"
+
+
+def test_classes_equal_brute_force_vectors(spark):
+    """Tokens of a host are in one class if they occur as often on the same distinct pages."""
+    rng = random.Random(9)
+    parts = ["<nav>menu</nav>", "<div class=box><p>Same words</p></div>", "<ul><li>one<li>two</ul>", "<p>{0}</p>", "<section><p>shared</p><p>shared</p></section>", "<div class=side-bar>x</div>"]
+    rows = [page(f"h{i % 2}.org", i, "".join(rng.choice(parts) for _ in range(6)).format(i % 9)) for i in range(40)]
+    schema = "host string, page binary, kind int, token long, place long, count long"
+    df = spark.createDataFrame([(u.split("/")[2], h) for _, u, h, _ in rows], "host string, html string")
+    from treeline.llm.common import map_arrow
+
+    tokens = map_arrow(df, html._tokens, schema).groupBy("host", "page", "kind", "token", "place").agg(F.max("count").alias("count"))
+    got = {}
+    for r in html.occurrence_vectors(tokens).collect():
+        got.setdefault((r["host"], r["support"], r["vector"]), set()).add((r["kind"], r["token"]))
+    seen = {}
+    for u, h in {(u.split("/")[2], h) for _, u, h, _ in rows}:
+        tags, free, _, key = html._free(u, h)
+        count = Counter([(0, t) for t, _, _ in tags] + [(2, m) for _, _, m in tags if m])
+        count.update((3 if r.main else 1, html.run_token(r.box, html._clean(r.text))) for r in free if html._clean(r.text))
+        for token, n in count.items():
+            seen.setdefault((u, token), {})[key] = n
+    want = {}
+    for (host, token), vector in seen.items():
+        want.setdefault((host, frozenset(vector.items())), set()).add(token)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_media(spark, edge_docs, no_docs):
     got = media.store_and_fingerprint(edge_docs).collect()
     want = Counter()

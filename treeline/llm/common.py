@@ -133,15 +133,18 @@ def range_rank(df: DataFrame, keys: list[str], order: list[str], rank: str, tota
 HOT_SHARE = 500
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, *, keys: DataFrame | None = None) -> DataFrame:
     """``rows`` left join ``facts`` (one row a key, none null) on ``key``; rows of a hot key are dealt over several tasks.
 
+    ``keys`` has the keys of all ``rows`` where those cost much to make.
+
     At most HOT_SHARE keys can be hot, so their names are broadcast; a hot key's fact is repeated once for each
     HOT_SHARE-th of the rows that its rows fill.
     """
-    n = max(1, rows.count())
+    keys = rows if keys is None else keys
+    n = max(1, keys.count())
     ways = F.ceil(F.col("count") * HOT_SHARE / n).cast("long")
-    hot = stash(rows.groupBy(key).count().where(F.col("count") * HOT_SHARE > n).select(F.col(key).alias("_hot"), ways.alias("_ways")), "hot-keys")
+    hot = stash(keys.groupBy(key).count().where(F.col("count") * HOT_SHARE > n).select(F.col(key).alias("_hot"), ways.alias("_ways")), "hot-keys")
     dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_ways") > 1, F.pmod(F.monotonically_increasing_id(), "_ways")).otherwise(F.lit(0)))
     spread = facts.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_ways"), F.lit(1)) - 1)))
     return dealt.drop("_hot", "_ways").join(spread.drop("_hot", "_ways"), [key, "_salt"], "left").drop("_salt")
