@@ -35,6 +35,19 @@ def test_rare_sources_are_spread(spark):
     assert all(large[s] + rare[s] == 250 for s in range(40))
 
 
+def test_null_keys_are_spread(spark):
+    """Half of the ids null: the cells that order them hold no more rows than others."""
+    from treeline.llm.common import hash_unit, text_crc32
+
+    rows = [(None if i % 2 else i, f"text {i}", "large") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sharding.interleave(df, 8).select("shard", "slot", "doc_id")
+    assert Counter(r["shard"] for r in got.collect()) == Counter(dict.fromkeys(range(8), 500))
+    key = F.md5(F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text_crc32(F.col("text")).cast("string")).cast("binary"))
+    cells = df.groupBy(F.shiftright(hash_unit(key) * 64, 32)).count().collect()
+    assert max(r["count"] for r in cells) < 2 * 4000 / 64
+
+
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 
 

@@ -22,11 +22,11 @@ WITH t AS (
   SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS tab
 ), c AS (
+  SELECT *, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || text_crc32) AS h FROM (
   SELECT doc_id, source, coalesce(octet_length(encode(text)), 0) + 16 AS size,
          xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
-             lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS text_crc32,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS h
-  FROM documents, t
+             lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT)::BIGINT AS text_crc32
+  FROM documents, t)
 ), r AS (
   SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 1
             + (('0x' || substr(md5('{SEED}' || CASE WHEN source IS NULL THEN '-' ELSE '+' || source END), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)

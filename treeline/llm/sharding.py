@@ -38,7 +38,7 @@ def interleave(docs: DataFrame, shards: int, *, seed: int = 1, source: str = "so
         F.col(source).alias("source"),
         (utf8_bytes(F.col(text)) + 16).alias("size"),
         text_crc32(F.col(text)).alias("text_crc32"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary")).alias("shuffle_key"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(":"), text_crc32(F.col(text)).cast("string")).cast("binary")).alias("shuffle_key"),
     )
     ties = [F.col(c) for c in ("shuffle_key", "doc_id", "text_crc32", "size")]
     by_source = distributed_rank(base, ["source"], F.shiftright(hash_unit(F.col("shuffle_key")) * cells, 32), ties, "source_rank", "source_rows")
