@@ -221,8 +221,8 @@ def _place(batches: Iterator[pa.RecordBatch], runs: dict) -> Iterator[pa.RecordB
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048, *, key: str = "doc_id", text: str = "text", keep_ids: bool = False, rounds: int = ROUNDS) -> DataFrame:
     """(key, piece, start, length, ids_crc32[, ids], sequence_id, offset) for each piece of each row of ``docs``.
 
-    Pieces of one length are ranked exactly over (length, cell of a hash), so a length that a third of all documents
-    share is spread over tasks; a rank finds its sequence in the plan, which is bounded by rounds and capacity and
+    Pieces of one length are ranked exactly over (length, cell of a hash of key, piece and ids), so a length that a third
+    of all documents share is spread over tasks, also where their keys are null or repeated; a rank finds its sequence in the plan, which is bounded by rounds and capacity and
     goes to the workers as a broadcast.
 
     Defined cases: null and empty texts are the end id alone; null keys stay null; repeated rows are packed each;
@@ -233,7 +233,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = pieces.sparkSession.sparkContext.broadcast(placements(plan(histogram, capacity, rounds)))
     cells = math.isqrt(sum(histogram.values())) + 1
-    hashed = pieces.withColumn("_h", F.md5(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("null")), F.col("piece").cast("string")).cast("binary")))
+    hashed = pieces.withColumn("_h", F.md5(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("null")), F.col("piece").cast("string"), F.col("ids_crc32").cast("string")).cast("binary")))
     ranked = distributed_rank(hashed, ["length"], F.shiftright(hash_unit(F.col("_h")) * cells, 32), [F.col("_h"), F.col("ids_crc32")], "rank", "total")
     placed = map_arrow(
         ranked.select("key", "piece", "start", "length", "ids_crc32", "ids", "rank"),
