@@ -117,12 +117,13 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end: int, file_ids: int
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, *, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """All documents' ids, each with ``end_id`` after it, as files in ascending key order (nulls first): (part, file, n_ids, data), stashed.
 
-    Files follow each other by (part, file). Rows of one key are spread over tasks by a seeded random number.
+    Files follow each other by (part, file). Rows of one key are spread over tasks by a hash of their
+    text, so a task that runs again deals them alike.
 
     Defined cases: null and empty texts have the end id alone; repeated rows, and rows of one key, stay, in any order
     among each other; an empty table gives no files; other columns are left out.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.rand(1).alias("tie"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
     ordered = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
     return stash(map_arrow(ordered, lambda it: _write(it, tokenizer_path, end_id, file_ids), "part int, file int, n_ids long, data binary"), "ids")
 
