@@ -5,7 +5,7 @@ value that starts with i; a coordinate keeps its least value. After T random rou
 into coordinate j, so every coordinate fills whatever the set's size. Once all are full, later rounds change nothing.
 
 Bands of R coordinates propose pairs. Equal shingle sets are one node from the start. A bucket of up to SMALL nodes
-proposes all its pairs. A larger one proposes two pivots with each other node: its least node and the one that meets
+proposes all its pairs whose sizes allow a link. A larger one proposes two pivots with each other node: its least node and the one that meets
 most nodes in large buckets, which is near the middle of its group. Proposals whose sketches agree far less than linked documents' do are dropped, the
 others are confirmed on full shingle sets. Larger buckets that still lie in several components then have their
 remaining pairs, those outside and across the largest component, held against each other exactly, block by block; a
@@ -255,17 +255,20 @@ def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     base = stash(map_arrow(hashed, lambda it: _sketched(it, width), "id long, text_md5 binary, n long, node binary, bands array<long>, sketch binary"), "sketches")
     named = base.where("node is not null and id is not null")
     nodes = stash(named.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
-    members = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("least")).where("c > 1")
+    members = nodes.select("node", "n", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("least")).where("c > 1")
     found = stash(members.join(buckets, "key"), "buckets")
 
-    lists = found.where(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
-    pairs = lists.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
+    # Pairs whose sizes do not allow a link are dropped before anything is shuffled for them.
+    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    after = lambda x, i: F.filter(F.slice(F.col("m"), i + 2, F.lit(SMALL)), lambda y: fits(x["n"], y["n"]))
+    lists = found.where(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
+    pairs = lists.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(after(x, i), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))).alias("p")).select("p.a", "p.b")
     large = found.where(F.col("c") > SMALL)
     met = large.groupBy("node").agg(F.sum("c").alias("met"))
-    middle = large.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("middle"))
-    pivoted = large.join(middle, "key").select("node", F.explode(F.array_distinct(F.array("least", "middle"))).alias("pivot"))
-    starred = pivoted.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    middle = large.join(met, "node").groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("met", "node")).alias("middle"))
+    pivoted = large.join(middle, "key").select("node", "n", F.explode(F.array_distinct(F.array("least", "middle"))).alias("pivot")).where((F.col("node") != F.col("pivot.node")) & fits(F.col("n"), F.col("pivot.n")))
+    starred = pivoted.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
     proposed = pairs.unionByName(starred).distinct()
 
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
