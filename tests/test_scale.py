@@ -1,5 +1,6 @@
 """Operators that may not put a hot group into one task, against plain loops over random inputs."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from treeline.operators import ranking, similarity
+from treeline.operators import hashtree, ranking, similarity
 
 
 def test_grid_ranks_equal_chains(spark, monkeypatch):
@@ -69,3 +70,49 @@ def test_similar_sets_equal_brute_force(spark, monkeypatch, block):
     assert similarity.similar_sets(df.limit(0), "project", "extension", 0.5)[0].count() == 0
     with pytest.raises(ValueError):
         similarity.similar_sets(df, "project", "extension", 0.0)
+
+
+def brute_tree(rows, fan):
+    """{(level, idx): (rows, first key, last key, hash)} of (key, value) rows."""
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    frame = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    level = sorted(((k is not None, k or ""), sha(frame(k) + frame(v)), k or "") for k, v in rows)
+    nodes, out, at = [(1, k, k, h) for _, h, k in level], {}, 0
+    while nodes:
+        nodes = [(sum(n for n, *_ in run), run[0][1], run[-1][2], sha("".join(h for *_, h in run))) for i in range(0, len(nodes), fan) for run in [nodes[i : i + fan]]]
+        out |= {(at, i): n for i, n in enumerate(nodes)}
+        if len(nodes) == 1:
+            break
+        at += 1
+    return out
+
+
+def test_hash_trees(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "é", "", *(f"k{i:03}" for i in range(150))]), rng.choice([None, 1, 2])) for _ in range(300)]
+    schema = "k string, v long"
+    df = spark.createDataFrame(rows, schema)
+    trees = {}
+    for fan in (2, 7, 64):
+        for parts in (1, 9):
+            tree = hashtree.hash_tree(df.repartition(parts), ["k"], fan)
+            assert {(r["level"], r["idx"]): tuple(r)[2:] for r in tree.collect()} == brute_tree(rows, fan)
+        trees[fan] = tree
+    assert hashtree.root(trees[7]) == max(brute_tree(rows, 7).items())[1][3]
+    # A flipped row is found in its chunk alone; keys stay, so nothing moves.
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or ""))
+    at = next(i for i, r in enumerate(order) if r[0] == "k070")
+    flipped = [(k, 9) if k == "k070" else (k, v) for k, v in rows]
+    got = hashtree.changed_ranges(trees[7], hashtree.hash_tree(spark.createDataFrame(flipped, schema), ["k"], 7), 7).collect()
+    assert {r["idx"] for r in got} == {i // 7 for i, r in enumerate(order) if r[0] == "k070"} and at // 7 in {r["idx"] for r in got}
+    assert all(r["change"] == "altered" and r["old_first"] <= "k070" <= r["old_last"] for r in got)
+    assert hashtree.changed_ranges(trees[7], trees[7], 7).count() == 0
+    # Rows at the end only add chunks; none at all removes every one.
+    longer = hashtree.hash_tree(spark.createDataFrame([*rows, *(("z", i) for i in range(700))], schema), ["k"], 7)
+    added = hashtree.changed_ranges(trees[7], longer, 7).collect()
+    assert {r["idx"] for r in added} == set(range(300 // 7, 143)) and {r["change"] for r in added} == {"altered", "added"}
+    empty = hashtree.hash_tree(df.limit(0), ["k"], 7)
+    assert hashtree.root(empty) == hashtree.EMPTY and empty.count() == 0
+    assert {r["change"] for r in hashtree.changed_ranges(trees[7], empty, 7).collect()} == {"removed"}
+    with pytest.raises(ValueError):
+        hashtree.hash_tree(df, ["k"], 1)

@@ -10,6 +10,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.operators import hashtree
+
 RUN_STATES = ("RUNNING", "COMPLETE", "FAILED", "STOPPED")
 
 
@@ -103,11 +105,12 @@ class Artifact:
         self.spark, self.path = spark, path.rstrip("/")
 
     def write(self, kind: str, tables: dict[str, DataFrame], *, run_id: str, inputs: dict[str, str], order: dict[str, tuple[str, ...]], finished_at: str) -> str:
-        """Tables in the order given, each with a stage digest; the run's digest is over those. Fails where a run is already."""
+        """Tables in the order given, each with the root of its hash tree as its stage's digest; the run's digest is over those. Fails where a run is already."""
         stages, before = [], digest(inputs)
         for name, df in tables.items():
             df.write.mode("errorifexists").parquet(f"{self.path}/{name}")
-            own = ordered_digest(self.table(name), *order[name])
+            hashtree.hash_tree(self.table(name), list(order[name])).write.mode("errorifexists").parquet(self._tree(name))
+            own = hashtree.root(self.spark.read.parquet(self._tree(name)))
             stages.append((name, before, own))
             before = own
         output = digest([s[2] for s in stages])
@@ -115,17 +118,22 @@ class Artifact:
         self.spark.createDataFrame(rows, "kind string, run_id string, state string, finished_at string, inputs string, output_digest string, stage string, input_digest string, stage_digest string, row_order array<string>").coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/_ledger")
         return output
 
+    def _tree(self, name: str) -> str:
+        return f"{self.path}/_trees/{name}"
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def verify(self, kind: str) -> str:
-        """Recompute every stage's digest; the run's digest, or an error where anything was changed."""
+        """Recompute every stage's hash tree in the executors; the run's digest, or an error that names the first changed range of rows."""
         rows = self.table("_ledger").collect()
         if not rows or any(r["kind"] != kind or r["state"] != "COMPLETE" for r in rows):
             raise ValueError(f"not a complete {kind} run")
         for r in rows:
-            if ordered_digest(self.table(r["stage"]), *r["row_order"]) != r["stage_digest"]:
-                raise ValueError(f"stage {r['stage']} was changed after the run")
+            now = hashtree.hash_tree(self.table(r["stage"]), list(r["row_order"]))
+            if hashtree.root(now) != r["stage_digest"]:
+                at = hashtree.changed_ranges(self.spark.read.parquet(self._tree(r["stage"])), now).orderBy("idx").first()
+                raise ValueError(f"stage {r['stage']} was changed after the run" + (f": {at['change']} from {at['old_first'] or at['new_first']!r} to {at['old_last'] or at['new_last']!r}" if at else ""))
         return rows[0]["output_digest"]
 
 

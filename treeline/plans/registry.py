@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths
 from treeline.operators import evidence as ev
-from treeline.operators import gates, graph, planning, ranking, similarity, structural, synthesis, temporal, view
+from treeline.operators import gates, graph, hashtree, planning, ranking, similarity, structural, synthesis, temporal, view
 from treeline.plans.oracle import oracle, strict
 from treeline.sources import sample
 from treeline.store import cut
@@ -699,6 +699,33 @@ def canonical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.export_lines(inv.directories, inv.files.select("relative_path", "logical_bytes"), sample.errors(spark, sf_dir, 0), none)
 
 
+#: A hash tree over sixteen rows a chunk and sixteen nodes a node, up to 65,536 files: the operator has no such bound.
+_FRAME = lambda c: f"coalesce(octet_length(encode(({c})::VARCHAR))::VARCHAR || ':' || ({c})::VARCHAR, '-')"
+_ROW_HASH = f"sha256({' || '.join(_FRAME(c) for c in ('logical_bytes', 'modified_ns', 'relative_path'))})"
+_TREE = {
+    "hr": f"SELECT row_number() OVER (ORDER BY relative_path) - 1 AS idx, relative_path, modified_ns, {_ROW_HASH} AS hash FROM f",
+    "h0": "SELECT 0 AS level, idx // 16 AS idx, count(*) AS rows, min(relative_path) AS first_key, max(relative_path) AS last_key, sha256(string_agg(hash, '' ORDER BY idx)) AS hash FROM hr GROUP BY idx // 16",
+    **{f"h{k}": f"SELECT {k} AS level, idx // 16 AS idx, sum(rows)::BIGINT AS rows, min(first_key) AS first_key, max(last_key) AS last_key, sha256(string_agg(hash, '' ORDER BY idx)) AS hash FROM h{k - 1} WHERE (SELECT count(*) FROM h{k - 1}) > 1 GROUP BY idx // 16" for k in range(1, 4)},
+}
+
+
+def _tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample.files(spark, sf_dir).select("relative_path", "logical_bytes", "modified_ns")
+
+
+@query("SELECT level, idx, rows, first_key, last_key, hash FROM h0 UNION ALL SELECT level, idx, rows, first_key, last_key, hash FROM h1 UNION ALL SELECT level, idx, rows, first_key, last_key, hash FROM h2 UNION ALL SELECT level, idx, rows, first_key, last_key, hash FROM h3", **_TREE)
+def snapshot_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashtree.hash_tree(_tree_rows(spark, sf_dir), ["relative_path"], 16)
+
+
+@query("SELECT idx // 16 AS idx, 'altered' AS change, min(relative_path) AS first_key, max(relative_path) AS last_key FROM hr GROUP BY idx // 16 HAVING bool_or(modified_ns // 1000000000 % 97 = 5)", **_TREE)
+def tampered_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tree_rows(spark, sf_dir)
+    tampered = rows.withColumn("logical_bytes", F.when(F.expr("modified_ns div 1000000000 % 97 = 5"), F.col("logical_bytes") + 1).otherwise(F.col("logical_bytes")))
+    old, new = (hashtree.hash_tree(x, ["relative_path"], 16) for x in (rows, tampered))
+    return hashtree.changed_ranges(old, new, 16).select("idx", "change", F.col("old_first").alias("first_key"), F.col("old_last").alias("last_key"))
+
+
 @query("SELECT kind, relative_path, CASE WHEN contains(relative_path, '/') THEN regexp_replace(relative_path, '/[^/]+$', '') END AS parent_path, regexp_extract(relative_path, '([^/]+)$', 1) AS name, extension, logical_bytes, modified_ns, depth FROM items")
 def snapshot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Inventory(spark, sf_dir).items
