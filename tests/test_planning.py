@@ -3,7 +3,6 @@
 import hashlib
 import itertools
 import random
-import re
 
 import pytest
 
@@ -24,8 +23,8 @@ POLICY = Policy(250, 1000, 0.1)
 
 def test_exact_frontier():
     plans = planning.exact_frontier(small_tree(), POLICY)
-    assert {tuple(i for i, _ in p.archive_names) for p in plans} == {(), ("root/safe",)}
-    best = next(p for p in plans if p.archive_names)
+    assert {p.archives for p in plans} == {(), ("root/safe",)}
+    best = next(p for p in plans if p.archives)
     assert best.metrics[:2] == (-200.0, 10.0)
     with pytest.raises(planning.FrontierLimit):
         planning.exact_frontier(small_tree(), POLICY, limit=1)
@@ -86,15 +85,16 @@ def test_validation_and_repair():
     planning.validate(tree, POLICY, planning.repair(tree, POLICY, {"root": 2.2, "root/safe": 0.9, "root/protected": 0}))
 
 
-def brute_label(path):
-    slug = re.sub(r"[^A-Za-z0-9._-]+", "-", path.rpartition("/")[2] or "root").strip("-.") or "group"
-    return f"{slug[:60]}-{hashlib.sha256(path.encode()).hexdigest()[:12]}.zip"
-
-
-def test_labels_agree(spark):
-    names = ["a/b c", "x/---", "y/été.", "z" * 90, "..."]
-    got = spark.createDataFrame([(n,) for n in names], "p string").select(planning.archive_label("p")).collect()
-    assert [r[0] for r in got] == [brute_label(n) for n in names]
+def test_labels(spark):
+    want = {
+        "a/b c": "b-c-" + hashlib.sha256(b"a/b c").hexdigest()[:12] + ".zip",
+        "x/---": "group-" + hashlib.sha256(b"x/---").hexdigest()[:12] + ".zip",
+        "y/\u00e9t\u00e9.": "t-" + hashlib.sha256("y/\u00e9t\u00e9.".encode()).hexdigest()[:12] + ".zip",
+        "z" * 90: "z" * 60 + "-" + hashlib.sha256(b"z" * 90).hexdigest()[:12] + ".zip",
+        "": "root-e3b0c44298fc.zip",
+    }
+    got = spark.createDataFrame([(n,) for n in want], "p string").select("p", planning.archive_label("p").alias("label")).collect()
+    assert {r["p"]: r["label"] for r in got} == want
 
 
 def test_proposal(spark):
@@ -114,12 +114,7 @@ def test_graph(spark):
     assert roots == dict(zip("abcdefg", "aaaaeeg", strict=True))
     assert {r["node"]: r["cut_risk"] for r in graph.cut_risk(nodes, edges).collect()} == dict(zip("abcdefg", (0, 1, 0, 0, 0, 0, 0), strict=True))
     ranks = {r["node"]: r["pagerank"] for r in graph.pagerank(nodes, edges).collect()}
-    old, graph.DRIVER_EDGES, rounds, graph.ROUNDS = graph.DRIVER_EDGES, 0, graph.ROUNDS, 12
-    try:
-        joined = {r["node"]: r["pagerank"] for r in graph.pagerank(nodes, edges).collect()}
-    finally:
-        graph.DRIVER_EDGES, graph.ROUNDS = old, rounds
-    assert abs(sum(ranks.values()) - 1) < 1e-9 and all(abs(ranks[n] - joined[n]) < 0.05 for n in ranks)
+    assert abs(sum(ranks.values()) - 1) < 1e-9
     with pytest.raises(Exception, match="bad relation"):
         graph.check_relations(edges.withColumnRenamed("source", "t").selectExpr("target AS source", "target", "relationship_type")).collect()
 
@@ -195,12 +190,46 @@ def test_view(spark):
     for bad in (0, 501, True):
         with pytest.raises(ValueError):
             view.search(items, limit=bad)
-    current = spark.createDataFrame([("x", "PROTECT", 1)], "relative_path string, decision string, revision long")
-    assert view.append_decision(current, "x", "KEEP", expected_revision=1) == ("x", "PROTECT", "KEEP", 2)
-    assert view.append_decision(current, "y", "KEEP") == ("y", None, "KEEP", 1)
-    for args in ({"decision": "KEEP"}, {"decision": "NO", "expected_revision": 1}):
-        with pytest.raises(ValueError):
-            view.append_decision(current, "x", **args)
+
+
+PROPOSAL = "proposal_id long, relative_path string, decision string, expected_revision long, note string"
+
+
+def test_decisions_are_appended_against_a_revision(spark, tmp_path):
+    log = view.DecisionLog(spark, f"file://{tmp_path}/log")
+    outcomes = lambda df: {r["proposal_id"]: (r["outcome"], r["previous_decision"], r["revision"]) for r in df.collect()}
+    first = [(1, "x", "PROTECT", None, None), (2, "x", "KEEP", 0, "later"), (3, "y", "KEEP", 1, None), (4, "z", "NO", 0, None), (5, "a/../b", "KEEP", 0, None), (6, "/abs", "KEEP", 0, None), (7, "n", "KEEP", 0, "x" * 4001), (8, "n", "KEEP", 0, "nul\x00"), (9, None, "KEEP", 0, None), (10, "w", "KEEP", 0, "x" * 4000)]
+    got = outcomes(log.append(spark.createDataFrame(first, PROPOSAL)))
+    assert got == {1: ("APPENDED", None, 1), 2: ("CONFLICT", None, None), 3: ("CONFLICT", None, None), 10: ("APPENDED", None, 1), **{k: ("INVALID", None, None) for k in range(4, 10)}}
+    again = [(11, "x", "KEEP", None, None), (13, "x", "KEEP", 1, None), (12, "x", "UNKNOWN", 1, None), (14, "w", "PROTECT", 0, None)]
+    got = outcomes(log.append(spark.createDataFrame(again, PROPOSAL)))
+    assert got == {11: ("CONFLICT", "PROTECT", None), 12: ("APPENDED", "PROTECT", 2), 13: ("CONFLICT", "PROTECT", None), 14: ("CONFLICT", "KEEP", None)}
+    assert {(r["relative_path"], r["decision"], r["revision"]) for r in view.current_decisions(log.events()).collect()} == {("x", "UNKNOWN", 2), ("w", "KEEP", 1)}
+    assert outcomes(log.append(spark.createDataFrame([], PROPOSAL))) == {}
+
+
+def test_of_two_writers_one_wins(spark, tmp_path, monkeypatch):
+    """The second writer judges before the first one commits, and finds its claim taken."""
+    one, two = (view.DecisionLog(spark, f"file://{tmp_path}/log") for _ in range(2))
+    offer = lambda k, d: spark.createDataFrame([(k, "x", d, 0, None)], PROPOSAL)
+    judged = []
+    plain = view.judge_proposals
+
+    def late(events, proposals):
+        out = view.cut(plain(events, proposals))
+        if not judged:
+            judged.append(out.first()["outcome"])
+            monkeypatch.setattr(view, "judge_proposals", plain)
+            assert one.append(offer(2, "KEEP")).first()["outcome"] == "APPENDED"
+            monkeypatch.setattr(view, "judge_proposals", late)
+        return out
+
+    monkeypatch.setattr(view, "judge_proposals", late)
+    assert two.append(offer(1, "PROTECT")).first()["outcome"] == "CONFLICT" and judged == ["APPENDED"]
+    assert [r["decision"] for r in two.events().collect()] == ["KEEP"]
+    (tmp_path / "log" / "claim-2").touch()
+    with pytest.raises(RuntimeError, match="commit 2 was claimed"):
+        one.append(offer(3, "KEEP"))
 
 
 def test_artifact_detects_changes(spark, tmp_path):

@@ -293,6 +293,19 @@ def decisions_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("relative_path", "event_id", "decision", "revision", "previous_decision")
 
 
+@query(
+    "SELECT event_id AS proposal_id, relative_path, CASE WHEN expected <> present THEN 'CONFLICT' WHEN event_id = min(event_id) FILTER (expected = present) OVER (PARTITION BY relative_path) THEN 'APPENDED' ELSE 'CONFLICT' END AS outcome, previous_decision, CASE WHEN expected = present AND event_id = min(event_id) FILTER (expected = present) OVER (PARTITION BY relative_path) THEN present + 1 ELSE 0 END AS revision FROM pro",
+    pro="SELECT d.event_id, d.relative_path, c.revision AS present, c.decision AS previous_decision, c.revision - d.event_id % 2 AS expected FROM dec d JOIN cur c USING (relative_path)",
+)
+def decision_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event proposed anew against the present revision, those with odd ids against the one before."""
+    events = cut(sample.decision_events(spark, sf_dir))
+    present = view.current_decisions(events).select("relative_path", "revision")
+    against = (F.col("revision") - F.col("event_id") % 2).alias("expected_revision")
+    proposals = events.join(present, "relative_path").select(F.col("event_id").alias("proposal_id"), "relative_path", "decision", against, F.lit(None).cast("string").alias("note"))
+    return view.judge_proposals(events, proposals).select("proposal_id", "relative_path", "outcome", "previous_decision", F.coalesce("revision", F.lit(0)).alias("revision"))
+
+
 @query("SELECT relative_path, decision, revision FROM cur WHERE relative_path IN (SELECT relative_path FROM dirs ORDER BY relative_path LIMIT 200)")
 def decision_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     inv = Inventory(spark, sf_dir)
