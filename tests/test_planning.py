@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from treeline.operators import evidence, gates, graph, lineage, planning, view
+from treeline.operators import blocks, evidence, gates, graph, lineage, planning, view
 from treeline.operators.planning import Candidate, Policy, Tree
 
 
@@ -112,7 +112,7 @@ def test_graph(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("e", "f")], "source string, target string").selectExpr("*", "'DEPENDS_ON' AS relationship_type", "1.0D AS confidence")
     roots = {r["node"]: r["root"] for r in graph.components(nodes, edges).collect()}
     assert roots == dict(zip("abcdefg", "aaaaeeg", strict=True))
-    assert {r["node"]: r["cut_risk"] for r in graph.cut_risk(nodes, edges).collect()} == dict(zip("abcdefg", (0, 1, 0, 0, 0, 0, 0), strict=True))
+    assert {r["node"]: r["cut_risk"] for r in blocks.cut_risk(nodes, edges).collect()} == dict(zip("abcdefg", (0, 1, 0, 0, 0, 0, 0), strict=True))
     ranks = {r["node"]: r["pagerank"] for r in graph.pagerank(nodes, edges).collect()}
     assert abs(sum(ranks.values()) - 1) < 1e-9
     with pytest.raises(Exception, match="bad relation"):

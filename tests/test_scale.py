@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from treeline.operators import hashtree, ranking, similarity
+from treeline.operators import blocks, gates, hashtree, ranking, similarity, textindex
 
 
 def test_grid_ranks_equal_chains(spark, monkeypatch):
@@ -116,3 +117,100 @@ def test_hash_trees(spark):
     assert {r["change"] for r in hashtree.changed_ranges(trees[7], empty, 7).collect()} == {"removed"}
     with pytest.raises(ValueError):
         hashtree.hash_tree(df, ["k"], 1)
+
+
+def brute_cuts(names, links):
+    """How many more parts there are among a node's neighbours without it."""
+    near = {n: set() for n in names}
+    for a, b in links:
+        if a != b and a in near and b in near:
+            near[a].add(b)
+            near[b].add(a)
+    out = {}
+    for gone in names:
+        parts, seen = 0, {gone}
+        for start in near[gone]:
+            if start not in seen:
+                parts, todo = parts + 1, [start]
+                while todo:
+                    if (n := todo.pop()) not in seen:
+                        seen.add(n)
+                        todo += near[n]
+        out[gone] = max(0, parts - 1)
+    return out
+
+
+def test_cut_risk_on_random_graphs(spark):
+    rng = random.Random(11)
+    names, links = [], []
+
+    def add(kind, n, pairs):
+        shuffled = [f"{kind}{i:03}" for i in range(n)]
+        rng.shuffle(shuffled)
+        names.extend(shuffled)
+        links.extend((shuffled[a], shuffled[b]) for a, b in pairs)
+
+    # One run holds graphs of many shapes, each of components of its own.
+    add("chain", 70, [(i, i + 1) for i in range(69)])
+    add("ring", 33, [(i, (i + 1) % 33) for i in range(33)])
+    add("star", 40, [(0, i) for i in range(1, 40)])
+    add("full", 8, [(i, j) for i in range(8) for j in range(8)])
+    add("cactus", 61, [e for i in range(0, 60, 2) for e in ((i // 4 * 2, i + 1), (i + 1, i + 2), (i + 2, i // 4 * 2))])
+    for g, (n, m) in enumerate(((40, 30), (60, 62), (60, 75), (50, 120), (30, 29))):
+        add(f"g{g}-", n, [(rng.randrange(n), rng.randrange(n)) for _ in range(m)])
+    add("alone", 3, [])
+    edges = spark.createDataFrame([*links, *links[:50], ("chain000", "nobody"), (None, "ring000"), ("star000", None)], "source string, target string")
+    nodes = spark.createDataFrame([(n,) for n in [*names, names[0], None]], "node string")
+    got = [tuple(r) for r in blocks.cut_risk(nodes, edges).collect()]
+    assert len(got) == len(names) and dict(got) == brute_cuts(names, links)
+    assert blocks.cut_risk(nodes.limit(0), edges).count() == 0
+    assert {tuple(r)[1] for r in blocks.cut_risk(nodes.where("node like 'alone%'"), edges).collect()} == {0}
+
+
+@pytest.mark.parametrize("rest", [100_000, 5])
+def test_percentiles_of_hot_groups(spark, monkeypatch, rest):
+    monkeypatch.setattr(gates, "REST", rest)
+    monkeypatch.setattr(gates, "CUTS", 8)
+    rng = random.Random(rest)
+    groups = {
+        "hot": [rng.random() * 10 ** rng.randint(-9, 9) for _ in range(3000)],
+        "same": [4.0] * 400,
+        "often": [rng.choice([1.0, 1.0, 1.0, 2.0, rng.random()]) for _ in range(500)],
+        "signed": [rng.gauss(0, 5) for _ in range(333)] + [None] * 9,
+        "one": [-1.0],
+        "nulls": [None, None],
+        None: [float(i) for i in range(100)],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(5)
+    for percent in (95, 50, 1, 100):
+        got = {r["g"]: (r["p"], r["n"]) for r in gates.percentile(df, "v", "g", percent=percent).collect()}
+        known = {g: sorted(v for v in vs if v is not None) for g, vs in groups.items()}
+        assert got == {g: (vs[-(-percent * len(vs) // 100) - 1] if vs else None, len(groups[g])) for g, vs in known.items()}
+    every = sorted(v for vs in groups.values() for v in vs if v is not None)
+    assert [tuple(r) for r in gates.p95(df, "v").collect()] == [(every[-(-95 * len(every) // 100) - 1], df.count())]
+    assert gates.p95(df.limit(0), "v", "g").count() == 0
+
+
+def test_batches_of_searches_equal_plain_search(spark):
+    rng = random.Random(5)
+    letters = "abAB/._é1%"
+    names = {"".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(400)} | {"x" * 5000 + "/Äend"}
+    rows = [(rng.choice(["file", "directory"]), n) for n in sorted(names)] + [("file", "ab/ab"), ("file", "ab/ab"), ("file", None)]
+    items = spark.createDataFrame(rows, "kind string, relative_path string")
+    queries = ["", " ", "a", "B", "é", "é", "%", "_", "ab", "AB/", "b.a", "xxxx", "ÄEND", "zzz", "a" * 13, "/", " ab ", None, "ab"]
+    asked = spark.createDataFrame([(q,) for q in queries], "query string")
+    got: dict = {}
+    for r in textindex.search_batch(items, asked, limit=7).collect():
+        got.setdefault(r["query"], []).append(tuple(r)[1:])
+    fold = lambda t: t.translate({c: c + 32 for c in range(65, 91)})
+    for q in set(queries) - {None}:
+        term = fold(unicodedata.normalize("NFC", q.strip()))
+        want = sorted((fold(p), k, p) for k, p in rows if p is not None and term in fold(p))
+        assert sorted(got.get(q, [])) == [(len(want), i + 1, k, p) for i, (_, k, p) in enumerate(want[:7])], q
+    assert None not in got
+    index = textindex.postings(items)
+    again = textindex.search_batch(items, asked, index=index, limit=7)
+    assert again.count() == sum(map(len, got.values())) and index.where("piece = 'zzz'").isEmpty()
+    assert textindex.search_batch(items.limit(0), asked).count() == 0 and textindex.search_batch(items, asked.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        textindex.search_batch(items, asked, limit=0)

@@ -62,6 +62,12 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+@F.pandas_udf(T.StringType())
+def trimmed(text: pd.Series) -> pd.Series:
+    """Without white space at both ends, as ``str.strip`` counts it."""
+    return text.map(lambda t: None if t is None else t.strip())
+
+
 def normalise(path: Column | str) -> Column:
     """Drops empty and '.' segments and keeps the spelling; an absolute path or a '..' segment raises."""
     path = _c(path)

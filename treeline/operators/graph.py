@@ -1,4 +1,4 @@
-"""Graphs of projects: components, degrees, PageRank, cut risk."""
+"""Graphs of projects: components, degrees, PageRank."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.store import cut, ship
+from treeline.store import cut, ship, written
 
 #: Edges up to which PageRank runs in the driver's memory; beyond, it runs as joins.
 DRIVER_EDGES = 200_000
@@ -27,13 +27,13 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root): root is the least node reached. Labels go along edges and then along themselves until they rest."""
-    both = cut(undirected(edges))
-    labels = cut(nodes.select("node", F.col("node").alias("root")))
+    both = written(undirected(edges))
+    labels = written(nodes.select("node", F.col("node").alias("root")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
         far = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        moved = cut(step.join(far, "root", "left").select("node", "old", F.coalesce("far", "root").alias("root")))
+        moved = written(step.join(far, "root", "left").select("node", "old", F.coalesce("far", "root").alias("root")))
         labels = moved.select("node", "root")
         if moved.where("old <> root").isEmpty():
             return labels
@@ -112,53 +112,6 @@ def pagerank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rank.select("node", "pagerank")
 
 
-def _cut_counts(members: list[str], pairs: list[tuple[str, str]]) -> dict[str, int]:
-    """For each member the parts that its component falls into without it, less one; by lowest reachable entry times."""
-    near: dict[str, list[str]] = {m: [] for m in members}
-    for a, b in pairs:
-        near[a].append(b)
-    seen: dict[str, int] = {}
-    low: dict[str, int] = {}
-    parts = dict.fromkeys(members, 0)
-    for start in members:
-        if start in seen:
-            continue
-        stack = [(start, None, iter(near[start]))]
-        seen[start] = low[start] = len(seen)
-        while stack:
-            node, up, rest = stack[-1]
-            nxt = next(rest, None)
-            if nxt is None:
-                stack.pop()
-                if up is not None:
-                    low[up] = min(low[up], low[node])
-                    if up == start or low[node] >= seen[up]:
-                        parts[up] += 1
-            elif nxt not in seen:
-                seen[nxt] = low[nxt] = len(seen)
-                stack.append((nxt, node, iter(near[nxt])))
-            elif nxt != up:
-                low[node] = min(low[node], seen[nxt])
-        parts[start] = max(0, parts[start] - 1)
-    return parts
-
-
-def cut_risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, cut_risk): how many more parts the node's component would have without it. A task sees one component."""
-    ship(nodes.sparkSession)
-    labels = components(nodes, edges)
-    pairs = undirected(edges).join(labels.select(F.col("node").alias("a"), "root"), "a")
-    rows = labels.select("root", F.col("node").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(pairs.select("root", "a", "b"))
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        members = sorted(pdf.loc[pdf["b"].isna(), "a"])
-        linked = pdf[pdf["b"].notna()]
-        parts = _cut_counts(members, sorted(zip(linked["a"], linked["b"], strict=True)))
-        return pd.DataFrame({"node": list(parts), "cut_risk": list(parts.values())})
-
-    return rows.groupBy("root").applyInPandas(count, "node string, cut_risk long")
-
-
 def check_relations(edges: DataFrame) -> DataFrame:
     """``edges`` with ``directed`` (0 or 1); an unknown type, a loop or a wrong order of undirected ends raises."""
     known = F.create_map(*(F.lit(x) for k, v in RELATIONS.items() for x in (k, int(v))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths
 from treeline.operators import evidence as ev
-from treeline.operators import gates, graph, hashtree, planning, ranking, similarity, structural, synthesis, temporal, view
+from treeline.operators import blocks, gates, graph, hashtree, planning, ranking, similarity, structural, synthesis, temporal, textindex, view
 from treeline.plans.oracle import oracle, strict
 from treeline.sources import sample
 from treeline.store import cut
@@ -236,6 +236,20 @@ def search_kind_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(view.search(Inventory(spark, sf_dir).items, "Final", kind="directory", limit=20, offset=5))
 
 
+#: Terms of a batch: a file name's start for each user that acted, the kinds of events, and short ones of every source and language.
+_TERMS = "SELECT ' Doc_' || user_id AS query FROM {events} UNION SELECT event_type FROM {events} UNION SELECT upper(lang) FROM {documents} UNION SELECT source || '/' FROM {documents} UNION SELECT substr(lang, 1, 1) FROM {documents}"
+
+
+@query(
+    "SELECT query, matches, place, kind, relative_path FROM (SELECT query, count(*) OVER (PARTITION BY query) AS matches, row_number() OVER (PARTITION BY query ORDER BY fold, kind, relative_path) AS place, kind, relative_path FROM terms JOIN folded ON contains(fold, term)) WHERE place <= 5",
+    terms="SELECT query, lower(trim(query)) AS term FROM (" + _TERMS.replace("{", "").replace("}", "") + ") WHERE query IS NOT NULL",
+    folded=f"SELECT kind, relative_path, {_FOLD} AS fold FROM items",
+)
+def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = spark.sql(_TERMS, **{t: sample.table(spark, sf_dir, t) for t in ("events", "documents")})
+    return textindex.search_batch(cut(Inventory(spark, sf_dir).items), terms, limit=5)
+
+
 @query(f"SELECT {_ITEM} FROM items ORDER BY logical_bytes DESC, kind, relative_path LIMIT 200")
 def sort_size_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(view.page(Inventory(spark, sf_dir).items, "SIZE", descending=True))
@@ -540,7 +554,7 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     wr="SELECT v.n_name AS v, x.n_name AS x, x.n_name AS root FROM nation v JOIN nation x ON v.n_name <> x.n_name UNION SELECT wr.v, nb.b, wr.root FROM wr JOIN nb ON nb.a = wr.x WHERE nb.b <> wr.v",
 )
 def cut_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cut_risk(*_nations(spark, sf_dir))
+    return blocks.cut_risk(*_nations(spark, sf_dir))
 
 
 @query("SELECT count(*) AS projects, count(*) FILTER (n_regionkey < 3) AS evaluated, round(count(*) FILTER (n_regionkey < 3) / count(*), 9) AS coverage FROM nation")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -36,6 +38,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again; the table goes when the driver's process ends.
+
+    Unlike a checkpoint's, its plan carries none of the constraints that were inferred before, so loops that join their
+    own results plan as fast in the last round as in the first.
+    """
+    path = f"{shared_folder(df.sparkSession)}/treeline-written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        return
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors, once a session: their Python workers import it by name."""
     sc = spark.sparkContext
