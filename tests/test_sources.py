@@ -5,8 +5,9 @@ import os
 import sqlite3
 
 import pytest
+from pyarrow.fs import LocalFileSystem
 
-from treeline.operators import lineage
+from treeline.operators import evidence, lineage
 from treeline.sources import filesystem, inventory
 from treeline.streaming import decisions
 
@@ -85,3 +86,50 @@ def test_export(spark, tmp_path):
     assert lines[1]["relative_path"] == "a" and lines[-1] == {"detail": {"x": 1}, "event_type": 'STOP"PED', "record_type": "event"}
     with pytest.raises(FileExistsError):
         lineage.write_export(lineage.export_lines(one, one, none, events), path)
+
+
+@pytest.mark.parametrize("level", ["D2", "D4"])
+def test_selected_files_are_hashed_in_ranges(spark, tmp_path, level):
+    top = tmp_path / "data" / "data dir"
+    (top / "sub é").mkdir(parents=True)
+    sizes = {"empty": 0, "small": 10, "one": 1000, "over": 1001, "two": 1999, "sub é/large 1%": 250_000, "left out": 5}
+    for i, (name, n) in enumerate(sizes.items()):
+        (top / name).write_bytes(bytes((i + j * 7) % 251 for j in range(n)))
+    rows = [(n, s, (top / n).stat().st_mtime_ns) for n, s in sizes.items() if n != "left out"]
+    rows += [("gone", 3, None), ("left out", 6, None), (None, 1, None), ("small", None, None), ("one", 1000, 5)]
+    files = spark.createDataFrame(rows, "relative_path string, logical_bytes long, modified_ns long")
+    content = spark.createDataFrame([(n, bytearray((top / n).read_bytes())) for n in sizes if n != "left out"], "relative_path string, content binary")
+    want = {tuple(r) for r in evidence.hash_content(content, level, sample=1000).collect()}
+    # The folder's name is in the path twice, and is named in other ways than the listing's.
+    for folder in (str(top), f"{tmp_path}/data/../data/data dir/", f"./{os.path.relpath(top)}"):
+        found, errors = evidence.hash_selected(files, folder, level, sample=1000)
+        assert {tuple(r) for r in found.collect()} == want
+        assert sorted(tuple(r) for r in errors.collect()) == [("gone", "MISSING"), ("left out", "CHANGED"), ("one", "CHANGED"), ("small", "CHANGED")]
+        read, missed = evidence.read_selected(files, folder)
+        assert {r["relative_path"] for r in read.collect()} == {r[0] for r in want} and missed.count() == 4
+    with pytest.raises(Exception, match="escapes"):
+        evidence.hash_selected(spark.createDataFrame([("../x", 1, None)], files.schema), str(top), level)
+    most = {r[0]: r[5] for r in want}
+    assert most["sub é/large 1%"] == (3000 if level == "D2" else 250_000)
+    assert [x.count() for x in evidence.hash_selected(files.limit(0), str(top), level)] == [0, 0]
+
+
+def test_files_that_change_while_they_are_read(tmp_path):
+    path = tmp_path / "f"
+    path.write_bytes(b"x" * 5000)
+
+    class Touching(LocalFileSystem):
+        """Writes to the file once it is open."""
+
+        def open_input_file(self, name):
+            f = super().open_input_file(name)
+            os.utime(name, ns=(1, 1))
+            return f
+
+    for sample in (None, 100):
+        os.utime(path, ns=(10**18, 10**18))
+        assert evidence.hash_file(LocalFileSystem(), str(path), 5000, None, sample)[0] is None
+        assert evidence.hash_file(Touching(), str(path), 5000, None, sample)[0] == "CHANGED"
+        assert evidence.hash_file(LocalFileSystem(), str(path), 4999, None, sample)[0] == "CHANGED"
+        assert evidence.hash_file(LocalFileSystem(), str(tmp_path / "none"), 1, None, sample)[0] == "MISSING"
+        assert evidence.hash_file(LocalFileSystem(), str(tmp_path), 1, None, sample)[0] == "UNREADABLE"

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem, FileType, LocalFileSystem
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.functions import paths
+from treeline.store import ship, written
 
 #: Evidence levels, and what their matches prove. Level D3 is a full hash like D4; both are SHA-256 here.
 LEVELS = {"D2": ("SHA-256-SAMPLED-V1", "CANDIDATE"), "D3": ("SHA-256", "CONFIRMED"), "D4": ("SHA-256", "CONFIRMED")}
@@ -48,22 +56,101 @@ def hash_content(files: DataFrame, level: str, *, content: str = "content", samp
     return files.select("relative_path", F.lit(level).alias("evidence_level"), F.lit(algorithm).alias("algorithm"), digest.alias("digest"), F.length(data).cast("long").alias("logical_bytes"), read.cast("long").alias("bytes_read"))
 
 
+def _base(spark: SparkSession, folder: str) -> str:
+    """The folder's resolved name with a slash, as Spark's readers name it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/") + "/"
+
+
 def read_selected(files: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """(``files`` with ``content``, errors): those whose path, size and time match a file under ``folder`` now, and (relative_path, reason) of the others.
 
-    The listing is Spark's own. A reason is MISSING or CHANGED; content is read for the first table only.
+    A reason is MISSING, CHANGED or UNREADABLE. Content goes through a join with all files below the folder; to hash few
+    of many, or large ones, use :func:`hash_selected`, whose cases these are too.
+    """
+    base, done = _base(files.sparkSession, folder), _checked(files, folder, 0)
+    found = files.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    content = found.select(F.substring("path", len(base) + 1, 2**31 - 1).alias("relative_path"), "content")
+    same = done.where("reason is null").select("relative_path").distinct()
+    # Spark's reader leaves out empty files.
+    read = files.join(same, "relative_path", "left_semi").join(content, "relative_path", "left").withColumn("content", F.coalesce("content", F.unhex(F.lit(""))))
+    return read, done.where("reason is not null").select("relative_path", "reason")
+
+
+def _file_system(uri: str):
+    """(file system, path in it) of a path as the listing names it."""
+    if uri.startswith("file:"):
+        return LocalFileSystem(), re.sub("^file:(//)?", "", uri)
+    return FileSystem.from_uri(quote(uri, safe=":/@"))
+
+
+def hash_file(fs, name: str, size: int, modified_ns: int | None, sample: int | None) -> tuple[str | None, str | None, int]:
+    """(reason, digest, bytes read) of one file: of its samples, of all its bytes if ``sample`` is None, of none if it is 0.
+
+    The file's size and time are taken before and after. Where they are not those of the inventory (times by the
+    millisecond), or differ between the two, the reason is CHANGED; MISSING and UNREADABLE are the others. Memory is
+    that of one piece of a megabyte, or of one sample.
     """
-    base = folder.rstrip("/").split("://")[-1] + "/"
-    found = files.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    # What follows the folder's own name, which is taken as it is, at its first place in the path.
-    start = F.locate(base, F.col("path")) + len(base)
-    got = found.select(F.substr("path", start).alias("relative_path"), F.col("length").alias("_length"), (F.unix_micros("modificationTime") * 1000).alias("_time"), "content")
-    same_time = F.col("modified_ns").isNull() | (F.expr("modified_ns div 1000000") == F.expr("_time div 1000000"))
-    same = (F.col("_length") == F.col("logical_bytes")) & same_time
-    read = files.join(got, "relative_path").where(same).drop("_length", "_time")
-    seen = files.join(got.drop("content"), "relative_path", "left")
-    errors = seen.where(~F.coalesce(same, F.lit(False))).select("relative_path", F.when(F.col("_length").isNull(), "MISSING").otherwise("CHANGED").alias("reason"))
-    return read, errors
+    try:
+        before, read, h = fs.get_file_info(name), 0, hashlib.sha256()
+        if before.type == FileType.NotFound:
+            return "MISSING", None, 0
+        with fs.open_input_file(name) as f:
+            if before.size != size or (modified_ns is not None and before.mtime_ns // 1_000_000 != modified_ns // 1_000_000):
+                return "CHANGED", None, 0
+            if sample is None:
+                while piece := f.read(1 << 20):
+                    h.update(piece)
+                    read += len(piece)
+            elif sample:
+                middle, end = (size - sample) // 2, size - sample
+                starts = [0] + ([middle] if size > sample and middle > 0 else []) + ([end] if size > sample and end > max(middle, 0) else [])
+                h.update(_SAMPLE_TAG + size.to_bytes(8, "big"))
+                for at in starts:
+                    n = min(sample, size - at)
+                    piece = f.read_at(n, at)
+                    h.update(at.to_bytes(8, "big") + n.to_bytes(8, "big") + piece)
+                    read += len(piece)
+        after = fs.get_file_info(name)
+    except FileNotFoundError:
+        return "MISSING", None, 0
+    except OSError:
+        return "UNREADABLE", None, 0
+    if (after.size, after.mtime_ns) != (before.size, before.mtime_ns) or (sample is None and read != size):
+        return "CHANGED", None, read
+    return None, h.hexdigest(), read
+
+
+def _hash_files(batches: Iterator[pa.RecordBatch], sample: int | None) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch[c].to_pylist() for c in ("uri", "logical_bytes", "modified_ns")), strict=True)
+        got = [hash_file(*_file_system(uri), size, time, sample) for uri, size, time in rows]
+        columns = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch["relative_path"], batch["logical_bytes"], *columns], names=["relative_path", "logical_bytes", "reason", "digest", "bytes_read"])
+
+
+def _checked(files: DataFrame, folder: str, sample: int | None) -> DataFrame:
+    """(relative_path, logical_bytes, reason, digest, bytes_read) of every file, read in executors and written once. Files are dealt evenly, wherever their rows were."""
+    ship(files.sparkSession)
+    uri = F.concat(F.lit(_base(files.sparkSession, folder)), paths.normalise("relative_path"))
+    todo = files.select("relative_path", F.col("logical_bytes").cast("long").alias("logical_bytes"), F.col("modified_ns").cast("long").alias("modified_ns"), uri.alias("uri")).where("relative_path is not null")
+    dealt = todo.repartition(F.xxhash64("uri"))
+    return written(dealt.mapInArrow(lambda it: _hash_files(it, sample), "relative_path string, logical_bytes long, reason string, digest string, bytes_read long"))
+
+
+def hash_selected(files: DataFrame, folder: str, level: str, *, sample: int = SAMPLE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(evidence, errors) of ``files`` (relative_path, logical_bytes, modified_ns) that lie under ``folder``.
+
+    Evidence is as :func:`hash_content` gives it, errors are (relative_path, reason). Executors open these files and no
+    others, and nothing is listed; at level D2 they read the three samples alone.
+
+    Defined cases: a time that is null is not compared, a null size is CHANGED; a repeated path is hashed each time; a
+    null path has no row; a path that leaves the folder raises; links are followed; no files, no rows.
+    """
+    algorithm, _ = LEVELS[level]
+    done = _checked(files, folder, sample if level == "D2" else None)
+    evidence = done.where("reason is null").select("relative_path", F.lit(level).alias("evidence_level"), F.lit(algorithm).alias("algorithm"), "digest", "logical_bytes", "bytes_read")
+    return evidence, done.where("reason is not null").select("relative_path", "reason")
 
 
 def group_id(level: Column, algorithm: Column, digest: Column, size: Column) -> Column:
