@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import cached_property
 
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths
 from treeline.operators import evidence as ev
-from treeline.operators import blocks, gates, graph, hashtree, planning, ranking, similarity, structural, synthesis, temporal, textindex, view
+from treeline.operators import blocks, gates, graph, hashtree, planning, ranking, runs, similarity, structural, temporal, textindex, view
+from treeline.plans import stages
 from treeline.plans.oracle import oracle, strict
 from treeline.sources import sample
-from treeline.store import cut
+from treeline.store import cut, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -563,39 +565,89 @@ def dependency_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.table(spark, sf_dir, "nation").agg(F.count(F.lit(1)).alias("projects"), done.alias("evaluated"), F.round(done / F.count(F.lit(1)), 9).alias("coverage"))
 
 
-# Synthesis: top directories stand for projects; those with an even number of nations' letters are not needed here.
+# Synthesis: stage runs over four sessions; the evidence is of the last one.
+
+
+def _at_last(pieces: dict[str, str]) -> dict[str, str]:
+    """The pieces over snapshot 3 instead of the plain inventory."""
+    return {n: re.sub(r"\bFROM f\b", "FROM f3 AS f", sql) for n, sql in pieces.items()}
+
 
 _SYN = {
-    **_SEL, **_COV, **_EXT, "da": _DALL,
+    **_at_last(_SEL), **_at_last(_COV), "da": _DALL, "na": _NALL,
     "dh": "SELECT relative_path, count(*) AS history_transitions, sum(ambiguous)::BIGINT AS history_ambiguous, avg(churn) AS mean_churn, max(churn) AS max_churn FROM da GROUP BY 1",
+    "ph": "SELECT project, sum(ambiguous)::BIGINT AS project_ambiguous, count(*) FILTER (changed > 0) / count(*) AS project_activity FROM na GROUP BY 1",
     "evd": _EVIDENCE,
-    "pj": "SELECT relative_path AS project, 1 AS one FROM dirs WHERE relative_path IN ('src1', 'src2', 'src3')",
-    "ce": "SELECT e.relative_path, pj.project, coverage, selected_files, candidate_files, confirmed_files, confirmed_ratio, CASE WHEN pj.project IS NULL THEN 'NO_PROJECT_CONTEXT' WHEN pj.project = 'src3' THEN 'NOT_EVALUATED' ELSE 'EVALUATED' END AS evaluation_state, CASE pj.project WHEN 'src2' THEN 1 ELSE 0 END::BIGINT AS cut_risk, history_transitions, history_ambiguous, mean_churn, max_churn FROM evd e JOIN dh USING (relative_path) LEFT JOIN pj ON pj.project = string_split(e.relative_path, '/')[1] WHERE e.relative_path <> ''",
+    "pe": "SELECT * FROM (" + sample.PROJECT_EDGES.replace("{projects}", "pr_3") + ")",
+    "pn": "SELECT a, count(DISTINCT b) AS degree FROM (SELECT source AS a, target AS b FROM pe UNION SELECT target, source FROM pe) GROUP BY 1",
+    "pj": "SELECT e.relative_path, arg_max(p.relative_path, len(p.relative_path)) AS project FROM evd e JOIN pr_3 p ON p.relative_path = e.relative_path OR starts_with(e.relative_path, p.relative_path || '/') GROUP BY 1",
+    # These projects make a forest, where taking one away leaves as many parts as it has neighbours.
+    "ce": "SELECT e.relative_path, pj.project, coverage, selected_files, candidate_files, confirmed_files, confirmed_ratio, CASE WHEN pj.project IS NULL THEN 'NO_PROJECT_CONTEXT' WHEN pj.project LIKE '%/sub' THEN 'NOT_EVALUATED' ELSE 'EVALUATED' END AS evaluation_state, (SELECT count(*) FROM pe WHERE target = pj.project AND relationship_type = 'DEPENDS_ON') AS in_degree, (SELECT count(*) FROM pe WHERE source = pj.project AND relationship_type = 'DEPENDS_ON') AS out_degree, greatest(coalesce(pn.degree, 0) - 1, 0)::BIGINT AS cut_risk, history_transitions, history_ambiguous, mean_churn, max_churn, project_activity, project_ambiguous FROM evd e JOIN dh USING (relative_path) LEFT JOIN pj USING (relative_path) LEFT JOIN pn ON pn.a = pj.project LEFT JOIN ph ON ph.project = pj.project WHERE e.relative_path <> ''",
 }
 
 
-def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _directory_evidence(spark, sf_dir)
-    history = temporal.directory_history(chain(spark, sf_dir, "directories"))
-    candidates = found.select("relative_path").where("relative_path <> ''").join(history, "relative_path", "left_semi")
-    rows = [("src1", "EVALUATED", 0, 1, 1, 0.2, 0), ("src2", "EVALUATED", 1, 0, 1, 0.4, 1), ("src3", "NOT_EVALUATED", 0, 0, 0, 0.2, 0)]
-    dependency = spark.createDataFrame(rows, "node string, evaluation_state string, in_degree long, out_degree long, relationship_degree long, pagerank double, cut_risk long")
-    projects_seen = spark.createDataFrame([(p, 0.5, 0) for p in ("src1", "src2", "src3")], "project string, activity_ratio double, ambiguous_files long")
-    return synthesis.candidate_evidence(candidates, found, dependency, history, projects_seen)
+def _workspace(spark: SparkSession) -> runs.Workspace:
+    """A new one in the shared folder; it goes when the driver's process ends."""
+    return runs.Workspace(spark, scratch_folder(spark, "runs"))
+
+
+def _sessions(spark: SparkSession, sf_dir: str, ws: runs.Workspace) -> list[dict]:
+    return [stages.run_session(ws, sample.sized_files(spark, sf_dir, k), sample.errors(spark, sf_dir, k), run_id=f"s{k}") for k in range(LINKS + 1)]
+
+
+def _synthesis(spark: SparkSession, sf_dir: str) -> tuple[runs.Workspace, dict]:
+    """Every stage over the sample's four sessions, up to the synthesis; what a stage reads are earlier stages' tables."""
+    ws = _workspace(spark)
+    analyses = [stages.run_analysis(ws, s) for s in _sessions(spark, sf_dir, ws)]
+    links = [stages.run_longitudinal(ws, a, b) for a, b in zip(analyses, analyses[1:], strict=False)]
+    last = analyses[-1]
+    text = sample.table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = ws.table("session", "files", last["sessions"][0])
+    content = files.where("name <> 'package.json'").join(text, "doc_id").select("relative_path", ev.as_content(F.col("text")).alias("content"))
+    enriched = stages.run_enrichment(ws, content, ws.find("session", last["sessions"][0]))
+    found = ws.table("analysis", "projects", last["run_id"]).select("relative_path")
+    parsed = files.where("name = 'pyproject.toml'").select(F.col("parent_path").alias("node"))
+    dependency = stages.run_dependency(ws, sample.project_edges(found), last, evaluated=parsed)
+    return ws, stages.run_synthesis(ws, stages.run_ranking(ws, last), stages.run_fusion(ws, last, enriched), dependency, stages.run_history(ws, links))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT 's{k}' AS session, (SELECT count(*) FROM f{k}) AS files, (SELECT count(*) FROM (SELECT DISTINCT d FROM (SELECT {strict('relative_path')} AS d FROM f{k}) WHERE d <> '')) AS directories, (SELECT count(*) FROM e{k}) AS errors, (SELECT sum(CASE WHEN name = 'package.json' THEN 1 ELSE octet_length(encode(coalesce(text, ''))) END + CASE WHEN doc_id % 11 = {k} THEN 1 ELSE 0 END)::BIGINT FROM f{k} JOIN documents USING (doc_id)) AS bytes"
+        for k in range(4)
+    )
+)
+def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each session's ledger row says, counted by the plans that wrote its tables."""
+    ws = _workspace(spark)
+    _sessions(spark, sf_dir, ws)
+    n = lambda c, t: F.col("counts").getItem(c).alias(t)
+    return ws.ledger().select(F.col("run_id").alias("session"), n("files.observed", "files"), n("directories.rows", "directories"), n("errors.rows", "errors"), n("files.bytes", "bytes"))
+
+
+@query(
+    " UNION ALL ".join(f"SELECT 's{k}' AS session, count(*) AS files, sum(n) = count(*) AS consistent FROM (SELECT relative_path, count(*) AS n FROM f{k} GROUP BY 1)" for k in range(4))
+)
+def session_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's counts held against the rows that are stored now."""
+    ws = _workspace(spark)
+    return runs.consistency(ws, "session", [s["run_id"] for s in _sessions(spark, sf_dir, ws)]).where("table = 'files'").select(F.col("run_id").alias("session"), F.col("stored").alias("files"), "consistent")
 
 
-@query("SELECT relative_path, project, round(coverage, 9) AS coverage, selected_files, candidate_files, confirmed_files, round(confirmed_ratio, 9) AS confirmed_ratio, evaluation_state, cut_risk, history_transitions, history_ambiguous, round(mean_churn, 9) AS mean_churn, round(max_churn, 9) AS max_churn FROM ce", **_SYN)
+@query("SELECT relative_path, project, round(coverage, 9) AS coverage, selected_files, candidate_files, confirmed_files, round(confirmed_ratio, 9) AS confirmed_ratio, evaluation_state, in_degree, out_degree, cut_risk, history_transitions, history_ambiguous, round(mean_churn, 9) AS mean_churn, round(max_churn, 9) AS max_churn, round(project_activity, 9) AS project_activity FROM ce", **_SYN)
 def candidate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _evidence(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("coverage", "confirmed_ratio", "mean_churn", "max_churn")})
-    return rows.select("relative_path", "project", "coverage", "selected_files", "candidate_files", "confirmed_files", "confirmed_ratio", "evaluation_state", "cut_risk", "history_transitions", "history_ambiguous", "mean_churn", "max_churn")
+    ws, run = _synthesis(spark, sf_dir)
+    rows = ws.table("synthesis", "evidence", run["run_id"]).withColumns({c: F.round(c, 9) for c in ("coverage", "confirmed_ratio", "mean_churn", "max_churn", "project_activity")})
+    return rows.select("relative_path", "project", "coverage", "selected_files", "candidate_files", "confirmed_files", "confirmed_ratio", "evaluation_state", "in_degree", "out_degree", "cut_risk", "history_transitions", "history_ambiguous", "mean_churn", "max_churn", "project_activity")
 
 
 @query(
-    "SELECT relative_path, signal FROM (SELECT relative_path, unnest(list_filter([CASE WHEN coverage < 1 THEN 'ENRICHMENT_PARTIAL_COVERAGE' END, CASE WHEN confirmed_files > 0 THEN 'CONFIRMED_DUPLICATE_MEMBERS' END, CASE WHEN project IS NOT NULL AND evaluation_state <> 'EVALUATED' THEN 'DEPENDENCY_NOT_EVALUATED' END, CASE WHEN cut_risk > 0 THEN 'DEPENDENCY_CUT_RISK' END, CASE WHEN history_ambiguous > 0 THEN 'HISTORY_AMBIGUITY' END, CASE WHEN max_churn > 0 THEN 'HISTORY_CHURN_OBSERVED' END], lambda s: s IS NOT NULL)) AS signal FROM ce)",
+    "SELECT relative_path, signal FROM (SELECT relative_path, unnest(list_filter([CASE WHEN coverage < 1 THEN 'ENRICHMENT_PARTIAL_COVERAGE' END, CASE WHEN confirmed_files > 0 THEN 'CONFIRMED_DUPLICATE_MEMBERS' END, CASE WHEN project IS NOT NULL AND evaluation_state <> 'EVALUATED' THEN 'DEPENDENCY_NOT_EVALUATED' END, CASE WHEN cut_risk > 0 THEN 'DEPENDENCY_CUT_RISK' END, CASE WHEN history_ambiguous > 0 OR coalesce(project_ambiguous, 0) > 0 THEN 'HISTORY_AMBIGUITY' END, CASE WHEN max_churn > 0 THEN 'HISTORY_CHURN_OBSERVED' END], lambda s: s IS NOT NULL)) AS signal FROM ce)",
     **_SYN,
 )
 def review_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthesis.review_signals(_evidence(spark, sf_dir))
+    ws, run = _synthesis(spark, sf_dir)
+    return ws.table("synthesis", "signals", run["run_id"])
 
 
 # Planning.

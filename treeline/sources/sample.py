@@ -70,6 +70,17 @@ SELECT source, target, CAST(n AS DOUBLE) / CAST(max(n) OVER () AS DOUBLE) AS con
     WHERE cn.n_nationkey <> sn.n_nationkey GROUP BY cn.n_name, sn.n_name) pairs) ranked
 WHERE place <= 3
 """
+#: Relations of projects: a project holds those nested in it, and each names the one with half its number.
+PROJECT_EDGES = """
+SELECT source, target, relationship_type, CAST(1 AS DOUBLE) AS confidence FROM (
+  SELECT a.relative_path AS source, b.relative_path AS target, 'NESTED_PROJECT' AS relationship_type
+  FROM {projects} b JOIN {projects} a ON a.relative_path || '/sub' = b.relative_path
+  UNION ALL
+  SELECT a.relative_path, b.relative_path, 'DEPENDS_ON'
+  FROM (SELECT relative_path, CAST(regexp_extract(relative_path, 'proj_([0-9]+)$', 1) AS BIGINT) AS n FROM {projects} WHERE relative_path NOT LIKE '%/sub') a
+  JOIN (SELECT relative_path, CAST(regexp_extract(relative_path, 'proj_([0-9]+)$', 1) AS BIGINT) AS n FROM {projects} WHERE relative_path NOT LIKE '%/sub') b
+    ON b.n = 7 + 50 * CAST(floor((a.n - 7) / 100) AS BIGINT) AND b.n < a.n) related
+"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +118,18 @@ def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, EDGES, "lineitem", "orders", "customer", "nation", "supplier")
 
 
+def sized_files(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Snapshot k with the sizes of its texts in bytes, so that no selection of content holds more than its directory."""
+    octets = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("octets"))
+    size = F.when(F.col("name") == "package.json", F.lit(1).cast("long")).otherwise(F.col("octets")) + F.when(F.col("doc_id") % 11 == k, 1).otherwise(0)
+    return files(spark, sf_dir, k).join(octets, "doc_id").withColumn("logical_bytes", size).drop("octets")
+
+
+def project_edges(projects: DataFrame) -> DataFrame:
+    """(source, target, relationship_type, confidence) of projects (relative_path)."""
+    return projects.sparkSession.sql(PROJECT_EDGES, projects=projects)
+
+
 def directories(file_rows: DataFrame) -> DataFrame:
     """(relative_path): every directory above a file, without the root. Parents are made distinct before they are expanded."""
     parents = file_rows.select(paths.parent("relative_path").alias("p")).where("p is not null").distinct()

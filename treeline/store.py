@@ -44,12 +44,18 @@ def written(df: DataFrame) -> DataFrame:
     Unlike a checkpoint's, its plan carries none of the constraints that were inferred before, so loops that join their
     own results plan as fast in the last round as in the first.
     """
-    path = f"{shared_folder(df.sparkSession)}/treeline-written-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, "written")
     df.write.parquet(path)
-    atexit.register(_remove, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A new name in the shared folder; what is put there goes when the driver's process ends."""
+    path = f"{shared_folder(spark)}/treeline-{what}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
