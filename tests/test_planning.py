@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from treeline.operators import blocks, evidence, gates, graph, lineage, planning, view
+from treeline.operators import blocks, evidence, frontier, gates, graph, lineage, planning, view
 from treeline.operators.planning import Candidate, Policy, Tree
 
 
@@ -21,42 +21,86 @@ def small_tree():
 POLICY = Policy(250, 1000, 0.1)
 
 
-def test_exact_frontier():
-    plans = planning.exact_frontier(small_tree(), POLICY)
-    assert {p.archives for p in plans} == {(), ("root/safe",)}
-    best = next(p for p in plans if p.archives)
-    assert best.metrics[:2] == (-200.0, 10.0)
-    with pytest.raises(planning.FrontierLimit):
-        planning.exact_frontier(small_tree(), POLICY, limit=1)
-    kept = planning.reduce_plans(planning.merge_sources(("EXACT", p) for p in plans))
-    assert {label for _, labels in kept for label in labels} == {*planning.SELECTORS, "knee-compromise"}
+DDL = "candidate_id string, parent_id string, recursive_bytes long, file_count long, eligible int, protected int, preservation_risk double, incoherence double"
 
 
-def test_exact_frontier_equals_brute_force():
+def as_rows(spark, tree):
+    return spark.createDataFrame([(c.id, c.parent, c.bytes, c.files, int(c.eligible), int(c.protected), c.risk, c.incoherence) for c in tree.all], DDL)
+
+
+def sound(tree, actions, strict):
+    """Whether actions hold, by walking down from the roots."""
+
+    def holds_protected(i):
+        return any(tree.by_id[k].protected or holds_protected(k) for k in tree.children[i])
+
+    def walk(i, fixed):
+        c, a = tree.by_id[i], actions[i]
+        if fixed is None:
+            good = (a == 3) == c.protected and (a != 2 or bool(tree.children[i])) and (a != 1 or (c.eligible and POLICY.fits(c) and not (strict and holds_protected(i))))
+        else:
+            good = a == (3 if c.protected else fixed)
+        return good and all(walk(k, 3 if a == 3 else None if fixed is None and a == 2 else 0) for k in tree.children[i])
+
+    return all(walk(r, None) for r in tree.roots)
+
+
+def random_tree(rng, prefix=""):
+    parent = {"a": None, "a/b": "a", "a/c": "a", "a/b/d": "a/b", "a/e": "a"}
+    return Tree(Candidate(prefix + i, prefix + i, up and prefix + up, rng.randint(1, 300), rng.randint(1, 9), rng.random() < 0.6, rng.random() < 0.2, rng.random(), rng.random()) for i, up in parent.items())
+
+
+def test_exact_plans_and_violations_equal_brute_force(spark):
     rng = random.Random(4)
-    for _ in range(25):
-        ids = ["a", "a/b", "a/c", "a/b/d", "e"]
-        parent = {"a": None, "a/b": "a", "a/c": "a", "a/b/d": "a/b", "e": None}
-        tree = Tree(Candidate(i, i, parent[i], rng.randint(1, 300), rng.randint(1, 9), rng.random() < 0.6, rng.random() < 0.2, rng.random(), rng.random()) for i in ids)
-        valid = []
-        for actions in itertools.product(range(4), repeat=5):
-            try:
-                valid.append(planning.validate(tree, POLICY, dict(zip(ids, actions, strict=True)), strict=True))
-            except planning.PlanError:
-                continue
-        want = {p.metrics for p in valid if not any(planning.dominates(o.metrics, p.metrics) for o in valid)}
-        assert {p.metrics for p in planning.exact_frontier(tree, POLICY)} == want
+    trees = {f"t{k}a": random_tree(rng, f"t{k}") for k in range(8)}
+    every = None
+    for t in trees.values():
+        every = as_rows(spark, t) if every is None else every.unionByName(as_rows(spark, t))
+    got = frontier.exact_plans(every, POLICY).collect()
+    for root, tree in trees.items():
+        ids = [c.id for c in tree.all]
+        choices = [dict(zip(ids, a, strict=True)) for a in itertools.product(range(4), repeat=5)]
+        valid = [tree.metrics(a) for a in choices if sound(tree, a, True)]
+        want = {tuple(round(x, 9) for x in m) for m in valid if not any(planning.dominates(o, m) for o in valid)}
+        assert {tuple(round(r[c], 9) for c in planning.METRICS) for r in got if r["root"] == root} == want
+    tree = trees["t0a"]
+    ids = [c.id for c in tree.all]
+    choices = [dict(zip(ids, a, strict=True)) for a in itertools.product(range(4), repeat=5)]
+    acts = spark.createDataFrame([(n, i, x) for n, a in enumerate(choices) for i, x in a.items()], "plan_id long, candidate_id string, action int")
+    for strict in (False, True):
+        broken = {r[0] for r in frontier.plan_violations(acts, as_rows(spark, tree), POLICY, strict=strict).select("plan_id").distinct().collect()}
+        assert broken == {n for n, a in enumerate(choices) if not sound(tree, a, strict)}
+
+
+def test_violations_of_odd_plans_are_rows(spark):
+    good = [("root", 2), ("root/safe", 1), ("root/protected", 3)]
+    plans = {"ok": good, "short": good[:2], "twice": [*good, good[1]], "stranger": [*good, ("zz", 0)], "none": [("root", None), *good[1:]], "nine": [("root", 9), *good[1:]]}
+    df = spark.createDataFrame([(p, c, a) for p, rows in plans.items() for c, a in rows], "plan_id string, candidate_id string, action int")
+    rules = {}
+    for r in frontier.plan_violations(df, as_rows(spark, small_tree()), POLICY).collect():
+        rules.setdefault(r["plan_id"], set()).add(r["rule"])
+    whole = "does not name every candidate once"
+    assert rules["short"] == rules["twice"] == {whole} and rules["stranger"] == {"unknown candidate"}
+    assert "unknown action" in rules["none"] and "unknown action" in rules["nine"] and "ok" not in rules
+
+
+def test_reduced_plans(spark):
+    rows = [("r", f"p{i}", float(-i), float(20 - i), i / 10, float(i), float(i), i / 10) for i in range(20)]
+    df = spark.createDataFrame(rows, "root string, plan_id string, " + ", ".join(f"{c} double" for c in planning.METRICS))
+    got = {r["plan_id"]: r["labels"] for r in frontier.reduce_plans(df).collect()}
+    assert len(got) == 12 and got["p0"] == "fewest-archives,lowest-incoherence,lowest-temporary-space,safest" and got["p19"] == "greatest-potential-recovery"
+    assert sum("knee-compromise" in v for v in got.values()) == 1
+    assert frontier.reduce_plans(df.limit(0)).count() == 0
 
 
 def test_exact_plans_solve_every_root(spark):
-    ddl = "candidate_id string, parent_id string, recursive_bytes long, file_count long, eligible int, protected int, preservation_risk double, incoherence double"
     rows = [(c.id.replace("root", r), c.parent and r, c.bytes, c.files, int(c.eligible), int(c.protected), c.risk, c.incoherence) for r in ("a", "b") for c in small_tree().all]
     rows.append(("a/safe/deep", "a/safe", 50, 5, 1, 0, 0.1, 0.1))
-    df = spark.createDataFrame(rows, ddl)
-    got = planning.exact_plans(df, POLICY).collect()
+    df = spark.createDataFrame(rows, DDL)
+    got = frontier.exact_plans(df, POLICY).collect()
     assert {r["root"] for r in got if r["state"] == "COMPLETE" and r["archives"] == 1} == {"a", "b"}
     assert {-r["negative_recoverable_bytes"] for r in got if r["root"] == "a"} == {0.0, 50.0, 200.0}
-    over = planning.exact_plans(df, POLICY, limit=1).collect()
+    over = frontier.exact_plans(df, POLICY, limit=1).collect()
     assert [(r["root"], r["state"], r["plan_id"]) for r in sorted(over)] == [("a", "SKIPPED_LIMIT", None), ("b", "SKIPPED_LIMIT", None)]
 
     from treeline.plans import registry
@@ -73,16 +117,10 @@ def test_sampled_hashes_cover_every_document(spark):
     assert registry.QUERIES["sampled_hash_d2"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
-def test_validation_and_repair():
+def test_repair():
     tree = small_tree()
-    good = {"root": 2, "root/safe": 1, "root/protected": 3}
-    plan = planning.validate(tree, POLICY, good)
-    assert planning.validate(tree, POLICY, good, reported=plan.metrics).plan_id == plan.plan_id
-    for bad in ({"root": 2}, good | {"root/protected": 0}, good | {"root": 1}, good | {"root/safe": 3}, good | {"root/safe": 2}):
-        with pytest.raises(planning.PlanError):
-            planning.validate(tree, POLICY, bad)
     assert planning.repair(tree, POLICY, {"root": 1, "root/safe": 1, "root/protected": 1}) == {"root": 0, "root/safe": 0, "root/protected": 3}
-    planning.validate(tree, POLICY, planning.repair(tree, POLICY, {"root": 2.2, "root/safe": 0.9, "root/protected": 0}))
+    assert sound(tree, planning.repair(tree, POLICY, {"root": 2.2, "root/safe": 0.9, "root/protected": 0}), True)
 
 
 def test_labels(spark):

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths
 from treeline.operators import evidence as ev
-from treeline.operators import blocks, gates, graph, hashtree, planning, ranking, runs, similarity, structural, temporal, textindex, view
+from treeline.operators import blocks, frontier, gates, graph, hashtree, planning, ranking, runs, similarity, structural, temporal, textindex, view
 from treeline.plans import stages
 from treeline.plans.oracle import oracle, strict
 from treeline.sources import sample
-from treeline.store import cut, scratch_folder
+from treeline.store import cut, scratch_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -704,7 +704,8 @@ def plan_front(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def exact_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact frontier of every root's tree, reduced to labelled plans; SKIPPED_LIMIT where it has too many states."""
-    return planning.exact_plans(_candidates(spark, sf_dir), planning.Policy(1 << 40, 1 << 40))
+    plans = frontier.exact_plans(_candidates(spark, sf_dir), planning.Policy(1 << 40, 1 << 40))
+    return frontier.reduce_plans(written(plans), tie="ordinal").drop("ordinal")
 
 
 @query("SELECT relative_path, regexp_replace(string_split(relative_path, '/')[-1], '[^A-Za-z0-9._-]+', '-', 'g') AS slug_of, regexp_replace(regexp_replace(string_split(relative_path, '/')[-1], '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')[1:60] || '-' || substr(sha256(relative_path), 1, 12) || '.zip' AS label FROM dirs")
