@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 
+from treeline.operators import view
 from treeline.plans import registry
 
 duckdb = pytest.importorskip("duckdb")
@@ -36,3 +37,22 @@ def test_session_report_equals_its_sql(spark):
 
 def test_latest_session_equals_its_sql(spark):
     assert by_query(spark, SF, "latest_session") == by_sql(SF, "latest_session", "events")
+
+
+def documents(tmp_path, first: int, count: int):
+    """A folder with ``documents`` of ids from ``first`` and no text, in the order of their ids."""
+    duckdb.connect().execute(f"COPY (SELECT i AS doc_id, '' AS text, ['de', 'en', 'es', 'fr'][1 + i % 4] AS lang, 'src' || i % 20 AS source, i % 900 AS n_chars FROM range({first}, {first + count}) r(i) ORDER BY 1) TO '{tmp_path}/documents.parquet'")
+    return tmp_path
+
+
+def test_escaped_search_takes_the_rows_that_its_sql_takes(spark, tmp_path):
+    folder = documents(tmp_path, 99_900, 1200)
+    got = by_query(spark, folder, "search_escaped")
+    assert got == by_sql(folder, "search_escaped", "documents") and sum(got.values()) == 200
+
+
+def test_search_for_several_texts_shows_each_item_once(spark):
+    items = spark.createDataFrame([("file", "a%/c_100"), ("file", "b%"), ("directory", "C_100"), ("file", "c-100"), ("file", None)], "kind string, relative_path string")
+    assert [r["relative_path"] for r in view.search(items, ("%", "c_100")).collect()] == ["a%/c_100", "b%", "C_100"]
+    assert view.search(items, ("%", "c_100"), limit=2).count() == 2 and view.search(items, ()).count() == 0 and view.search(items, ("", "%")).count() == 5
+    assert [r["relative_path"] for r in view.search(items, ("%", "c_100"), order=("kind", "relative_path")).collect()] == ["C_100", "a%/c_100", "b%"]
