@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from treeline.operators import view
+from treeline.operators import hashtree, view
 from treeline.plans import registry
 
 duckdb = pytest.importorskip("duckdb")
@@ -56,3 +56,11 @@ def test_search_for_several_texts_shows_each_item_once(spark):
     assert [r["relative_path"] for r in view.search(items, ("%", "c_100")).collect()] == ["a%/c_100", "b%", "C_100"]
     assert view.search(items, ("%", "c_100"), limit=2).count() == 2 and view.search(items, ()).count() == 0 and view.search(items, ("", "%")).count() == 5
     assert [r["relative_path"] for r in view.search(items, ("%", "c_100"), order=("kind", "relative_path")).collect()] == ["C_100", "a%/c_100", "b%"]
+
+
+def test_hash_tree_equals_its_sql_above_four_levels(spark, tmp_path):
+    folder = documents(tmp_path, 0, 66_000)
+    got = by_query(spark, folder, "snapshot_hash_tree")
+    assert got == by_sql(folder, "snapshot_hash_tree", "documents") and sum(r[0] == 3 for r in got) == 2
+    whole = hashtree.hash_tree(registry._tree_rows(spark, str(folder)), ["relative_path"], 16)
+    assert [(r["level"], r["rows"]) for r in whole.where("level > 3").collect()] == [(4, 66_660)]
