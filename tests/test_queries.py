@@ -1,12 +1,13 @@
 """Registered queries against their SQL, on tables where they once differed from it."""
 
 import ast
+import random
 from collections import Counter
 from pathlib import Path
 
 import pytest
 
-from treeline.operators import hashtree, view
+from treeline.operators import hashtree, textindex, view
 from treeline.plans import registry
 
 duckdb = pytest.importorskip("duckdb")
@@ -64,3 +65,17 @@ def test_hash_tree_equals_its_sql_above_four_levels(spark, tmp_path):
     assert got == by_sql(folder, "snapshot_hash_tree", "documents") and sum(r[0] == 3 for r in got) == 2
     whole = hashtree.hash_tree(registry._tree_rows(spark, str(folder)), ["relative_path"], 16)
     assert [(r["level"], r["rows"]) for r in whole.where("level > 3").collect()] == [(4, 66_660)]
+
+
+def test_search_batch_does_not_pair_terms_with_all_texts_of_their_pieces(spark, monkeypatch):
+    """All texts have all pieces, and each is in itself alone: rows of the joins by term are counted."""
+    frame, joined = type(spark.range(1)), []
+    join = frame.join
+    monkeypatch.setattr(frame, "join", lambda self, *a, **k: joined.append(join(self, *a, **k)) or joined[-1])
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("ab") for _ in range(24)) for _ in range(120)})
+    items = spark.createDataFrame([("file", f"{n}/x") for n in names], "kind string, relative_path string")
+    got = textindex.search_batch(items, spark.createDataFrame([(n,) for n in names], "query string")).collect()
+    assert sorted((r["query"], r["relative_path"], r["matches"]) for r in got) == [(n, f"{n}/x", 1) for n in names]
+    monkeypatch.undo()
+    assert max(df.count() for df in joined if "term" in df.columns and "texts" not in df.columns) <= 2 * len(names)

@@ -1,7 +1,9 @@
 """Substring search for many queries at once, over posting lists of three-character pieces.
 
-A text that holds a term holds each of the term's pieces, so a term's rarest piece names all texts that can hold it;
-they are then searched for the term itself, so results are exact. Texts end in three NUL characters, which no path
+A text that holds a term holds each of the term's pieces, so a term's rarest piece names all texts that can hold it.
+Terms are not paired with those texts: what a piece hands on is its place in its terms and their lengths, a text cuts
+out what lies there, once for all terms, and the cuts meet equal terms in a join. So work grows with the texts and the
+terms, not with their product, and results are exact. Texts end in three NUL characters, which no path
 holds: every one or two characters then start some piece, and every text has the piece of NULs alone, which the empty
 term takes. Equal terms are searched once.
 """
@@ -26,6 +28,18 @@ def _item(kind: str, path: str) -> Column:
     return F.xxhash64(kind, path)
 
 
+def _cuts(folded: Column, asks: Column) -> Column:
+    """The distinct parts of a text that lie as ``asks`` (piece: its shapes) has them around the pieces of the text."""
+    text, size = F.concat(folded, F.lit(END)), F.length(folded)
+
+    def around(i: Column) -> Column:
+        shapes = F.coalesce(asks[F.substring(text, i, F.lit(PIECE))], F.array().cast("array<struct<place:int,length:int>>"))
+        inside = F.filter(shapes, lambda s: (i > s["place"]) & (i - s["place"] + s["length"] <= size + 1))
+        return F.transform(inside, lambda s: F.substring(text, i - s["place"], s["length"]))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size + 1), around)))
+
+
 def postings(items: DataFrame, *, path: str = "relative_path") -> DataFrame:
     """(piece, item): each distinct piece of each item's folded path, the item by a hash of its kind and path.
 
@@ -62,9 +76,14 @@ def search_batch(items: DataFrame, queries: DataFrame, *, index: DataFrame | Non
     wanted = rarest.unionByName(nothing)
     for s in starts:
         wanted = wanted.unionByName(s)
-    possible = wanted.join(index, "piece").select("term", "item").distinct()
+    # A piece's shapes: where it first lies in a term (0 in short and empty ones) and the term's length.
+    place = F.greatest(F.instr("term", F.col("piece")) - 1, F.lit(0))
+    # Written first: its size, which does not grow with the texts, then says whether the index has to be shuffled.
+    shapes = written(wanted.groupBy("piece").agg(F.collect_set(F.struct(place.alias("place"), F.length("term").alias("length"))).alias("shapes")))
+    asks = index.join(shapes, "piece").groupBy("item").agg(F.map_from_entries(F.collect_set(F.struct("piece", "shapes"))).alias("asks"))
     texts = items.where(F.col(path).isNotNull()).select(_item("kind", path).alias("item"), paths.ascii_fold(path).alias("folded"), "kind", "relative_path")
-    hits = written(possible.join(texts, "item").where(F.contains("folded", "term")).select("term", "folded", "kind", "relative_path"))
+    cuts = texts.join(asks, "item").select("folded", "kind", "relative_path", F.explode(_cuts(F.col("folded"), F.col("asks"))).alias("term"))
+    hits = written(cuts.join(terms, "term").select("term", "folded", "kind", "relative_path"))
     matches = hits.groupBy("term").agg(F.count(F.lit(1)).alias("matches"))
     # The limit on places is applied before rows are shuffled, so a term that is everywhere is no large group.
     along = Window.partitionBy("term").orderBy("folded", "kind", "relative_path")
