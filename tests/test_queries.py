@@ -5,9 +5,10 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
-from treeline.operators import hashtree, textindex, view
+from treeline.operators import frontier, hashtree, textindex, view
 from treeline.plans import registry
 
 duckdb = pytest.importorskip("duckdb")
@@ -79,3 +80,23 @@ def test_search_batch_does_not_pair_terms_with_all_texts_of_their_pieces(spark,
     assert sorted((r["query"], r["relative_path"], r["matches"]) for r in got) == [(n, f"{n}/x", 1) for n in names]
     monkeypatch.undo()
     assert max(df.count() for df in joined if "term" in df.columns and "texts" not in df.columns) <= 2 * len(names)
+
+
+def test_plain_candidates_are_settled_as_columns_like_the_others(spark):
+    kinds = [(p, e, o, c, g) for p in (0, 1) for e in (0, 1) for o in (False, True) for c in (0, 2) for g in (False, True) if c or not (o or g)]
+    rows = [(f"t/{i}", "t", "t", 10, 2, e, p, 0.5, 0.25, c, 0, g, o) for i, (p, e, o, c, g) in enumerate(kinds)]
+    nodes = spark.createDataFrame(rows, "node string, parent string, top string, recursive_bytes long, file_count long, eligible int, protected int, preservation_risk double, incoherence double, children long, open long, any_guarded boolean, any_over boolean").withColumn("plain", frontier._plain(1000))
+    plain = nodes.where("plain")
+    assert {r["node"] for r in nodes.where("NOT plain").collect()} == {f"t/{i}" for i, (p, e, o, c, g) in enumerate(kinds) if e and not p and not o and not g}
+    below = pd.DataFrame(columns=["node", "sums", "archives", "defers"])
+    for limit in (1, 5000):
+        got = sorted(map(repr, (r.asDict() for r in frontier._plain_states(plain, limit).collect())))
+        both = plain.toPandas()
+        # Children without a choice of their own are not handed on: their one state adds nothing.
+        want = [x for i in range(len(both)) for x in _solved(both.iloc[i : i + 1], below, limit)]
+        assert got == sorted(map(repr, want)) and len(got) > len(both)
+
+
+def _solved(here, below, limit):
+    out = frontier._solve_node(here, below, 1000, limit).to_dict("records")
+    return [r | {"guarded": bool(r["guarded"]), "over": bool(r["over"])} for r in out]
