@@ -533,3 +533,12 @@ def test_stages_take_odd_rows(spark, edge_docs, no_docs):
         got = stage(spark, edge_docs, SF)
         assert name == "pack sequences" or got.columns == edge_docs.columns, name
         assert got.count() > 0 and stage(spark, no_docs, SF).count() == 0, name
+
+
+def test_the_collector_rests_while_words_are_encoded(monkeypatch):
+    import gc
+
+    fresh, seen = tokens.PieceEncoder(VOCAB), []
+    fresh.model = type("Model", (), {"tokenize": lambda self, w: seen.append(gc.isenabled()) or []})()
+    fresh._of_words(["one", "two"])
+    assert seen == [False, False] and gc.isenabled()

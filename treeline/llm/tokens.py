@@ -9,6 +9,7 @@ every piece of another kind goes through the library's whole chain. The ids are
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -17,6 +18,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_ID = attrgetter("id")
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -73,7 +76,14 @@ class PieceEncoder:
     def _of_words(self, words: list[str]) -> list[bytes]:
         tokenize = self.model.tokenize
         spelled = (w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS) for w in words)
-        ids = [[t.id for t in tokenize(w)] for w in spelled]
+        # Thousands of small lists and no cycles: the collector would only walk through all that is remembered.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            ids = [list(map(_ID, tokenize(w))) for w in spelled]
+        finally:
+            if collecting:
+                gc.enable()
         flat, at, out = _packed(list(chain.from_iterable(ids))), 0, []
         for own in ids:
             upto = at + 4 * len(own)
