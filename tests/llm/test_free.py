@@ -12,7 +12,7 @@ import pytest
 from conftest_llm import ROWS, prose
 from pyspark.sql import functions as F
 
-from treeline.llm import html, idcoder, media, neardup, packing, token_output, tokens, toxicity
+from treeline.llm import common, html, idcoder, media, neardup, packing, token_output, tokens, toxicity
 from treeline.llm.tokens import encoder, vocabulary
 
 VOCAB = vocabulary("word_bpe_49k.json")
@@ -312,6 +312,47 @@ def test_the_pipeline_links_at_four_fifths(spark):
     assert neardup.near_groups(df, percent=85).where("kept").count() == 40
 
 
+def shuffled_records(spark):
+    """Rows that the last query's exchanges have written."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = max((store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())))
+    values, nodes, total = store.executionMetrics(last), store.planGraph(last).allNodes(), 0
+    for node in (nodes.apply(i) for i in range(nodes.size())):
+        for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+            if node.name().strip() == "Exchange" and m.name() == "shuffle records written" and values.contains(m.accumulatorId()):
+                total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """As on large inputs, where the marks of dropped rows are too many to be broadcast by themselves."""
+    rows = [(i, prose(1000 + i, 30)) for i in range(300)]
+    rows += [(1000 + i, t) for i, t in rows[:20]] + [(0, rows[0][1]), (None, rows[1][1]), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = neardup.drop_near_duplicates(df)
+        got = left.collect()
+        assert 20 < shuffled_records(spark) < 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert Counter(tuple(r) for r in got) == brute_stays(rows)
+
+
+def test_a_sieve_loses_no_key(spark, monkeypatch):
+    rows = spark.range(-1000, 5000).selectExpr("nullif(id, 7) as id", "id as _sieve_word", "id as _sieve_bits")
+    keys = spark.range(0, 3000, 10).selectExpr("id as k")
+    want = {r["k"] for r in keys.collect()}
+    for most, passed in ((1 << 26, 700), (256, 6000)):
+        monkeypatch.setattr(common, "SIEVE_MOST", most)
+        may, rest = (x.collect() for x in common.sieved(rows, rows["id"], keys))
+        assert want <= {r["id"] for r in may} and len(may) <= passed and len(may) + len(rest) == 6000
+        assert all(r["id"] is None or r["id"] == r["_sieve_word"] for r in may + rest)
+    assert common.sieved(rows, rows["id"], keys.limit(0))[1].count() == 6000
+
+
 def test_sketches():
     rng = np.random.default_rng(1)
     for n in (1, 2, 50, 1000):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
@@ -104,6 +105,25 @@ def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: Whole texts that go to a Python worker at once within small_batches().
+BATCH_ROWS = 1000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile hands at most BATCH_ROWS rows at once to Python: a batch lies in the JVM and in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Offsets up to which range_rank broadcasts them, about 60 bytes each; beyond, they are joined by a shuffle.
 BROADCAST_OFFSETS = 50_000
 
@@ -148,3 +168,21 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, *, keys: DataFrame
     dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_ways") > 1, F.pmod(F.monotonically_increasing_id(), "_ways")).otherwise(F.lit(0)))
     spread = facts.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_ways"), F.lit(1)) - 1)))
     return dealt.drop("_hot", "_ways").join(spread.drop("_hot", "_ways"), [key, "_salt"], "left").drop("_salt")
+
+
+#: Bits of a sieve for each key, and at most. Its words of 64 bits are broadcast, about 40 bytes each; once there are more keys than the bits allow for, more rows pass and none is lost.
+SIEVE_BITS, SIEVE_MOST = 32, 1 << 26
+
+
+def sieved(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key``, a long, may be among ``keys`` (one column of longs), and the other rows, whose key is not; nothing of ``rows`` is shuffled.
+
+    Each key sets the bit that its hash names. Of other rows one in SIEVE_BITS passes, so an exact join has to follow.
+    """
+    bits = min(SIEVE_MOST, max(64, SIEVE_BITS * keys.count()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits).cast("long"))
+    word, bit = (lambda c: F.shiftright(place(c), 6)), (lambda c: place(c).bitwiseAND(F.lit(63)).cast("int"))
+    own = F.col(keys.columns[0])
+    words = F.broadcast(keys.groupBy(word(own).alias("_sieve_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(own))).alias("_sieve_bits")))
+    passes = (word(key) == words["_sieve_word"]) & (F.getbit(words["_sieve_bits"], bit(key)) == 1)
+    return rows.join(words, passes, "left_semi"), rows.join(words, passes, "left_anti")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import map_arrow, stash
+from treeline.llm.common import map_arrow, sieved, small_batches, stash
 from treeline.store import ship
 
 #: Coordinates of a sketch.
@@ -132,6 +132,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
                 "id": pa.array(keys, pa.int64()), "text_md5": some.column(1), "n": pa.array(counts, pa.int64()), "node": pa.array(digests, pa.binary()),
                 "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(bytes_, pa.binary()),
             })
+    _WORDS.clear()  # the worker lives on for other stages
 
 
 def _agree(batches: Iterator[pa.RecordBatch], agree: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -154,6 +155,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [shingles(t.as_py()).tobytes() for t in some.column(some.num_columns - 1)]
             own = [hashlib.blake2b(s, digest_size=16).digest() == n.as_py() for s, n in zip(sets, some.column(0), strict=True)]
             yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(some.num_columns - 1)), pa.array(sets, pa.binary())], names=[*some.schema.names[:-1], "s"]).filter(pa.array(own, pa.bool_()))
+    _WORDS.clear()
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -252,12 +254,15 @@ def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     width, agree = LEVELS[percent]
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     hashed = rows.select("id", _text_md5(F.col("text")).alias("text_md5"), "text")
-    base = stash(map_arrow(hashed, lambda it: _sketched(it, width), "id long, text_md5 binary, n long, node binary, bands array<long>, sketch binary"), "sketches")
+    with small_batches(docs.sparkSession):
+        base = stash(map_arrow(hashed, lambda it: _sketched(it, width), "id long, text_md5 binary, n long, node binary, bands array<long>, sketch binary"), "sketches")
     named = base.where("node is not null and id is not null")
     nodes = stash(named.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("least")).where("c > 1")
-    found = stash(members.join(buckets, "key"), "buckets")
+    # Most keys are of one node: keys alone are counted, and only what may be in a bucket of several goes to the join.
+    counts = stash(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
+    several, _ = sieved(members, members["key"], counts.select("key"))
+    found = stash(several.join(counts, "key"), "buckets")
 
     # Pairs whose sizes do not allow a link are dropped before anything is shuffled for them.
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
@@ -266,7 +271,7 @@ def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     pairs = lists.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(after(x, i), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))).alias("p")).select("p.a", "p.b")
     large = found.where(F.col("c") > SMALL)
     met = large.groupBy("node").agg(F.sum("c").alias("met"))
-    middle = large.join(met, "node").groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("met", "node")).alias("middle"))
+    middle = large.join(met, "node").groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("met", "node")).alias("middle"), F.min(F.struct("node", "n")).alias("least"))
     pivoted = large.join(middle, "key").select("node", "n", F.explode(F.array_distinct(F.array("least", "middle"))).alias("pivot")).where((F.col("node") != F.col("pivot.node")) & fits(F.col("n"), F.col("pivot.n")))
     starred = pivoted.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
     proposed = pairs.unionByName(starred).distinct()
@@ -278,7 +283,8 @@ def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     # One text for each node: its representative's.
     reps = nodes.select("node", F.col("rep").alias("id"))
     own = base.select("id", "node")
-    links = stash(_confirmed(likely, rows, reps, percent), "links")
+    with small_batches(docs.sparkSession):
+        links = stash(_confirmed(likely, rows, reps, percent), "links")
     joined = components(links)
     open_buckets = (
         large.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
@@ -333,6 +339,8 @@ def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "t
     judged = found.groupBy("id", "text_md5").agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("times"))
     marks = stash(judged.where("not stays or times > 1").select(F.col("id").alias("_near_id"), F.col("text_md5").alias("_near_md5"), "stays"), "marks")
     own = (docs[key].cast("long") == F.col("_near_id")) & (_text_md5(docs[text]) == F.col("_near_md5"))
-    left = docs.join(marks.drop("stays"), own, "left_anti")
+    # Only texts whose key may be marked are shuffled.
+    asked, rest = sieved(docs, docs[key].cast("long"), marks.select("_near_id"))
+    left = rest.union(asked.join(marks.drop("stays"), own, "left_anti"))
     repeated = marks.where("stays").drop("stays")
-    return left if repeated.isEmpty() else left.unionByName(docs.join(repeated, own, "left_semi").dropDuplicates([key, text]))
+    return left if repeated.isEmpty() else left.union(asked.join(repeated, own, "left_semi").dropDuplicates([key, text]))

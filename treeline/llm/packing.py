@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import distributed_rank, hash_unit, map_arrow, stash
+from treeline.llm.common import distributed_rank, hash_unit, map_arrow, small_batches, stash
 from treeline.llm.tokens import encoder, with_end
 
 #: Rounds of multiplicative weights: the number of configurations, at most.
@@ -228,7 +228,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048
     Defined cases: null and empty texts are the end id alone; null keys stay null; repeated rows are packed each;
     an empty table gives no rows; other columns are left out.
     """
-    pieces = stash(cut_pieces(docs, tokenizer_path, end_id, capacity, key=key, text=text, keep_ids=keep_ids), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = stash(cut_pieces(docs, tokenizer_path, end_id, capacity, key=key, text=text, keep_ids=keep_ids), "pieces")
     # At most ``capacity`` rows.
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = pieces.sparkSession.sparkContext.broadcast(placements(plan(histogram, capacity, rounds)))

@@ -58,17 +58,18 @@ class PieceEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        # What plain words, marks after words and pieces of other kinds were found to be.
-        self.words, self.marks, self.others = _Memory(), _Memory(), _Memory()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers", [])
         steps_named = [x["type"] for x in norm.get("normalizers", [])], [x["type"] for x in steps], (steps or [{}])[0].get("pattern", {}).get("Regex")
         self.short = steps_named == _CHAIN and spec["model"]["type"] == "BPE"
+        del spec  # before the library loads its own
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        # What plain words, marks after words and pieces of other kinds were found to be.
+        self.words, self.marks, self.others = _Memory(), _Memory(), _Memory()
 
     def _long_way(self, pieces: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
